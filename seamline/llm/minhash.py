@@ -3,16 +3,18 @@
 Each document's distinct word shingles give 200 minima. Bands of five minima propose candidates; of every minimum two
 low bits are kept and packed, and candidates are sieved by the similarity that equal bits suggest once chance equality
 is taken out. What passes is confirmed on the full sets. Equal sets are one class from the start, so copies are never
-paired. In a band's bucket every class is first compared with the least one; only classes that are still in different
-components are then compared with each other, large buckets in square blocks of bounded size, so no link is lost to a
-cap and none is made twice. Components are found by alternating star contraction.
+paired. In a band's bucket every class is first compared with the least one, then those left over with the most alike of
+some pivots. Only classes that are still in different components are then compared with each other; in large buckets
+this is done in square blocks of bounded size, on the sets themselves, and a block gives no more links than join its
+components. So no link is lost to a cap, and none is made by a group's square. Components are found by alternating star
+contraction.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +25,10 @@ PERCENT = 75
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
 BITS = 2
-SLACK = 0.17
+SLACK = 0.15
 SMALL_BUCKET = 32
-BLOCK = 512
+BLOCK = 1024
+PIVOTS = 4
 BLOCK_WORDS = 60_000
 MAX_WORDS_KNOWN = 1_000_000
 
@@ -155,20 +158,26 @@ def may_link(na: Column, nb: Column) -> Column:
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, items) with the sorted shingle hashes of the documents whose id is in ``ids`` (i)."""
     texts = docs.join(ids, docs.doc_id == ids.i, "left_semi").select("doc_id", "text")
 
     def start():
         shingles = Shingler()
         return lambda text: {"items": [shingles(t).view(np.int64) for t in text]}
 
-    sets = map_rows(texts, {"text": F.col("text").cast("binary")}, {"items": T.ArrayType(T.LongType())}, start, ["doc_id"])
-    sets = pin(sets.dropDuplicates(["doc_id"]))
+    args, out = {"text": F.col("text").cast("binary")}, {"items": T.ArrayType(T.LongType())}
+    return map_rows(texts, args, out, start, ["doc_id"]).dropDuplicates(["doc_id"])
+
+
+def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets are similar enough."""
+    pairs = pin(pairs.select("a", "b"))
+    ids = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct()
+    sets = pin(full_sets(ids, docs))
     a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b")
+    both = pairs.join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -206,11 +215,12 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _blocked_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) that the sieve lets pass among rows (band, n, parts, id, size, sig, comp) of large buckets.
+def _blocked_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) among rows (band, n, parts, id, sig, bands, items, comp) of large buckets.
 
     A bucket's rows are dealt into parts of about BLOCK rows; each pair of parts is one group, which bounds what a task
-    holds, and only pairs of different components are compared.
+    holds. Pairs of one component, and those that share an earlier band, are passed over; what the sieve lets pass is
+    compared set by set, the likeliest first, and pairs that links of the same block have joined are skipped.
     """
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -221,8 +231,9 @@ def _blocked_pairs(rows: DataFrame) -> DataFrame:
         (F.col("part") <= F.col("other")).alias("left"),
         (F.col("part") >= F.col("other")).alias("right"),
         "id",
-        "size",
         "sig",
+        "bands",
+        "items",
         "comp",
     )
 
@@ -230,19 +241,38 @@ def _blocked_pairs(rows: DataFrame) -> DataFrame:
         import pandas as pd
 
         x, y = pdf[pdf["left"]], pdf[pdf["right"]]
-        if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sx = np.stack(x["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-        sy = np.stack(y["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-        nx, ny, cx, cy = x["size"].to_numpy(), y["size"].to_numpy(), x["comp"].to_numpy(), y["comp"].to_numpy()
-        ix, iy, low = x["id"].to_numpy(), y["id"].to_numpy(), np.uint64(0x5555555555555555)
-        got = []
-        for i in range(len(x)):
-            d = sy ^ sx[i]
-            differ = np.bitwise_count((d | d >> np.uint64(1)) & low).sum(axis=1)
-            ok = (differ <= MOST_DIFFER) & (cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= PERCENT * np.maximum(ny, nx[i]))
-            got += [(min(ix[i], j), max(ix[i], j)) for j in iy[ok]]
-        return pd.DataFrame(sorted(set(got)), columns=["a", "b"], dtype="int64")
+        ix, iy, cx, cy = (z.to_numpy() for z in (x["id"], y["id"], x["comp"], y["comp"]))
+        up: dict = {}
+
+        def top(c):
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        found = []
+        if len(x) and len(y):
+            sx, sy = (np.stack(z["sig"].to_numpy()).astype(np.int64).view(np.uint64) for z in (x, y))
+            bx, by = (np.stack(z["bands"].to_numpy()) for z in (x, y))
+            tx, ty = x["items"].to_numpy(), y["items"].to_numpy()
+            nx, ny = (np.array([len(t) for t in z]) for z in (tx, ty))
+            here, low = pdf["band"].iloc[0], np.uint64(0x5555555555555555)
+            own = int(np.flatnonzero(bx[0] == here)[0])
+            for i in range(len(x)):
+                at = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= PERCENT * np.maximum(ny, nx[i])))
+                d = sy[at] ^ sx[i]
+                differ = np.bitwise_count((d | d >> np.uint64(1)) & low).sum(axis=1)
+                ok = differ <= MOST_DIFFER
+                ok[ok] &= ~(by[at[ok], :own] == bx[i, :own]).any(axis=1)
+                at = at[ok][np.argsort(differ[ok], kind="stable")]
+                for j in at.tolist():
+                    a, b = top(cx[i]), top(cy[j])
+                    if a == b:
+                        continue
+                    common = len(np.intersect1d(tx[i], ty[j], assume_unique=True))
+                    if 100 * common >= PERCENT * (nx[i] + ny[j] - common):
+                        up[max(a, b)] = min(a, b)
+                        found.append((min(ix[i], iy[j]), max(ix[i], iy[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return placed.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long")
 
@@ -270,29 +300,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowded = pin(bands.join(shared, "band").select("band", "id", "least", "n"))
     star = crowded.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     links = pin(confirm(_sieved(star, sig), docs))
-    first = pin(components(links))
-    # Buckets in which more than one component is left.
-    comp = F.coalesce("component", "id")
-    marked = crowded.join(first, F.col("id") == F.col("node"), "left").select("band", "id", comp.alias("comp"))
-    open_ = (
-        marked.groupBy("band")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .where("lo < hi")
-        .select("band", "n")
-    )
-    rest = pin(marked.join(open_, "band").select("band", "id", "comp", "n"))
-    few = rest.where(F.col("n") <= SMALL_BUCKET)
+    found = pin(components(links))
+    left = pin(_open(crowded, found))
+    if not left.isEmpty():
+        # What is left over tries the pivots of its buckets that look most alike.
+        pivot = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id", "comp")).alias("p"))
+        tries = (
+            left.join(pivot, "band")
+            .where("comp != p.comp")
+            .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("id").alias("x"))
+            .distinct()
+        )
+        best = Window.partitionBy("x").orderBy("differ", "a", "b")
+        alike = _sieved(tries, sig).withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
+        links = pin(links.union(confirm(alike.select("a", "b").distinct(), docs)))
+        found = pin(components(links))
+        left = pin(_open(left.select("band", "id"), found))
+    few = left.where(F.col("n") <= SMALL_BUCKET)
     x = few.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"))
     y = few.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"))
     pairs = x.join(y, "band").where("a < b and ca != cb").select("a", "b").distinct()
     # What the star round has already refused need not be looked at again.
-    pairs = _sieved(pairs.join(star, ["a", "b"], "left_anti"), sig)
-    many = rest.where(F.col("n") > SMALL_BUCKET)
+    late = confirm(_sieved(pairs.join(star, ["a", "b"], "left_anti"), sig), docs)
+    many = pin(left.where(F.col("n") > SMALL_BUCKET))
     if not many.isEmpty():
-        dealt = many.join(sig, "id").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-        pairs = pairs.union(_blocked_pairs(dealt).distinct().join(star, ["a", "b"], "left_anti")).distinct()
-    late = pin(confirm(pairs, docs))
-    found = first if late.isEmpty() else components(links.union(late))
+        items = full_sets(many.select(F.col("id").alias("i")).distinct(), docs).withColumnRenamed("doc_id", "id")
+        dealt = many.join(reps.select("id", "sig", "bands").join(items, "id"), "id")
+        late = late.union(_blocked_links(dealt.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))))
+    late = pin(late.distinct())
+    if not late.isEmpty():
+        found = components(links.union(late))
     known = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("d1").alias("c1"),
         F.col("d2").alias("c2"),
@@ -310,16 +347,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _open(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, id, comp, n) of the buckets of ``crowded`` (band, id) in which more than one component is left."""
+    comp = F.coalesce("component", "id")
+    marked = crowded.join(found, F.col("id") == F.col("node"), "left").select("band", "id", comp.alias("comp"))
+    several = (
+        marked.groupBy("band")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .where("lo < hi")
+        .select("band", "n")
+    )
+    return marked.join(several, "band")
+
+
 def _sieved(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and packed minima allow a link."""
+    """``pairs`` (a, b, ...) whose sizes and packed minima allow a link, with the minima that differ."""
     a = sig.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("sig").alias("sa"))
     b = sig.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("sig").alias("sb"))
-    return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .where(may_link(F.col("na"), F.col("nb")) & (_differing_bits("sa", "sb") <= MOST_DIFFER))
-        .select("a", "b")
-    )
+    measured = pairs.join(a, "a").join(b, "b").withColumn("differ", _differing_bits("sa", "sb"))
+    alike = measured.where(may_link(F.col("na"), F.col("nb")) & (F.col("differ") <= MOST_DIFFER))
+    return alike.select(*pairs.columns, "differ")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
