@@ -3,12 +3,14 @@
 A paragraph (a line that isn't blank) is hashed to a wide vector: the bits of two 64-bit hashes of each of its units,
 which are the paragraph itself and its successive word pairs. A document's fingerprint is the sum of its paragraphs'
 vectors: the order of paragraphs doesn't matter, and a paragraph is put in or taken out by adding or subtracting its
-vector. Three 21-bit counters are packed in a long; sums are taken modulo 2**63. As every bit is a fair coin, the
+vector. Three 21-bit counters are packed in a long; sums are taken modulo 2**64. As every bit is a fair coin, the
 counters also give an unbiased estimate of what two multisets have in common, hence a likeness.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,6 @@ LANE_BITS, LANES = 21, 3
 MASK = sum(1 << LANE_BITS * j for j in range(LANES))
 HASHES = 2
 WORDS = HASHES * LANE_BITS
-CHUNK_BITS = 20
 SPLITS = (8, 14, 14, 14)
 
 
@@ -28,30 +29,42 @@ def _units(text: Column) -> Column:
     return F.flatten(F.transform(paragraphs, lambda p: F.concat(F.array(p), F.regexp_extract_all(p, pairs, F.lit(0)))))
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``, grouped by ``keys``: the keys, copies (equal rows), units and vec.
+@contextmanager
+def wrapping_sums(spark: SparkSession):
+    """Sums of longs that are built within wrap around, as they do in Spark's mode without ANSI errors."""
+    name = "spark.sql.ansi.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", numbers: list[str] = ()) -> DataFrame:
+    """A row for each group of equal rows of ``docs``: the keys, numbers, copies (equal rows), units and vec.
 
-    ``keys`` must decide the text. A null or empty text has a zero vector.
+    ``keys`` must decide the text and the numbers (long columns). A null or empty text has a zero vector. All of a
+    text's units are summed in the task that reads it, so a row of counters for each text is all that is shuffled.
     """
-    u = docs.select(*keys, F.posexplode_outer(_units(F.coalesce(F.col(text), F.lit("")))).alias("pos", "unit"))
+    # The null unit at the end stands for the row itself.
+    units = F.array_append(_units(F.coalesce(F.col(text), F.lit(""))), F.lit(None).cast("string"))
+    u = docs.select(*keys, *numbers, F.explode(units).alias("unit"))
     hashes = [F.xxhash64("unit"), *[F.xxhash64(F.lit(k), F.col("unit")) for k in range(1, HASHES)]]
-    u = u.withColumns({f"h{k}": F.when(F.col("unit").isNotNull(), h) for k, h in enumerate(hashes)})
-    lanes = [
-        F.sum(F.shiftright(f"h{k}", i).bitwiseAND(F.lit(MASK))).alias(f"s{k * LANE_BITS + i}")
-        for k in range(HASHES)
-        for i in range(LANE_BITS)
-    ]
-    # The counters of a chunk can't overflow a long. Chunks, of which only huge texts have several, are summed as
-    # decimals, modulo 2**63.
-    part = u.groupBy(*keys, F.shiftright(F.coalesce("pos", F.lit(0)), CHUNK_BITS).alias("chunk")).agg(
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"), F.count("unit").alias("units"), *lanes
-    )
-    wide = {f"s{i}": F.sum(F.coalesce(f"s{i}", F.lit(0)).cast("decimal(38,0)")) for i in range(WORDS)}
-    whole = part.groupBy(*keys).agg(
-        F.max("copies").alias("copies"), F.sum("units").alias("units"), *[v.alias(k) for k, v in wide.items()]
-    )
-    vec = F.array(*[F.expr(f"cast(pmod(s{i} div copies, {1 << 63}BD) as bigint)") for i in range(WORDS)])
-    return whole.select(*keys, "copies", F.expr("units div copies").alias("units"), vec.alias("vec"))
+    u = u.withColumns({f"h{k}": F.when(F.col("unit").isNotNull(), h).otherwise(F.lit(0)) for k, h in enumerate(hashes)})
+    with wrapping_sums(docs.sparkSession):
+        whole = u.groupBy(*keys).agg(
+            *[F.max(n).alias(n) for n in numbers],
+            F.count_if(F.col("unit").isNull()).alias("copies"),
+            F.count("unit").alias("units"),
+            *[
+                F.sum(F.shiftright(f"h{k}", i).bitwiseAND(F.lit(MASK))).alias(f"s{k * LANE_BITS + i}")
+                for k in range(HASHES)
+                for i in range(LANE_BITS)
+            ],
+        )
+    vec = F.array(*[F.expr(f"s{i} div copies") for i in range(WORDS)])
+    return whole.select(*keys, *numbers, "copies", F.expr("units div copies").alias("units"), vec.alias("vec"))
 
 
 def likeness(a: Column, a_units: Column, b: Column, b_units: Column) -> Column:
@@ -102,36 +115,42 @@ def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, n_chars, edited) for every row, and the (doc_id, next_id) it is made by.
 
     The last quarter is replaced by the start of the next document. Rows of equal doc_id have the same next one; where
-    several rows are next, the least start is taken. A row without doc_id has no next document.
+    several rows are next, the least start is taken. A row without doc_id has no next document. Texts are dealt by
+    doc_id once, for givers and takers alike; only the starts that are wanted move again.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    ids = pin(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("n_chars div 4")).alias("most")))
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ids = pin(named.groupBy("doc_id").agg(F.max(F.expr("length(text) div 4")).alias("most")))
     order = successors(ids.select(F.col("doc_id").cast("long").alias("key"), F.col("doc_id").cast("long").alias("first")))
     need = pin(order.join(ids, F.col("key") == F.col("doc_id")).select(F.col("key").alias("doc_id"), "next", "most"))
     wanted = need.select(F.col("next").alias("donor"), F.col("doc_id").alias("taker"), "most")
     given = (
-        rows.join(wanted, F.col("doc_id") == F.col("donor"))
+        named.join(wanted, F.col("doc_id") == F.col("donor"))
         .groupBy("taker")
         .agg(F.min(F.expr("left(text, cast(most as int))")).alias("start"))
     )
-    quarter = F.expr("cast(n_chars div 4 as int)")
-    edited = rows.join(given, F.col("doc_id") == F.col("taker"), "left").select(
-        "doc_id",
-        "text",
-        "n_chars",
-        F.concat(
-            F.expr("left(text, cast(n_chars - n_chars div 4 as int))"), F.left(F.coalesce("start", F.lit("")), quarter)
-        ).alias("edited"),
+    joined = named.join(given, F.col("doc_id") == F.col("taker")).select("doc_id", "text", "start")
+    others = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("start"))
+    n = F.length("text")
+    kept = F.expr("left(text, length(text) - length(text) div 4)")
+    edited = joined.unionByName(others).select(
+        "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(kept, F.expr("left(start, cast(length(text) div 4 as int))")).alias("edited")
     )
     return edited, need.select("doc_id", F.col("next").alias("next_id"))
 
 
+def _digest_parts(text: Column) -> dict[str, Column]:
+    """SHA-256 as eight numbers, which hash aggregation can carry."""
+    digest = F.sha2(text, 256)
+    return {f"d{i}": F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)}
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = pin(fingerprints(docs.withColumn("t", F.md5(F.coalesce("text", F.lit("")))), ["doc_id", "t"]).drop("copies"))
+    own = fingerprints(docs.withColumn("t", F.md5(F.coalesce("text", F.lit("")))), ["doc_id", "t"]).drop("copies")
     rows, order = with_edits(docs)
-    rows = rows.withColumn("t", F.md5("text")).withColumn("edited_sha256", F.sha2("edited", 256))
-    edited = fingerprints(rows, ["doc_id", "t", "n_chars", "edited_sha256"], "edited")
+    parts = _digest_parts(F.col("edited"))
+    rows = rows.withColumn("t", F.md5("text")).withColumns(parts)
+    edited = fingerprints(rows, ["doc_id", "t"], "edited", ["n_chars", *parts])
     after = (
         own.groupBy("doc_id")
         .agg(F.min(F.struct("t", "units", "vec")).alias("x"))
@@ -143,10 +162,11 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         after, F.col("doc_id") == F.col("of"), "left"
     )
     near_next = F.coalesce(likeness(F.col("o_vec"), F.col("o_units"), F.col("next_vec"), F.col("next_units")), F.lit(0.0))
+    digest = F.concat(*[F.lower(F.lpad(F.hex(d), 8, "0")) for d in parts])
     return all_.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        digest.alias("edited_sha256"),
         as_text(F.col("o_vec"), F.col("o_units")).alias("fingerprint"),
         as_text(F.col("vec"), F.col("units")).alias("edited_fingerprint"),
         likeness(F.col("o_vec"), F.col("o_units"), F.col("vec"), F.col("units")).alias("near_edited"),
