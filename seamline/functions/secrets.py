@@ -51,3 +51,23 @@ def scrub(text: Column, key: str, label: str) -> Column:
 
 def redact_tokens(text: Column, pattern: str = r"[0-9a-f]{40}", mark: str = "<redacted>") -> Column:
     return F.regexp_replace(text, pattern, mark)
+
+
+def redirect_verdicts(chains, rules: list[tuple[str, str]]):
+    """(chain, hop, url, allowed) of chains (chain, hops): each hop is judged anew, and after a refused one none is."""
+    from pyspark.sql import Window
+
+    from .urls import covers
+
+    ok = F.lit(False)
+    for host, path in rules:
+        ok = ok | covers(host, path, F.col("url"))
+    hops = chains.select("chain", F.posexplode("hops").alias("hop", "url")).withColumn("ok", ok)
+    w = Window.partitionBy("chain").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)
+    return hops.withColumn("allowed", F.min("ok").over(w)).drop("ok")
+
+
+def audit_lines(records, key: str):
+    """(line) with each record as JSON; a record that holds the key in any spelling is left out."""
+    line = F.to_json(F.struct(*records.columns))
+    return records.select(line.alias("line")).where(~F.col("line").rlike("|".join(spellings(key))))

@@ -173,3 +173,54 @@ def export_verdicts(exports: DataFrame, imports: DataFrame, reexports: DataFrame
     whole = seen.where("whole").select("file").distinct().withColumn("maybe", F.lit(True))
     verdict = F.when(F.col("used"), "used").when(F.col("is_entry"), "public_api").when(F.col("maybe"), "uncertain").otherwise("unused")
     return exports.join(named, ["file", "name"], "left").join(whole, "file", "left").select("file", "name", verdict.alias("verdict"))
+
+
+def data_flow(flows: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
+    """(origin, node, depth) of where values go: flows (src, dst) lead from arguments to parameters and on."""
+    return reach(flows, start, depth)
+
+
+def dispatch(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """(call, target, provenance) of calls (call, receiver_type, method) on methods (target, type, method).
+
+    type_match where the receiver's type is known to have the method, else name_match where the name alone decides,
+    for names that only one type has.
+    """
+    typed = calls.join(methods, (calls.receiver_type == methods.type) & (calls.method == methods.method)).select("call", "target", F.lit("type_match").alias("provenance"))
+    only = methods.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target")).where("n = 1")
+    rest = calls.join(typed.select("call").distinct(), "call", "left_anti")
+    named = rest.join(only, "method").select("call", "target", F.lit("name_match").alias("provenance"))
+    return typed.unionByName(named)
+
+
+#: Decorators and calls by which frameworks call what carries them.
+FRAMEWORK_MARKS = {
+    "route": "web", "get": "web", "post": "web", "put": "web", "delete": "web", "command": "cli", "fixture": "test", "task": "worker",
+    "listener": "event", "handler": "event", "controller": "web", "scheduled": "worker",
+}
+
+
+def framework_roots(nodes: DataFrame) -> DataFrame:
+    """(node, kind) of nodes (node, decorators) that a framework calls by convention."""
+    known = F.create_map(*[F.lit(x) for kv in FRAMEWORK_MARKS.items() for x in kv])
+    last = F.lower(F.element_at(F.split("d", r"\."), -1))
+    return nodes.select("node", F.explode("decorators").alias("d")).select("node", known[last].alias("kind")).where("kind is not null").distinct()
+
+
+def invalidated(changed: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(item) of recorded dependencies (item, key) of which some key (key) has changed."""
+    return recorded.join(changed.select("key").distinct(), "key", "left_semi").select("item").distinct()
+
+
+def reusable(recorded: DataFrame, answers: DataFrame) -> DataFrame:
+    """(item) whose every recorded answer (item, key, answer) still holds in answers (key, answer)."""
+    now = answers.select("key", F.col("answer").alias("now"))
+    held = recorded.join(now, "key", "left").select("item", F.col("answer").eqNullSafe(F.col("now")).alias("ok"))
+    return held.groupBy("item").agg(F.every("ok").alias("ok")).where("ok").select("item")
+
+
+def running_estimate(rows: DataFrame, key: str, order: str, value: str, start: int = 0) -> DataFrame:
+    """(key, estimate) folded in order by (3 old + new + 2) div 4, as an array aggregate over each key's short list."""
+    listed = F.array_sort(F.collect_list(F.struct(order, value)))
+    fold = F.aggregate("l", F.lit(start).cast("long"), lambda a, x: F.floor((3 * a + x[value] + 2) / 4).cast("long"))
+    return rows.groupBy(key).agg(listed.alias("l")).select(key, fold.alias("estimate"))

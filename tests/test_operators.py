@@ -203,3 +203,47 @@ def test_grants(spark):
 
 def test_dates_stay_naive(spark):
     assert spark.createDataFrame([(dt.datetime(2024, 1, 1),)], "t timestamp").first().t == dt.datetime(2024, 1, 1)
+
+
+def test_structural_search(spark):
+    from seamline.operators import structural
+
+    files = spark.createDataFrame([("a.py", "print(x, x)\nprint(x, y)\nlog(1, 2, 3)\nlog(4)"), ("b.py", "def ("), ("c.py", None)], "path string, text string")
+    assert got(structural.search(files, "print($A, $A)")) == [("a.py", 1, 1, "print(x, x)", 1)]
+    assert [r[1] for r in got(structural.search(files, "log($$$ARGS)"))] == [3, 4]
+    assert [r[3] for r in got(structural.search(files, "log($A, $$$REST)"))] == ["log(1, 2, 3)", "log(4)"]
+
+
+def test_imports(spark):
+    from seamline.functions import imports
+
+    rows = [
+        ("src/a.ts", "typescript", 1, "import {x} from './b'"), ("src/a.ts", "typescript", 2, "import type {T} from '../t'"), ("m.py", "python", 1, "from os.path import join"),
+        ("m.py", "python", 2, "import sys"), ("x.go", "go", 1, '  f "fmt"'), ("x.c", "c", 1, "#include <stdio.h>"), ("x.rs", "rust", 1, "pub use a::b;"), ("x.rs", "rust", 2, "let x"),
+    ]
+    found = imports.imports(spark.createDataFrame(rows, "path string, language string, line_no int, line string"))
+    assert [(r[0], r[2], r[3]) for r in got(found)] == [
+        ("m.py", "os.path", False), ("m.py", "sys", False), ("src/a.ts", "./b", False), ("src/a.ts", "../t", True), ("x.c", "stdio.h", False), ("x.go", "fmt", False), ("x.rs", "a::b", False),
+    ]
+    files = spark.createDataFrame([("src/b/index.ts",), ("src/b.js",), ("t.ts",)], "path string")
+    assert {r.target: r.file for r in imports.resolve(found, files).collect()} == {"./b": "src/b.js", "../t": "t.ts"}
+
+
+def test_dispatch_and_reuse(spark):
+    calls = spark.createDataFrame([(1, "A", "f"), (2, None, "g"), (3, None, "f")], "call int, receiver_type string, method string")
+    methods = spark.createDataFrame([("A.f", "A", "f"), ("B.f", "B", "f"), ("B.g", "B", "g")], "target string, type string, method string")
+    assert got(graph.dispatch(calls, methods)) == [(1, "A.f", "type_match"), (2, "B.g", "name_match")]
+    rec = spark.createDataFrame([("i", "k", "1"), ("i", "l", "2"), ("j", "k", "1")], "item string, key string, answer string")
+    assert got(graph.reusable(rec, spark.createDataFrame([("k", "1"), ("l", "3")], "key string, answer string"))) == [("j",)]
+    assert got(graph.invalidated(spark.createDataFrame([("l",)], "key string"), rec)) == [("i",)]
+    est = spark.createDataFrame([("a", 1, 8), ("a", 2, 4)], "k string, o int, v int")
+    assert got(graph.running_estimate(est, "k", "o", "v")) == [("a", 3)]
+    n = spark.createDataFrame([("h", ["app.route"]), ("p", ["property"])], "node string, decorators array<string>")
+    assert got(graph.framework_roots(n)) == [("h", "web")]
+
+
+def test_redirects_and_audit(spark):
+    chains = spark.createDataFrame([(1, ["https://a.com/x", "https://b.com/", "https://a.com/x/y"])], "chain int, hops array<string>")
+    assert [r[3] for r in got(secrets.redirect_verdicts(chains, [("a.com", "/x")]))] == [True, False, False]
+    rec = spark.createDataFrame([("fine",), ("k0123456789abcdef!",)], "note string")
+    assert secrets.audit_lines(rec, "k0123456789abcdef").count() == 1
