@@ -47,6 +47,8 @@ def find_splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOL
         .agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
         .collect()
     }
+    if not first:
+        return [], first
     total = sum(b for b, _ in first.values())
     slack = tolerance * total / shards
     want = {i: total * i / shards for i in range(1, shards)}
