@@ -111,6 +111,37 @@ def successors(keys: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
     )
 
 
+def _edit(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, start) with n_chars and the edited text."""
+    kept = F.expr("left(text, length(text) - length(text) div 4)")
+    edited = F.concat(kept, F.expr("left(start, cast(length(text) div 4 as int))"))
+    return rows.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Texts dealt by doc_id, so that all that is joined or grouped by it later shares the one exchange."""
+    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return named.repartition("doc_id")
+
+
+def _nameless(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("start"))
+
+
+def next_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, next, most): each id's next one, and the most characters that a row of it replaces."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    ids = pin(docs.where("doc_id is not null").select("doc_id", size.alias("n")).groupBy("doc_id").agg(F.max(F.expr("n div 4")).alias("most")))
+    order = successors(ids.select(F.col("doc_id").cast("long").alias("key"), F.col("doc_id").cast("long").alias("first")))
+    return pin(order.join(ids, F.col("key") == F.col("doc_id")).select(F.col("key").alias("doc_id"), "next", "most"))
+
+
+def _starts(dealt: DataFrame, need: DataFrame) -> DataFrame:
+    wanted = need.select(F.col("next").alias("donor"), F.col("doc_id").alias("taker"), "most")
+    joined = dealt.join(wanted, F.col("doc_id") == F.col("donor"))
+    return joined.groupBy("taker").agg(F.min(F.expr("left(text, cast(most as int))")).alias("start"))
+
+
 def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, n_chars, edited) for every row, and the (doc_id, next_id) it is made by.
 
@@ -118,24 +149,9 @@ def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     several rows are next, the least start is taken. A row without doc_id has no next document. Texts are dealt by
     doc_id once, for givers and takers alike; only the starts that are wanted move again.
     """
-    named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = pin(named.groupBy("doc_id").agg(F.max(F.expr("length(text) div 4")).alias("most")))
-    order = successors(ids.select(F.col("doc_id").cast("long").alias("key"), F.col("doc_id").cast("long").alias("first")))
-    need = pin(order.join(ids, F.col("key") == F.col("doc_id")).select(F.col("key").alias("doc_id"), "next", "most"))
-    wanted = need.select(F.col("next").alias("donor"), F.col("doc_id").alias("taker"), "most")
-    given = (
-        named.join(wanted, F.col("doc_id") == F.col("donor"))
-        .groupBy("taker")
-        .agg(F.min(F.expr("left(text, cast(most as int))")).alias("start"))
-    )
-    joined = named.join(given, F.col("doc_id") == F.col("taker")).select("doc_id", "text", "start")
-    others = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("start"))
-    n = F.length("text")
-    kept = F.expr("left(text, length(text) - length(text) div 4)")
-    edited = joined.unionByName(others).select(
-        "doc_id", "text", n.cast("long").alias("n_chars"), F.concat(kept, F.expr("left(start, cast(length(text) div 4 as int))")).alias("edited")
-    )
-    return edited, need.select("doc_id", F.col("next").alias("next_id"))
+    need, dealt = next_ids(docs), _dealt(docs)
+    joined = dealt.join(_starts(dealt, need), F.col("doc_id") == F.col("taker")).select("doc_id", "text", "start")
+    return _edit(joined.unionByName(_nameless(docs))), need.select("doc_id", F.col("next").alias("next_id"))
 
 
 def _digest_parts(text: Column) -> dict[str, Column]:
@@ -144,24 +160,19 @@ def _digest_parts(text: Column) -> dict[str, Column]:
     return {f"d{i}": F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)}
 
 
-def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own = fingerprints(docs.withColumn("t", F.md5(F.coalesce("text", F.lit("")))), ["doc_id", "t"]).drop("copies")
-    rows, order = with_edits(docs)
+def _compared(rows: DataFrame, own: DataFrame, after: DataFrame | None) -> DataFrame:
+    """The result for edited rows (doc_id, text, n_chars, edited), the own fingerprints and those of the next ones."""
     parts = _digest_parts(F.col("edited"))
-    rows = rows.withColumn("t", F.md5("text")).withColumns(parts)
-    edited = fingerprints(rows, ["doc_id", "t"], "edited", ["n_chars", *parts])
-    after = (
-        own.groupBy("doc_id")
-        .agg(F.min(F.struct("t", "units", "vec")).alias("x"))
-        .join(order.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("next_id"))
-        .select("of", F.col("x.vec").alias("next_vec"), F.col("x.units").alias("next_units"))
-    )
+    edited = fingerprints(rows.withColumn("t", F.md5("text")).withColumns(parts), ["doc_id", "t"], "edited", ["n_chars", *parts])
     mine = own.select(F.col("doc_id").alias("o_id"), F.col("t").alias("o_t"), F.col("vec").alias("o_vec"), F.col("units").alias("o_units"))
-    all_ = edited.join(mine, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("t") == F.col("o_t"))).join(
-        after, F.col("doc_id") == F.col("of"), "left"
-    )
-    near_next = F.coalesce(likeness(F.col("o_vec"), F.col("o_units"), F.col("next_vec"), F.col("next_units")), F.lit(0.0))
+    near_next = F.lit(0.0)
+    if after is None:
+        all_ = edited.join(mine, F.col("t") == F.col("o_t"))
+    else:
+        # Equal texts, said as two comparisons: a second join key would deal both sides anew.
+        same = (F.col("doc_id") == F.col("o_id")) & (F.col("t") <= F.col("o_t")) & (F.col("t") >= F.col("o_t"))
+        all_ = edited.join(mine, same).join(after, F.col("doc_id") == F.col("of"))
+        near_next = likeness(F.col("o_vec"), F.col("o_units"), F.col("next_vec"), F.col("next_units"))
     digest = F.concat(*[F.lower(F.lpad(F.hex(d), 8, "0")) for d in parts])
     return all_.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",
@@ -172,3 +183,21 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("o_vec"), F.col("o_units"), F.col("vec"), F.col("units")).alias("near_edited"),
         near_next.alias("near_next"),
     )
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    need, dealt = next_ids(docs), _dealt(docs)
+    # All of this is grouped and joined by doc_id on the texts as dealt: only starts and the next one's counters move.
+    own = fingerprints(dealt.withColumn("t", F.md5("text")), ["doc_id", "t"]).drop("copies")
+    order = need.select(F.col("doc_id").alias("of"), F.col("next").alias("next_id"))
+    after = (
+        own.groupBy("doc_id")
+        .agg(F.min(F.struct("t", "units", "vec")).alias("x"))
+        .join(order, F.col("doc_id") == F.col("next_id"))
+        .select("of", F.col("x.vec").alias("next_vec"), F.col("x.units").alias("next_units"))
+    )
+    joined = dealt.join(_starts(dealt, need), F.col("doc_id") == F.col("taker")).select("doc_id", "text", "start")
+    nameless = _nameless(docs)
+    own_of_nameless = fingerprints(nameless.withColumn("t", F.md5("text")), ["doc_id", "t"]).drop("copies")
+    return _compared(_edit(joined), own, after).unionByName(_compared(_edit(nameless), own_of_nameless, None))
