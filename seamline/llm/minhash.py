@@ -170,14 +170,11 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return map_rows(texts, args, out, start, ["doc_id"]).dropDuplicates(["doc_id"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough."""
-    pairs = pin(pairs.select("a", "b"))
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct()
-    sets = pin(full_sets(ids, docs))
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets (doc_id, items) are similar enough."""
     a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(a, "a").join(b, "b")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -215,32 +212,39 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _blocked_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) among rows (band, n, parts, id, sig, bands, items, comp) of large buckets.
+def _blocked_links(many: DataFrame, sig: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among the rows (band, id, comp) of large buckets that hold several components.
 
-    A bucket's rows are dealt into parts of about BLOCK rows; each pair of parts is one group, which bounds what a task
-    holds. Pairs of one component, and those that share an earlier band, are passed over; what the sieve lets pass is
-    compared set by set, the likeliest first, and pairs that links of the same block have joined are skipped.
+    Components that meet in such buckets form a cluster. Rows outside a cluster's largest component are compared with
+    all of its rows, in blocks of BLOCK by BLOCK, which bounds what a task holds; as few are outside, each set moves
+    about once. What the sieve lets pass is compared set by set, the likeliest first, and pairs that links of the same
+    block have joined are skipped.
     """
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = rows.withColumn("part", part).withColumn("other", other).select(
-        "band",
-        F.least("part", "other").alias("p"),
-        F.greatest("part", "other").alias("q"),
-        (F.col("part") <= F.col("other")).alias("left"),
-        (F.col("part") >= F.col("other")).alias("right"),
-        "id",
-        "sig",
-        "bands",
-        "items",
-        "comp",
+    met = many.groupBy("band").agg(F.min("comp").alias("lo"))
+    edges = many.join(met, "band").where("comp != lo").select(F.col("comp").alias("a"), F.col("lo").alias("b")).distinct()
+    cluster = components(edges).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    ids = pin(many.select("id", "comp").distinct().join(cluster, F.col("comp") == F.col("c")).select("id", "comp", "cluster"))
+    per = ids.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = per.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("top"))
+    sizes = sizes.select(
+        "cluster",
+        F.col("top.comp").alias("main"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"),
+        F.ceil((F.col("n") - F.col("top.k")) / BLOCK).cast("int").alias("few"),
     )
+    items = sets.select(F.col("doc_id").alias("id"), "items")
+    rows = ids.join(sizes, "cluster").join(sig.select("id", "sig"), "id").join(items, "id")
+    h = F.xxhash64("id")
+    as_right = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda p: F.struct(p.alias("p"), F.pmod(h, F.col("parts")).cast("int").alias("q"), F.lit(False).alias("left")))
+    own = F.pmod(h, F.col("few")).cast("int")
+    as_left = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(own.alias("p"), q.alias("q"), F.lit(True).alias("left")))
+    at = F.when(F.col("comp") == F.col("main"), as_right).otherwise(F.concat(as_right, as_left))
+    placed = rows.withColumn("at", F.explode(at)).select("cluster", "at.p", "at.q", "at.left", "id", "sig", "items", "comp")
 
     def compare(pdf):
         import pandas as pd
 
-        x, y = pdf[pdf["left"]], pdf[pdf["right"]]
+        x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
         ix, iy, cx, cy = (z.to_numpy() for z in (x["id"], y["id"], x["comp"], y["comp"]))
         up: dict = {}
 
@@ -252,19 +256,15 @@ def _blocked_links(rows: DataFrame) -> DataFrame:
         found = []
         if len(x) and len(y):
             sx, sy = (np.stack(z["sig"].to_numpy()).astype(np.int64).view(np.uint64) for z in (x, y))
-            bx, by = (np.stack(z["bands"].to_numpy()) for z in (x, y))
             tx, ty = x["items"].to_numpy(), y["items"].to_numpy()
             nx, ny = (np.array([len(t) for t in z]) for z in (tx, ty))
-            here, low = pdf["band"].iloc[0], np.uint64(0x5555555555555555)
-            own = int(np.flatnonzero(bx[0] == here)[0])
+            low = np.uint64(0x5555555555555555)
             for i in range(len(x)):
                 at = np.flatnonzero((cy != cx[i]) & (100 * np.minimum(ny, nx[i]) >= PERCENT * np.maximum(ny, nx[i])))
                 d = sy[at] ^ sx[i]
                 differ = np.bitwise_count((d | d >> np.uint64(1)) & low).sum(axis=1)
                 ok = differ <= MOST_DIFFER
-                ok[ok] &= ~(by[at[ok], :own] == bx[i, :own]).any(axis=1)
-                at = at[ok][np.argsort(differ[ok], kind="stable")]
-                for j in at.tolist():
+                for j in at[ok][np.argsort(differ[ok], kind="stable")].tolist():
                     a, b = top(cx[i]), top(cy[j])
                     if a == b:
                         continue
@@ -274,7 +274,7 @@ def _blocked_links(rows: DataFrame) -> DataFrame:
                         found.append((min(ix[i], iy[j]), max(ix[i], iy[j])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return placed.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long")
+    return placed.groupBy("cluster", "p", "q").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,11 +286,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     sets = pin(set_table(docs))
-    full = sets.where("n_shingles > 0")
-    classes = pin(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    some = sets.where("n_shingles > 0")
+    classes = pin(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     ids = classes.select(F.col("rep").alias("r"))
     reps = pin(
-        full.join(ids, F.col("doc_id") == F.col("r"), "left_semi")
+        some.join(ids, F.col("doc_id") == F.col("r"), "left_semi")
         .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sig", "bands")
         .dropDuplicates(["id"])
     )
@@ -299,7 +299,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = pin(bands.join(shared, "band").select("band", "id", "least", "n"))
     star = crowded.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = pin(confirm(_sieved(star, sig), docs))
+    # The full sets of all classes that share a bucket, for every comparison to come.
+    full = pin(full_sets(crowded.select(F.col("id").alias("i")).distinct(), docs))
+    links = pin(confirm(_sieved(star, sig), full))
     found = pin(components(links))
     left = pin(_open(crowded, found))
     if not left.isEmpty():
@@ -313,7 +315,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
         best = Window.partitionBy("x").orderBy("differ", "a", "b")
         alike = _sieved(tries, sig).withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
-        links = pin(links.union(confirm(alike.select("a", "b").distinct(), docs)))
+        links = pin(links.union(confirm(alike.select("a", "b").distinct(), full)))
         found = pin(components(links))
         left = pin(_open(left.select("band", "id"), found))
     few = left.where(F.col("n") <= SMALL_BUCKET)
@@ -321,12 +323,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     y = few.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"))
     pairs = x.join(y, "band").where("a < b and ca != cb").select("a", "b").distinct()
     # What the star round has already refused need not be looked at again.
-    late = confirm(_sieved(pairs.join(star, ["a", "b"], "left_anti"), sig), docs)
+    late = confirm(_sieved(pairs.join(star, ["a", "b"], "left_anti"), sig), full)
     many = pin(left.where(F.col("n") > SMALL_BUCKET))
     if not many.isEmpty():
-        items = full_sets(many.select(F.col("id").alias("i")).distinct(), docs).withColumnRenamed("doc_id", "id")
-        dealt = many.join(reps.select("id", "sig", "bands").join(items, "id"), "id")
-        late = late.union(_blocked_links(dealt.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))))
+        late = late.union(_blocked_links(many, sig, full))
     late = pin(late.distinct())
     if not late.isEmpty():
         found = components(links.union(late))
