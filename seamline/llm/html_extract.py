@@ -238,6 +238,7 @@ class Forest:
                 chars / (chars[self.root] + 1), np.log1p(own[:, 1]), self.depth, index / np.maximum(siblings, 1),
                 np.log1p(siblings), linked[parent] / (chars[parent] + 1), words[parent] / tags[parent], np.log1p(tags),
                 bits[:, bad].sum(1), above[:, bad].sum(1), np.minimum(titles, 2),
+                above[:, -1] * (bits[:, bad].sum(1) + above[:, bad].sum(1)),
             ],
             axis=1,
         )
@@ -266,7 +267,7 @@ class Forest:
 class Trees:
     """Gradient boosting of logistic loss with histogram splits; every tree is complete."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.4, bins: int = 32, least: float = 1.0):
+    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.4, bins: int = 32, least: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
@@ -356,7 +357,7 @@ def training_page(rng: random.Random) -> str:
         if kind == "header":
             tag = rng.choice(["header", "header", "div"])
             a = attr("header", "masthead", "logo", "topbar") or (" class=header" if tag == "div" else "")
-            return f"<{tag} data-x{a}>{rng.choice([f'<h1>{word()}</h1>', f'<a href=/>{word()}</a>', f'<p>{sentence()}</p>', sentence()])}{rng.choice(['', f'<ul>{links(4)}</ul>'])}</{tag}>"
+            return f"<{tag} data-x{a}>{rng.choice([f'<h1>{sentence(1, 5)}</h1>', f'<a href=/>{word()}</a>', f'<p>{sentence()}</p>', sentence()])}{rng.choice(['', f'<ul>{links(4)}</ul>'])}</{tag}>"
         if kind == "footer":
             tag = rng.choice(["footer", "footer", "div"])
             a = attr("footer", "copyright", "legal") or (" id=footer" if tag == "div" else "")
@@ -410,8 +411,8 @@ def training_page(rng: random.Random) -> str:
     blocks = [block() for _ in range(rng.randint(1, 14))]
     if rng.random() < 0.3:
         blocks.insert(rng.randrange(len(blocks) + 1), junk(rng.choice(["advert", "side", "form", "notice", "menu"])))
-    title = f"<h1>{sentence(2, 9)}</h1>" if rng.random() < 0.85 else ""
-    if title and rng.random() < 0.15:
+    title = f"<h1>{sentence(1, 9)}</h1>" if rng.random() < 0.85 else ""
+    if title and rng.random() < 0.35:
         title = f"<header>{title}</header>"
     if title and rng.random() < 0.1:
         before, title = [*before, title], ""
