@@ -490,10 +490,13 @@ def test_estimate_is_close():
         assert abs(minhash.estimate(differ) - true) < 0.16
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "TASK_EDGES", most)
     chain = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 60), (7, 7)]
     df = spark.createDataFrame(chain, "a long, b long")
     got = {r.node: r.component for r in minhash.components(df).collect()}
+    assert minhash.components(df.limit(0)).count() == 0
     assert got == {i: 0 for i in range(41)} | {50: 50, 60: 50, 100: 50}
 
 
