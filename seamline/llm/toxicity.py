@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine with a block-max inverted index.
 
-Labelled documents (at most ``max_examples`` of them, one of each family of near copies) choose the vocabulary: words
-whose use differs between labels by a G-test. Document frequencies are counted over all documents. Examples are
-vectors of these words, sorted so that alike ones share a block; the index holds each block's largest weight of every
-word. A query takes blocks in order of their upper bounds until no block can hold a nearer example than the k found,
-so the neighbours are exact. Their labels vote by cosine, with the rate of examples without such words as prior.
+Labelled documents (at most ``max_examples`` of them, one of each family of near copies) choose the terms: words and
+word beginnings that toxic examples have more often, by a G-test whose cut bounds the share of chance finds whatever
+the number of labels (Benjamini and Hochberg). Document frequencies are counted over all documents. Examples are
+vectors of these terms, sorted so that alike ones share a block; the index holds each block's largest weight of every
+term. A query takes blocks in order of their upper bounds until no block can hold a nearer example than the k found,
+so the neighbours are exact. A text without such a term is searched over all words of the examples instead. Labels
+vote by cosine, with the rate of examples without such terms as prior.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +27,10 @@ from .common import map_rows, table
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 1024
-MIN_G = 30.0
+FALSE_TERMS = 0.01
+G_STEP = 0.125
 MIN_DOCS = 4
+PREFIXES = (3, 8)
 NEIGHBOURS = 15
 BLOCK = 32
 THRESHOLD = 0.3
@@ -37,6 +41,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def features(word: str) -> list[str]:
+    """The word and its beginnings, which a star marks."""
+    return [word, *(word[:k] + "*" for k in range(PREFIXES[0], min(len(word) - 1, PREFIXES[1]) + 1))]
+
+
 def family(tokens: list[str]) -> int:
     """Least hash of the word triples: near copies mostly agree in it."""
     grams = {" ".join(g) for g in zip(tokens, tokens[1:], tokens[2:])} or {" ".join(tokens)}
@@ -53,6 +62,67 @@ def g_test(a: int, b: int, na: int, nb: int) -> float:
     return 2 * total
 
 
+def g_cut(bins: dict[int, int], tests: int, share: float = FALSE_TERMS) -> float | None:
+    """The least G, in steps, from which at most ``share`` of the terms on the toxic side are expected to be chance.
+
+    ``bins`` counts these terms by G // G_STEP; ``tests`` are the terms of both sides.
+    """
+    left, cut = sum(bins.values()), None
+    for b in sorted(bins):
+        if math.erfc(math.sqrt(b * G_STEP / 2)) / 2 <= share * left / tests:
+            cut = b * G_STEP
+            break
+        left -= bins[b]
+    return cut
+
+
+@dataclass
+class Everything:
+    """All words of the examples: idf, and the unit vectors as postings by word."""
+
+    terms: dict[str, int]
+    idf: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+
+    def build(self, common: float = 1 / 16) -> WordIndex:
+        return WordIndex(self, common)
+
+
+class WordIndex:
+    """Postings of the rarer words; words of more than a share of the examples as full rows, which add up faster."""
+
+    def __init__(self, e: Everything, common: float = 1 / 16):
+        self.e = e
+        often = np.flatnonzero(np.diff(e.starts) > common * len(e.ids))
+        self.place = dict(zip(often.tolist(), range(len(often)), strict=True))
+        self.full = np.zeros((len(often), len(e.ids)))
+        for i, t in enumerate(often.tolist()):
+            at = slice(e.starts[t], e.starts[t + 1])
+            self.full[i, e.rows[at]] = e.weights[at]
+        self.part = np.zeros(len(e.ids))
+
+    def nearest(self, bag: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        """As Index.nearest, for the words of the bag that an example has."""
+        e = self.e
+        ids, w = vector({i: c for t, c in bag.items() if (i := e.terms.get(t)) is not None}, e.idf)
+        score = np.zeros(len(e.ids))
+        for t, q in zip(ids.tolist(), w.tolist(), strict=True):
+            if t in self.place:
+                np.multiply(self.full[self.place[t]], q, out=self.part)
+                score += self.part
+            else:
+                at = slice(e.starts[t], e.starts[t + 1])
+                score[e.rows[at]] += q * e.weights[at]
+        least = np.partition(score, -k)[-k] - 1e-9 if len(score) > k else 0.0
+        near = np.flatnonzero((score > 0) & (score >= least))
+        best = sorted((-round(float(score[j]), 12), int(e.ids[j]), int(j)) for j in near)
+        return [(-x, j) for x, _, j in best[:k]]
+
+
 @dataclass
 class Model:
     """Vocabulary with idf, and the examples as unit vectors in blocks."""
@@ -63,6 +133,7 @@ class Model:
     labels: np.ndarray
     vectors: list[tuple[np.ndarray, np.ndarray]]
     prior: float
+    every: Everything | None = None
 
     def build(self, block: int = BLOCK) -> Index:
         return Index(self, block)
@@ -120,9 +191,10 @@ class Index:
             best = sorted(best)[:k]
         return [(-s, i) for s, _, i in best]
 
-    def score(self, found: list[tuple[float, int]]) -> float:
-        up = sum(c * self.m.labels[i] for c, i in found) + PRIOR_WEIGHT * self.m.prior
-        return float(min(1.0, max(0.0, up / (sum(c for c, _ in found) + PRIOR_WEIGHT))))
+
+def vote(found: list[tuple[float, int]], labels: np.ndarray, prior: float) -> float:
+    up = sum(c * labels[i] for c, i in found) + PRIOR_WEIGHT * prior
+    return float(min(1.0, max(0.0, up / (sum(c for c, _ in found) + PRIOR_WEIGHT))))
 
 
 def learnable(doc_id: Column) -> Column:
@@ -135,8 +207,7 @@ def fit(
     labels: DataFrame,
     *,
     max_examples: int = MAX_EXAMPLES,
-    max_terms: int = MAX_TERMS,
-    min_g: float = MIN_G,
+    false_terms: float = FALSE_TERMS,
 ) -> Model:
     """Learn from the labelled rows of ``docs``. Labels of repeated ids: toxic if any is. Without labels the model is
     empty and scores everything 0."""
@@ -171,14 +242,14 @@ def fit(
     if not na or not nb:
         chosen.unpersist()
         return empty
+    begin = f"transform(sequence({PREFIXES[0]}, least(length(w) - 1, {PREFIXES[1]})), k -> concat(left(w, k), '*'))"
+    begins = F.expr(f"flatten(transform(filter(bag, w -> length(w) > {PREFIXES[0]}), w -> {begin}))")
     stats = (
-        chosen.select("toxic", F.explode("bag").alias("term"))
+        chosen.select("toxic", F.explode(F.array_distinct(F.concat("bag", begins))).alias("term"))
         .groupBy("term")
         .agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
         .where(F.col("a") + F.col("b") >= MIN_DOCS)
     )
-    # G of a word is at most twice its log-likelihood ratio by its share in the toxic examples; the rest is done here.
-    gain = F.abs(F.col("a") / F.lit(na) - F.col("b") / F.lit(nb))
     g = F.lit(0.0)
     for seen, row, col in (
         (F.col("a"), na, F.col("a") + F.col("b")),
@@ -188,87 +259,131 @@ def fit(
     ):
         g = g + F.when(seen > 0, 2 * seen * F.log(seen * (na + nb) / (row * col))).otherwise(F.lit(0.0))
     toxic_side = F.col("a") / F.lit(na) > F.col("b") / F.lit(nb)
-    picked = (
-        stats.where(g >= min_g).where(toxic_side).orderBy(g.desc(), gain.desc(), "term").limit(max_terms).select("term").collect()
-    )
+    stats = stats.select("term", F.greatest(g, F.lit(0.0)).alias("g"), toxic_side.alias("up")).persist()
+    bins = stats.groupBy("up", F.floor(F.col("g") / G_STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cut = g_cut({r.bin: r.n for r in bins if r.up}, sum(r.n for r in bins), false_terms)
+    picked = stats.where("up").where(F.col("g") >= cut).select("term").collect() if cut is not None else []
+    stats.unpersist()
     terms = {t: i for i, t in enumerate(sorted(r.term for r in picked))}
     held = {r.doc_id: r.toxic for r in chosen.select("doc_id", "toxic").collect()}
     chosen.unpersist()
-    if not terms:
-        return Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], na / (na + nb))
-    df, total = document_frequencies(docs, terms)
+    return _model(docs, sample, terms, held)
+
+
+def _model(docs: DataFrame, sample: DataFrame, terms: dict[str, int], held: dict[int, int]) -> Model:
+    """The model of the examples ``held`` (label by id) of the labelled rows; of a repeated id, one row by its hash."""
+
+    def start():
+        def f(text):
+            got = [sorted(Counter(words(t)).items()) for t in text]
+            return {"terms": [[k for k, _ in g] for g in got], "tfs": [[c for _, c in g] for g in got]}
+
+        return f
+
+    kinds = {"terms": T.ArrayType(T.StringType()), "tfs": T.ArrayType(T.IntegerType())}
+    sample = sample.withColumn("h", F.xxhash64("text"))
+    got = map_rows(sample, {"text": F.col("text")}, kinds, start, ["doc_id", "h"]).toArrow()
+    doc_ids = got["doc_id"].to_numpy()
+    first: dict[int, int] = {}
+    for at in np.lexsort((got["h"].to_numpy(), doc_ids)).tolist():
+        if int(doc_ids[at]) in held:
+            first.setdefault(int(doc_ids[at]), at)
+    got = got.take(list(first.values())).combine_chunks()
+    ids = np.array(list(first), dtype=np.int64)
+    labels = np.array([held[i] for i in first], dtype=np.float64)
+    lists = got["terms"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    word_of, tf = coded.indices.to_numpy(), got["tfs"].combine_chunks().flatten().to_numpy()
+    row_of = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    every = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+    word_of, tf = word_of.copy(), tf.copy()
+    # Let go of before the jobs that follow.
+    del got, lists, coded, doc_ids
+    pa.default_memory_pool().release_unused()
+
+    df, total = document_frequencies(docs, terms, every)
     idf = np.log((total + 1) / (df + 1)) + 1
-    rows = bag_of_terms(
-        docs.select("doc_id", "text").join(F.broadcast(given), F.col("doc_id") == F.col("l_id")), terms, ["doc_id"]
-    ).where(F.size("terms") > 0)
-    found: dict[int, tuple] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.terms, r.tfs)):
-        if r.doc_id in held:
-            found.setdefault(r.doc_id, vector(dict(zip(r.terms, r.tfs, strict=True)), idf))
-    bare = [y for i, y in held.items() if i not in found]
-    ids = sorted(found)
+    word_idf, idf = idf[len(terms) :], idf[: len(terms)]
+    w = (1 + np.log(tf)) * word_idf[word_of]
+    w /= np.sqrt(np.bincount(row_of, w * w, len(ids)))[row_of]
+    order = np.argsort(word_of, kind="stable").astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(word_of, minlength=len(every)))])
+    rest = Everything(every, word_idf, ids, labels, starts, row_of[order], w[order])
+
+    hits = {i: h for t, i in every.items() if (h := [terms[x] for x in features(t) if x in terms])}
+    hit = np.zeros(len(every), dtype=bool)
+    hit[list(hits)] = True
+    bags: dict[int, Counter] = {}
+    for j in np.flatnonzero(hit[word_of]).tolist():
+        for t in hits[int(word_of[j])]:
+            bags.setdefault(int(row_of[j]), Counter())[t] += int(tf[j])
+    has = sorted(bags)
+    bare = len(ids) - len(has)
     return Model(
         terms,
         idf,
-        np.array(ids, dtype=np.int64),
-        np.array([held[i] for i in ids], dtype=np.float64),
-        [found[i] for i in ids],
-        (sum(bare) + 0.5) / (len(bare) + 5),
+        ids[has],
+        labels[has],
+        [vector(bags[i], idf) for i in has],
+        (labels.sum() - labels[has].sum() + 0.5) / (bare + 5),
+        rest,
     )
 
 
 def _counter(terms: dict[str, int]):
-    known = frozenset(terms)
-
-    def count(text: str | None) -> dict[int, int]:
-        tokens = words(text)
-        if known.isdisjoint(tokens):
-            return {}
-        return {terms[t]: c for t, c in Counter(t for t in tokens if t in known).items()}
+    known: dict[str, tuple[int, ...]] = {}
+    # Most words share no beginning with a term.
+    heads = frozenset(t.rstrip("*")[: PREFIXES[0]] for t in terms)
+
+    def count(tokens: Counter) -> dict[int, int]:
+        got: dict[int, int] = {}
+        for w, c in tokens.items():
+            if w[: PREFIXES[0]] not in heads:
+                continue
+            hit = known.get(w)
+            if hit is None:
+                if len(known) > 200_000:
+                    known.clear()
+                hit = known[w] = tuple(terms[x] for x in features(w) if x in terms)
+            for t in hit:
+                got[t] = got.get(t, 0) + c
+        return got
 
     return count
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many there are; a row for each term and batch is summed."""
+def document_frequencies(docs: DataFrame, terms: dict[str, int], every: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of ``terms`` and then each word of ``every`` occurs, and how many documents
+    there are; a row for each of them and task is summed."""
     kind = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        import pyarrow as pa
-
-        count = _counter(terms)
-        seen: Counter = Counter()
+        count, first = _counter(terms), len(terms)
+        seen = np.zeros(first + len(every), dtype=np.int64)
+        rows = 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(count(t).keys())
-                seen[-1] += 1
+                bag = Counter(words(t))
+                at = [*count(bag), *(first + i for i in map(every.get, bag) if i is not None)]
+                seen[at] += 1
+                rows += 1
+        at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict(
-            {"term": pa.array(list(seen), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
+            {"term": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([rows, *seen[at].tolist()], pa.int64())}
         )
 
-    got = docs.select("text").mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n = {r.term: r.n for r in got}
-    return np.array([n.get(i, 0) for i in range(len(terms))], dtype=np.float64), n.get(-1, 0)
-
-
-def bag_of_terms(docs: DataFrame, terms: dict[str, int], keep: list[str]) -> DataFrame:
-    def start():
-        count = _counter(terms)
-
-        def f(text):
-            got = [sorted(count(t).items()) for t in text]
-            return {"terms": [[k for k, _ in g] for g in got], "tfs": [[c for _, c in g] for g in got]}
-
-        return f
-
-    kind = T.ArrayType(T.IntegerType())
-    return map_rows(docs, {"text": F.col("text")}, {"terms": kind, "tfs": kind}, start, keep)
+    got = docs.select("text").mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = got["term"].to_numpy(), got["n"].to_numpy()
+    out = np.zeros(len(terms) + len(every))
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
 def score(docs: DataFrame, model: Model, *, k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with score (0 to 1) and evidence, the nearest examples (doc_id, cosine, label).
 
-    A text without any word of the vocabulary, null and empty ones too, gets the rate of examples without one.
+    A text without any term is searched over all words of the examples. One without any of these too, null and empty
+    ones among them, gets the rate of examples without a term.
     """
     near = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]
@@ -276,18 +391,26 @@ def score(docs: DataFrame, model: Model, *, k: int = NEIGHBOURS, keep: list[str]
 
     def start():
         count, index, cache = _counter(model.terms), model.build(), {}
+        every = model.every.build() if model.every is not None else None
+
+        def voted(found, ids, labels):
+            return (
+                vote(found, labels, model.prior) if found else float(model.prior),
+                [{"doc_id": int(ids[i]), "cosine": c, "label": int(labels[i])} for c, i in found],
+            )
 
         def one(text):
-            bag = count(text)
+            tokens = Counter(words(text))
+            bag = count(tokens)
+            if not bag and every is not None:
+                found = every.nearest(tokens, k)
+                return voted(found, model.every.ids, model.every.labels)
             key = tuple(sorted(bag.items()))
             if key not in cache:
                 if len(cache) > 50_000:
                     cache.clear()
                 found = index.nearest(*vector(bag, model.idf), k) if bag else []
-                cache[key] = (
-                    index.score(found) if found else float(model.prior),
-                    [{"doc_id": int(model.ids[i]), "cosine": c, "label": int(model.labels[i])} for c, i in found],
-                )
+                cache[key] = voted(found, model.ids, model.labels)
             return cache[key]
 
         def f(text):

@@ -412,6 +412,47 @@ def test_toxicity_held_out(spark):
     assert sum(p for p, y in held if y) >= 0.6 * sum(y for _, y in held)
 
 
+def test_word_search_equals_brute_force():
+    rng = np.random.default_rng(3)
+    dense = rng.random((40, 200)) * (rng.random((40, 200)) < np.linspace(0.02, 0.9, 40)[:, None])
+    dense /= np.maximum(np.sqrt((dense**2).sum(axis=0)), 1e-9)
+    at, rows = np.nonzero(dense)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=40))])
+    idf = rng.uniform(1, 4, 40)
+    e = toxicity.Everything({f"w{i}": i for i in range(40)}, idf, np.arange(200), np.zeros(200), starts, rows, dense[at, rows])
+    index = e.build()
+    for _ in range(60):
+        bag = {f"w{i}": int(rng.integers(1, 4)) for i in rng.integers(0, 45, 8)}
+        ids, w = toxicity.vector({int(t[1:]): c for t, c in bag.items() if t in e.terms}, idf)
+        want = sorted((-round(float(c), 12), i) for i, c in enumerate(w @ dense[ids]) if c > 0)[:15]
+        assert [(-c, i) for c, i in index.nearest(bag)] == want
+
+
+def test_toxicity_of_few_labels(spark):
+    """Few examples that share only a word's beginning choose it, and a text without any term is searched all the same."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(20)), 0) for i in range(60)]
+    rows += [(100 + i, " ".join([*(word() for _ in range(18)), "zuqqel" + word(), "zuqqel" + word()]), 1) for i in range(12)]
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    copy = next(t for _, t, y in learnt if not y)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(500, f"zuqqel{word()} {word()}"), (501, copy + " x")], "doc_id long, text string")
+    m = toxicity.fit(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, m).collect()}
+    assert got[500].score > 0.5 and all(got[i].score >= toxicity.THRESHOLD for i, _, y in rows if y)
+    assert got[501].score < 0.3 and got[501].evidence[0].cosine > 0.9
+
+
+def test_toxicity_by_language(spark):
+    data = "/root/testdata/sf0.1"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").collect()}
+    lab = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    held = [r for r in llm.queries()["op9_toxicity"](spark, data).drop("evidence").collect() if r.held_out]
+    for x in ("de", "en", "es", "fr"):
+        found = [r.predicted for r in held if lang[r.doc_id] == x and lab.get(r.doc_id) == 1]
+        assert found and np.mean(found) > 0.7, x
+
+
 def test_toxicity_odd(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
