@@ -44,18 +44,21 @@ def wrapping_sums(spark: SparkSession):
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", numbers: list[str] = ()) -> DataFrame:
     """A row for each group of equal rows of ``docs``: the keys, numbers, copies (equal rows), units and vec.
 
-    ``keys`` must decide the text and the numbers (long columns). A null or empty text has a zero vector. All of a
-    text's units are summed in the task that reads it, so a row of counters for each text is all that is shuffled.
+    ``keys`` must decide the text and the numbers (long columns). A null or empty text has a zero vector. Equal rows
+    become one with a count before units are made: sums that wrapped could not be divided by the copies again.
     """
-    # The null unit at the end stands for the row itself.
-    units = F.array_append(_units(F.coalesce(F.col(text), F.lit(""))), F.lit(None).cast("string"))
-    u = docs.select(*keys, *numbers, F.explode(units).alias("unit"))
+    rows = docs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("copies"), F.max(text).alias("text"), *[F.max(n).alias(n) for n in numbers]
+    )
+    # The null unit at the end keeps a row without units.
+    units = F.array_append(_units(F.coalesce(F.col("text"), F.lit(""))), F.lit(None).cast("string"))
+    u = rows.select(*keys, *numbers, "copies", F.explode(units).alias("unit"))
     hashes = [F.xxhash64("unit"), *[F.xxhash64(F.lit(k), F.col("unit")) for k in range(1, HASHES)]]
     u = u.withColumns({f"h{k}": F.when(F.col("unit").isNotNull(), h).otherwise(F.lit(0)) for k, h in enumerate(hashes)})
     with wrapping_sums(docs.sparkSession):
         whole = u.groupBy(*keys).agg(
             *[F.max(n).alias(n) for n in numbers],
-            F.count_if(F.col("unit").isNull()).alias("copies"),
+            F.max("copies").alias("copies"),
             F.count("unit").alias("units"),
             *[
                 F.sum(F.shiftright(f"h{k}", i).bitwiseAND(F.lit(MASK))).alias(f"s{k * LANE_BITS + i}")
@@ -63,8 +66,8 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", numbers:
                 for i in range(LANE_BITS)
             ],
         )
-    vec = F.array(*[F.expr(f"s{i} div copies") for i in range(WORDS)])
-    return whole.select(*keys, *numbers, "copies", F.expr("units div copies").alias("units"), vec.alias("vec"))
+    vec = F.array(*[F.col(f"s{i}") for i in range(WORDS)])
+    return whole.select(*keys, *numbers, "copies", "units", vec.alias("vec"))
 
 
 def likeness(a: Column, a_units: Column, b: Column, b_units: Column) -> Column:

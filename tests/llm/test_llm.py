@@ -323,6 +323,15 @@ def test_fingerprints_equal_brute_force(spark):
     assert [a + b for a, b in zip(got[2].vec, add, strict=True)] == list(got[0].vec)
 
 
+def test_fingerprints_of_many_equal_rows(spark):
+    """So many that the sum over all copies would pass bit 63."""
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.range(60_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = fingerprint.fingerprints(docs.unionByName(documents(spark, [text]).select("doc_id", "text")), ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.copies) for r in got) == [(0, 1), (1, 60_000)]
+    assert all((r.units, list(r.vec)) == python_vector(text) for r in got)
+
+
 def test_edits(spark, data):
     d = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     ids = sorted(d)
