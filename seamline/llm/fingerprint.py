@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
 A paragraph (a line that isn't blank) is hashed to a wide vector: the bits of two 64-bit hashes of each of its units,
-which are the paragraph itself and its successive word pairs. A document's fingerprint is the sum of its paragraphs'
+which are the paragraph itself and its word pairs that don't overlap (words 1 and 2, 3 and 4, ...). A document's fingerprint is the sum of its paragraphs'
 vectors: the order of paragraphs doesn't matter, and a paragraph is put in or taken out by adding or subtracting its
 vector. Three 21-bit counters are packed in a long; sums are taken modulo 2**64. As every bit is a fair coin, the
 counters also give an unbiased estimate of what two multisets have in common, hence a likeness.
