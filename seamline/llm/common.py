@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+PIECE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -18,14 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode (tests); on a
+    cluster that is an error, as executors could not read it."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at or tempfile.mkdtemp(prefix="ckpt-")
 
-    Where the session has none (tests), a temporary folder is set.
-    """
+
+def pin(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -34,14 +41,23 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def pieces(batches, most: int = PIECE_BYTES):
+    """The batches cut into slices of equal rows and about ``most`` bytes, so that what is made of them stays small."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(most, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def map_rows(
     df: DataFrame,
     args: dict[str, Column],
     out: dict[str, T.DataType],
     start: Callable[[], Callable[..., dict]],
     keep: list[str] | None = None,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
-    """Add the columns of ``out`` to every row, computed in Arrow batches.
+    """Add the columns of ``out`` to every row, computed in pieces of Arrow batches of about ``piece_bytes``.
 
     ``start()`` runs once a task and returns ``f(**lists)``, which gets one list for each of ``args`` and returns one
     list for each of ``out``. Kept columns pass through as Arrow data under private names, so no name can clash; a
@@ -58,7 +74,7 @@ def map_rows(
 
     def run(batches):
         f = start()
-        for b in batches:
+        for b in pieces(batches, piece_bytes):
             got = f(**{k: b.column(n_keep + i).to_pylist() for i, k in enumerate(given)})
             new = [pa.array(got[k], type=kind) for k, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], *new], names=names)

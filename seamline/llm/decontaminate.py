@@ -19,6 +19,7 @@ from .common import LOWER, UPPER, chunks, map_rows, table
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
 BENCHMARK_BLOCK_BYTES = 16 << 20
+PIECE_BYTES = 16 << 20
 
 _KEEP = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -201,7 +202,7 @@ def find_items(
             return f
 
         args = {"text": F.col(text).cast("binary")} | ({} if first else {"spans": F.col("spans"), "items": F.col("items")})
-        docs = map_rows(docs, args, out, start)
+        docs = map_rows(docs, args, out, start, piece_bytes=PIECE_BYTES)
         first = False
     return docs
 

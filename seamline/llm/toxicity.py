@@ -1,12 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine with a block-max inverted index.
 
-Labelled documents (at most ``max_examples`` of them, one of each family of near copies) choose the terms: words and
-word beginnings that toxic examples have more often, by a G-test whose cut bounds the share of chance finds whatever
-the number of labels (Benjamini and Hochberg). Document frequencies are counted over all documents. Examples are
-vectors of these terms, sorted so that alike ones share a block; the index holds each block's largest weight of every
-term. A query takes blocks in order of their upper bounds until no block can hold a nearer example than the k found,
-so the neighbours are exact. A text without such a term is searched over all words of the examples instead. Labels
-vote by cosine, with the rate of examples without such terms as prior.
+The terms of a text are all its words and the first three and four letters of longer ones; none is chosen or left out.
+At most ``max_examples`` labelled documents of each label are the examples, unit vectors of (1 + ln tf) idf, with
+document frequencies counted over all documents. Alike examples share a block. For every term the index holds the
+largest weight in each block, and its postings grouped by block. A query's upper bounds by block are summed first; the
+two best blocks give the k-th cosine to beat, and only blocks whose bound reaches it are opened, so the neighbours are
+exact. Terms that many examples have are kept as full rows in place of postings, which changes no result. Neighbours
+vote by cosine; the vote is made a probability by isotonic regression on the examples' own votes, each left out in turn
+and weighted for the rows that its label has in all. Of a few numbers of neighbours, up to half
+of the examples of the rarer label, that one is taken whose probabilities are best on examples that the regression has
+not seen.
+
+A null or empty text, and one that shares no term with any example, gets the rate of label 1. Very long texts are read
+whole. Repeated rows get equal scores; extra columns pass through, and one named score or evidence is replaced. An
+empty table gives an empty result. Without examples of both labels every score is the rate of label 1, 0 without labels.
 """
 
 from __future__ import annotations
@@ -14,27 +21,28 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, table
+from .common import map_rows, pieces, table
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_EXAMPLES = 20_000
-FALSE_TERMS = 0.01
-G_STEP = 0.125
-MIN_DOCS = 4
-PREFIXES = (3, 8)
-NEIGHBOURS = 15
-BLOCK = 32
+MAX_EXAMPLES = 2_500
+BEGINNINGS = (3, 4)
+#: Numbers of neighbours to choose from.
+NEIGHBOURS = (9, 15, 31, 63)
+EVIDENCE = 5
+BLOCK = 64
+FULL_ROW_SHARE = 1 / 20
 THRESHOLD = 0.3
-PRIOR_WEIGHT = 0.5
+BATCH = 64
+#: Words whose terms a task remembers; beyond it the memory is emptied, which changes no result.
+WORDS_KNOWN = 200_000
 
 
 def words(text: str | None) -> list[str]:
@@ -43,42 +51,41 @@ def words(text: str | None) -> list[str]:
 
 def features(word: str) -> list[str]:
     """The word and its beginnings, which a star marks."""
-    return [word, *(word[:k] + "*" for k in range(PREFIXES[0], min(len(word) - 1, PREFIXES[1]) + 1))]
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
 
 
-def family(tokens: list[str]) -> int:
-    """Least hash of the word triples: near copies mostly agree in it."""
-    grams = {" ".join(g) for g in zip(tokens, tokens[1:], tokens[2:])} or {" ".join(tokens)}
-    return min(xxhash.xxh64_intdigest(g) for g in grams) - (1 << 63)
+class Terms:
+    """Counts of known terms in a text."""
 
+    def __init__(self, known: dict[str, int]):
+        self.known, self.of = known, {}
 
-def g_test(a: int, b: int, na: int, nb: int) -> float:
-    """G of the two-by-two table: a of na toxic and b of nb other examples have the word."""
-    n, got = na + nb, a + b
-    total = 0.0
-    for seen, row, col in ((a, na, got), (b, nb, got), (na - a, na, n - got), (nb - b, nb, n - got)):
-        if seen:
-            total += seen * math.log(seen * n / (row * col))
-    return 2 * total
-
+    def __call__(self, text: str | None) -> dict[int, int]:
+        got: dict[int, int] = {}
+        for w, c in Counter(words(text)).items():
+            hit = self.of.get(w)
+            if hit is None:
+                if len(self.of) > WORDS_KNOWN:
+                    self.of.clear()
+                hit = self.of[w] = tuple(i for x in features(w) if (i := self.known.get(x)) is not None)
+            for t in hit:
+                got[t] = got.get(t, 0) + c
+        return got
 
-def g_cut(bins: dict[int, int], tests: int, share: float = FALSE_TERMS) -> float | None:
-    """The least G, in steps, from which at most ``share`` of the terms on the toxic side are expected to be chance.
 
-    ``bins`` counts these terms by G // G_STEP; ``tests`` are the terms of both sides.
-    """
-    left, cut = sum(bins.values()), None
-    for b in sorted(bins):
-        if math.erfc(math.sqrt(b * G_STEP / 2)) / 2 <= share * left / tests:
-            cut = b * G_STEP
-            break
-        left -= bins[b]
-    return cut
+def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit TF-IDF vector, (1 + ln tf) idf, as sorted term numbers and weights."""
+    ids = np.fromiter(counts, dtype=np.int64, count=len(counts))
+    tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+    at = np.argsort(ids)
+    ids, w = ids[at], (1 + np.log(tf[at])) * idf[ids[at]]
+    n = math.sqrt(float(w @ w))
+    return ids, w / n if n else w
 
 
 @dataclass
-class Everything:
-    """All words of the examples: idf, and the unit vectors as postings by word."""
+class Model:
+    """Terms with idf; postings of the examples by term (starts, rows, weights), rows in the order of blocks."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -87,114 +94,127 @@ class Everything:
     starts: np.ndarray
     rows: np.ndarray
     weights: np.ndarray
-
-    def build(self, common: float = 1 / 16) -> WordIndex:
-        return WordIndex(self, common)
-
-
-class WordIndex:
-    """Postings of the rarer words; words of more than a share of the examples as full rows, which add up faster."""
-
-    def __init__(self, e: Everything, common: float = 1 / 16):
-        self.e = e
-        often = np.flatnonzero(np.diff(e.starts) > common * len(e.ids))
-        self.place = dict(zip(often.tolist(), range(len(often)), strict=True))
-        self.full = np.zeros((len(often), len(e.ids)))
-        for i, t in enumerate(often.tolist()):
-            at = slice(e.starts[t], e.starts[t + 1])
-            self.full[i, e.rows[at]] = e.weights[at]
-        self.part = np.zeros(len(e.ids))
-
-    def nearest(self, bag: Counter, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """As Index.nearest, for the words of the bag that an example has."""
-        e = self.e
-        ids, w = vector({i: c for t, c in bag.items() if (i := e.terms.get(t)) is not None}, e.idf)
-        score = np.zeros(len(e.ids))
-        for t, q in zip(ids.tolist(), w.tolist(), strict=True):
-            if t in self.place:
-                np.multiply(self.full[self.place[t]], q, out=self.part)
-                score += self.part
-            else:
-                at = slice(e.starts[t], e.starts[t + 1])
-                score[e.rows[at]] += q * e.weights[at]
-        least = np.partition(score, -k)[-k] - 1e-9 if len(score) > k else 0.0
-        near = np.flatnonzero((score > 0) & (score >= least))
-        best = sorted((-round(float(score[j]), 12), int(e.ids[j]), int(j)) for j in near)
-        return [(-x, j) for x, _, j in best[:k]]
-
-
-@dataclass
-class Model:
-    """Vocabulary with idf, and the examples as unit vectors in blocks."""
-
-    terms: dict[str, int]
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    vectors: list[tuple[np.ndarray, np.ndarray]]
     prior: float
-    every: Everything | None = None
+    votes: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    k: int = NEIGHBOURS[0]
 
-    def build(self, block: int = BLOCK) -> Index:
-        return Index(self, block)
+    def calibrated(self, vote: float) -> float:
+        return float(np.interp(vote, self.votes, self.rates)) if len(self.votes) else vote
 
 
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vector, (1 + ln tf) idf, as sorted term numbers and weights."""
-    ids = np.array(sorted(counts), dtype=np.int32)
-    w = np.array([1 + math.log(counts[i]) for i in ids.tolist()]) * idf[ids] if len(ids) else np.zeros(0)
-    n = math.sqrt(float(w @ w))
-    return ids, (w / n if n else w).astype(np.float64)
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [start, end) in turn, and the range that each comes from."""
+    n = ends - starts
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) + (starts - np.cumsum(n) + n)[of], of
 
 
 class Index:
-    """Postings by block with the block's largest weight of each term."""
-
-    def __init__(self, m: Model, block: int = BLOCK):
-        self.m, self.n_terms = m, len(m.terms)
-        # Alike vectors together: by their heaviest term, then the next.
-        key = [tuple(v[0][np.argsort(-v[1], kind="stable")[:3]].tolist()) for v in m.vectors]
-        self.order = sorted(range(len(key)), key=lambda i: (key[i], i))
-        n_blocks = -(-len(self.order) // block)
-        self.block_max = np.zeros((self.n_terms, n_blocks), dtype=np.float32)
-        self.members = [np.array(self.order[b * block : (b + 1) * block]) for b in range(n_blocks)]
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b, rows in enumerate(self.members):
-            lists: dict[int, tuple[list, list]] = {}
-            for at, i in enumerate(rows):
-                for t, w in zip(*m.vectors[i], strict=True):
-                    p = lists.setdefault(int(t), ([], []))
-                    p[0].append(at)
-                    p[1].append(w)
-            self.postings.append({t: (np.array(p[0]), np.array(p[1])) for t, p in lists.items()})
-            for t, p in lists.items():
-                # Rounded up, so that a bound is never below the weight.
-                self.block_max[t, b] = np.nextafter(np.float32(max(p[1])), np.float32(2))
-
-    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine above 0, nearest first, ties by id."""
-        if not len(ids) or not self.members:
-            return []
-        bound = w @ self.block_max[ids].astype(np.float64) * (1 + 1e-9)
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0]:
-                break
-            score = np.zeros(len(self.members[b]))
-            lists = self.postings[b]
-            for t, q in zip(ids.tolist(), w.tolist(), strict=True):
-                p = lists.get(t)
-                if p is not None:
-                    score[p[0]] += q * p[1]
-            rows = self.members[b]
-            best += [(-round(float(score[j]), 12), int(self.m.ids[rows[j]]), int(rows[j])) for j in np.flatnonzero(score > 0)]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, _, i in best]
-
-
-def vote(found: list[tuple[float, int]], labels: np.ndarray, prior: float) -> float:
-    up = sum(c * labels[i] for c, i in found) + PRIOR_WEIGHT * prior
-    return float(min(1.0, max(0.0, up / (sum(c for c, _ in found) + PRIOR_WEIGHT))))
+    """Block-max inverted index of a model's examples."""
+
+    def __init__(self, m: Model, block: int = BLOCK, full: float = FULL_ROW_SHARE):
+        self.m, self.block, self.n = m, block, len(m.ids)
+        self.blocks = b = max(1, -(-self.n // block))
+        often = np.flatnonzero(np.diff(m.starts) > full * self.n)
+        self.place = np.full(len(m.idf), -1)
+        self.place[often] = np.arange(len(often))
+        rows = np.zeros((len(often), b * block))
+        at, of = spread(m.starts[often], m.starts[often + 1])
+        rows[of, m.rows[at]] = m.weights[at]
+        # Rounded up, so that a bound is never below what it bounds.
+        self.full_max = rows.reshape(-1, b, block).max(2) * (1 + 1e-12)
+        self.full = np.ascontiguousarray(rows.reshape(-1, b, block).transpose(1, 0, 2))
+        # Other terms: groups of postings by term and block, each with its largest weight.
+        term = np.repeat(np.arange(len(m.idf)), np.diff(m.starts))
+        key = term * b + m.rows // block
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.group_block = m.rows[first] // block
+        self.group_max = np.maximum.reduceat(m.weights, first) * (1 + 1e-12) if len(first) else np.zeros(0)
+        self.group_at = np.append(first, len(key))
+        self.group_of = np.searchsorted(key[first], np.arange(len(m.idf) + 1) * b)
+        #: Pairs of a query and a block, and how many of them were opened.
+        self.pairs = self.opened = 0
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each unit vector, (cosine, row) of the k nearest with a cosine above 0, nearest first, ties by id."""
+        nq, b = len(queries), self.blocks
+        q = np.repeat(np.arange(nq), [len(t) for t, _ in queries])
+        t = np.concatenate([t for t, _ in queries]) if nq else np.zeros(0, np.int64)
+        w = np.concatenate([w for _, w in queries]) if nq else np.zeros(0)
+        dense = np.zeros((nq, len(self.full_max)))
+        often = self.place[t] >= 0
+        dense[q[often], self.place[t[often]]] = w[often]
+        q, t, w = q[~often], t[~often], w[~often]
+        group, of = spread(self.group_of[t], self.group_of[t + 1])
+        q, w, in_block = q[of], w[of], self.group_block[group]
+        bound = dense @ self.full_max
+        bound += np.bincount(q * b + in_block, w * self.group_max[group], nq * b).reshape(nq, b)
+        bound *= 1 + 1e-9
+        score = np.zeros((nq, b * self.block))
+
+        def take(pairs: np.ndarray) -> None:
+            mine = pairs[q, in_block]
+            at, of = spread(self.group_at[group[mine]], self.group_at[group[mine] + 1])
+            cell = q[mine][of] * score.shape[1] + self.m.rows[at]
+            score.ravel()[:] += np.bincount(cell, w[mine][of] * self.m.weights[at], score.size)
+            for x in np.flatnonzero(pairs.any(0)):
+                who = np.flatnonzero(pairs[:, x])
+                score[who, x * self.block : (x + 1) * self.block] += dense[who] @ self.full[x]
+            self.opened += int(pairs.sum())
+
+        two = np.zeros((nq, b), dtype=bool)
+        two[np.arange(nq)[:, None], np.argsort(-bound, axis=1, kind="stable")[:, :2]] = True
+        two &= bound > 0
+        take(two)
+        least = np.maximum(np.partition(score, -k, axis=1)[:, -k] - 1e-9, 0) if k < score.shape[1] else np.zeros(nq)
+        take((bound > 0) & (bound >= least[:, None]) & ~two)
+        self.pairs += nq * b
+        out = []
+        for s in score[:, : self.n]:
+            cut = max(np.partition(s, -k)[-k] - 1e-9, 0) if k < len(s) else 0
+            rows = np.flatnonzero((s > 0) & (s >= cut))
+            best = sorted((-round(float(s[j]), 12), int(self.m.ids[j]), int(j)) for j in rows)[:k]
+            out.append([(-c, j) for c, _, j in best])
+        return out
+
+
+def vote(found: list[tuple[float, int]], labels: np.ndarray) -> float:
+    """Share of label 1 among the neighbours, weighted by cosine."""
+    return float(sum(c * labels[j] for c, j in found) / sum(c for c, _ in found))
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rising function nearest to y (weighted squares), as the two ends of each of its flat parts."""
+    places, of = np.unique(x, return_inverse=True)
+    parts: list[tuple[float, float, float, float]] = []
+    for at, sy, sw in zip(places, np.bincount(of, w * y), np.bincount(of, w), strict=True):
+        lo = hi = at
+        while parts and parts[-1][2] * sw >= sy * parts[-1][3]:
+            before = parts.pop()
+            lo, sy, sw = before[0], sy + before[2], sw + before[3]
+        parts.append((lo, hi, sy, sw))
+    ends = np.array([(lo, hi) for lo, hi, _, _ in parts]).ravel()
+    return ends, np.repeat([sy / sw for _, _, sy, sw in parts], 2)
+
+
+def _in_blocks(dense: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """An order of the rows in which alike ones stand together: halves by the first principal component, again and again."""
+    out, todo = [], [np.arange(len(dense))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= block:
+            out.append(rows)
+            continue
+        x = dense[rows] - dense[rows].mean(0)
+        v = np.random.RandomState(len(rows)).normal(size=x.shape[1])
+        for _ in range(8):
+            v = x.T @ (x @ v)
+            v /= np.linalg.norm(v) or 1.0
+        order = rows[np.argsort(x @ v, kind="stable")]
+        half = block * max(1, round(len(rows) / block / 2))
+        todo += [order[half:], order[:half]]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def learnable(doc_id: Column) -> Column:
@@ -203,169 +223,121 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    *,
-    max_examples: int = MAX_EXAMPLES,
-    false_terms: float = FALSE_TERMS,
+    docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, neighbours: tuple[int, ...] = NEIGHBOURS
 ) -> Model:
-    """Learn from the labelled rows of ``docs``. Labels of repeated ids: toxic if any is. Without labels the model is
-    empty and scores everything 0."""
+    """Learn from at most ``max_examples`` labelled rows of each label, chosen by a hash of the id.
+
+    Labels of repeated ids: toxic if any is. Where ``docs`` repeats an id, the row with the least hash of its text is
+    the example. Rows without id or label teach nothing.
+    """
     given = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .where(learnable(F.col("doc_id")))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_examples)
-        .select(F.col("doc_id").alias("l_id"), "toxic")
-    )
-    # At most max_examples ids, so they may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(given), F.col("doc_id") == F.col("l_id"))
-
-    def start():
-        def f(text):
-            split = [words(t) for t in text]
-            return {"family": [family(s) for s in split], "bag": [sorted(set(s)) for s in split]}
-
-        return f
-
-    bags = map_rows(
-        sample, {"text": F.col("text")}, {"family": T.LongType(), "bag": T.ArrayType(T.StringType())}, start, ["doc_id", "toxic"]
-    )
-    one = bags.groupBy("family").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("f_id"))
-    chosen = bags.join(one, (bags.family == one.family) & (F.col("doc_id") == F.col("f_id"))).select("doc_id", "toxic", "bag")
-    chosen = chosen.persist()
-    n = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    na, nb = n.get(1, 0), n.get(0, 0)
-    empty = Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), [], 0.0)
-    if not na or not nb:
-        chosen.unpersist()
-        return empty
-    begin = f"transform(sequence({PREFIXES[0]}, least(length(w) - 1, {PREFIXES[1]})), k -> concat(left(w, k), '*'))"
-    begins = F.expr(f"flatten(transform(filter(bag, w -> length(w) > {PREFIXES[0]}), w -> {begin}))")
-    stats = (
-        chosen.select("toxic", F.explode(F.array_distinct(F.concat("bag", begins))).alias("term"))
-        .groupBy("term")
-        .agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-        .where(F.col("a") + F.col("b") >= MIN_DOCS)
+        .groupBy(F.col("doc_id").alias("l_id"))
+        .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
-    g = F.lit(0.0)
-    for seen, row, col in (
-        (F.col("a"), na, F.col("a") + F.col("b")),
-        (F.col("b"), nb, F.col("a") + F.col("b")),
-        (na - F.col("a"), na, na + nb - F.col("a") - F.col("b")),
-        (nb - F.col("b"), nb, na + nb - F.col("a") - F.col("b")),
-    ):
-        g = g + F.when(seen > 0, 2 * seen * F.log(seen * (na + nb) / (row * col))).otherwise(F.lit(0.0))
-    toxic_side = F.col("a") / F.lit(na) > F.col("b") / F.lit(nb)
-    stats = stats.select("term", F.greatest(g, F.lit(0.0)).alias("g"), toxic_side.alias("up")).persist()
-    bins = stats.groupBy("up", F.floor(F.col("g") / G_STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    cut = g_cut({r.bin: r.n for r in bins if r.up}, sum(r.n for r in bins), false_terms)
-    picked = stats.where("up").where(F.col("g") >= cut).select("term").collect() if cut is not None else []
-    stats.unpersist()
-    terms = {t: i for i, t in enumerate(sorted(r.term for r in picked))}
-    held = {r.doc_id: r.toxic for r in chosen.select("doc_id", "toxic").collect()}
-    chosen.unpersist()
-    return _model(docs, sample, terms, held)
-
-
-def _model(docs: DataFrame, sample: DataFrame, terms: dict[str, int], held: dict[int, int]) -> Model:
-    """The model of the examples ``held`` (label by id) of the labelled rows; of a repeated id, one row by its hash."""
+    total = {r.toxic: r.n for r in given.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prior = total.get(1, 0) / max(1, sum(total.values()))
+    # At most 2 max_examples ids, so they may be broadcast.
+    some = [given.where(F.col("toxic") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(max_examples) for y in (0, 1)]
+    sample = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("l_id"))
 
     def start():
         def f(text):
-            got = [sorted(Counter(words(t)).items()) for t in text]
-            return {"terms": [[k for k, _ in g] for g in got], "tfs": [[c for _, c in g] for g in got]}
+            bags = []
+            for t in text:
+                bag: Counter = Counter()
+                for w, c in Counter(words(t)).items():
+                    for x in features(w):
+                        bag[x] += c
+                bags.append(bag)
+            return {"terms": [list(g) for g in bags], "tfs": [list(g.values()) for g in bags]}
 
         return f
 
     kinds = {"terms": T.ArrayType(T.StringType()), "tfs": T.ArrayType(T.IntegerType())}
-    sample = sample.withColumn("h", F.xxhash64("text"))
-    got = map_rows(sample, {"text": F.col("text")}, kinds, start, ["doc_id", "h"]).toArrow()
-    doc_ids = got["doc_id"].to_numpy()
-    first: dict[int, int] = {}
-    for at in np.lexsort((got["h"].to_numpy(), doc_ids)).tolist():
-        if int(doc_ids[at]) in held:
-            first.setdefault(int(doc_ids[at]), at)
-    got = got.take(list(first.values())).combine_chunks()
-    ids = np.array(list(first), dtype=np.int64)
-    labels = np.array([held[i] for i in first], dtype=np.float64)
+    args = {"text": F.col("text")}
+    got = map_rows(sample.withColumn("h", F.xxhash64("text")), args, kinds, start, ["doc_id", "toxic", "h"]).toArrow()
+    order = np.lexsort((got["h"].to_numpy(), got["doc_id"].to_numpy()))
+    _, first = np.unique(got["doc_id"].to_numpy()[order], return_index=True)
+    got = got.take(order[first]).combine_chunks()
+    ids, label = got["doc_id"].to_numpy().astype(np.int64), got["toxic"].to_numpy().astype(np.float64)
+    none = Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), prior)
+    if not 0 < label.sum() < len(label):
+        return none
     lists = got["terms"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    word_of, tf = coded.indices.to_numpy(), got["tfs"].combine_chunks().flatten().to_numpy()
-    row_of = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-    every = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
-    word_of, tf = word_of.copy(), tf.copy()
-    # Let go of before the jobs that follow.
-    del got, lists, coded, doc_ids
+    term, tf = coded.indices.to_numpy().astype(np.int64), got["tfs"].combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+    tf = 1 + np.log(tf)
+    del got, lists, coded
     pa.default_memory_pool().release_unused()
-
-    df, total = document_frequencies(docs, terms, every)
-    idf = np.log((total + 1) / (df + 1)) + 1
-    word_idf, idf = idf[len(terms) :], idf[: len(terms)]
-    w = (1 + np.log(tf)) * word_idf[word_of]
-    w /= np.sqrt(np.bincount(row_of, w * w, len(ids)))[row_of]
-    order = np.argsort(word_of, kind="stable").astype(np.int32)
-    starts = np.concatenate([[0], np.cumsum(np.bincount(word_of, minlength=len(every)))])
-    rest = Everything(every, word_idf, ids, labels, starts, row_of[order], w[order])
-
-    hits = {i: h for t, i in every.items() if (h := [terms[x] for x in features(t) if x in terms])}
-    hit = np.zeros(len(every), dtype=bool)
-    hit[list(hits)] = True
-    bags: dict[int, Counter] = {}
-    for j in np.flatnonzero(hit[word_of]).tolist():
-        for t in hits[int(word_of[j])]:
-            bags.setdefault(int(row_of[j]), Counter())[t] += int(tf[j])
-    has = sorted(bags)
-    bare = len(ids) - len(has)
-    return Model(
-        terms,
-        idf,
-        ids[has],
-        labels[has],
-        [vector(bags[i], idf) for i in has],
-        (labels.sum() - labels[has].sum() + 0.5) / (bare + 5),
-        rest,
-    )
-
-
-def _counter(terms: dict[str, int]):
-    known: dict[str, tuple[int, ...]] = {}
-    # Most words share no beginning with a term.
-    heads = frozenset(t.rstrip("*")[: PREFIXES[0]] for t in terms)
-
-    def count(tokens: Counter) -> dict[int, int]:
-        got: dict[int, int] = {}
-        for w, c in tokens.items():
-            if w[: PREFIXES[0]] not in heads:
-                continue
-            hit = known.get(w)
-            if hit is None:
-                if len(known) > 200_000:
-                    known.clear()
-                hit = known[w] = tuple(terms[x] for x in features(w) if x in terms)
-            for t in hit:
-                got[t] = got.get(t, 0) + c
-        return got
-
-    return count
-
-
-def document_frequencies(docs: DataFrame, terms: dict[str, int], every: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each of ``terms`` and then each word of ``every`` occurs, and how many documents
-    there are; a row for each of them and task is summed."""
+    if not terms:
+        return none
+
+    df, n = document_frequencies(docs, terms)
+    idf = np.log((n + 1) / (df + 1)) + 1
+    w = tf * idf[term]
+    w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
+    often = np.bincount(term, minlength=len(terms)) > FULL_ROW_SHARE * len(ids)
+    dense = np.zeros((len(ids), int(often.sum())))
+    mine = often[term]
+    dense[row[mine], (np.cumsum(often) - 1)[term[mine]]] = w[mine]
+    order = _in_blocks(dense)
+    row = np.argsort(order)[row]
+    at = np.lexsort((row, term))
+    starts = np.searchsorted(term[at], np.arange(len(terms) + 1))
+    m = Model(terms, idf, ids[order], label[order], starts, row[at], w[at], prior)
+    calibrate(m, neighbours, {y: total.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)})
+    return m
+
+
+def calibrate(m: Model, neighbours: tuple[int, ...], weight: dict[int, float]) -> None:
+    """Sets the number of neighbours and the rates of label 1 that votes stand for, from the examples' own votes."""
+    index, most = Index(m), max(neighbours)
+    row = np.argsort(m.rows, kind="stable")
+    term = np.repeat(np.arange(len(m.idf)), np.diff(m.starts))[row]
+    bounds = np.searchsorted(m.rows[row], np.arange(len(m.ids) + 1))
+    near: list[list[tuple[float, int]]] = []
+    for at in range(0, len(m.ids), BATCH):
+        mine = range(at, min(at + BATCH, len(m.ids)))
+        found = index.nearest([(term[bounds[i] : bounds[i + 1]], m.weights[row[bounds[i] : bounds[i + 1]]]) for i in mine], most + 1)
+        near += [[(c, j) for c, j in f if j != i] for i, f in zip(mine, found, strict=True)]
+    have = np.array([i for i, f in enumerate(near) if f], dtype=np.int64)
+    if not len(have):
+        return
+    y = m.labels[have]
+    w = np.where(y == 1, weight[1], weight[0])
+    odd = np.argsort(np.argsort(m.ids[have])) % 2 == 1
+    best, rarer = math.inf, min((m.labels == 1).sum(), (m.labels == 0).sum())
+    for k in neighbours:
+        if 2 * k > rarer and k > min(neighbours):
+            continue
+        x = np.array([vote(near[i][:k], m.labels) for i in have])
+        loss = 0.0
+        for part in (odd, ~odd):
+            if part.any() and not part.all():
+                guess = np.interp(x[~part], *isotonic(x[part], y[part], w[part]))
+                loss += float((w[~part] * (guess - y[~part]) ** 2).sum())
+        if loss < best:
+            best, m.k = loss, k
+            m.votes, m.rates = isotonic(x, y, w)
+
+
+def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each of ``terms`` occurs, and how many documents there are; a row for each term
+    and task is summed."""
     kind = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        count, first = _counter(terms), len(terms)
-        seen = np.zeros(first + len(every), dtype=np.int64)
+        count = Terms(terms)
+        seen = np.zeros(len(terms), dtype=np.int64)
         rows = 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                bag = Counter(words(t))
-                at = [*count(bag), *(first + i for i in map(every.get, bag) if i is not None)]
-                seen[at] += 1
+        for b in pieces(batches):
+            for t in b.column(0):
+                bag = count(t.as_py())
+                seen[np.fromiter(bag, dtype=np.int64, count=len(bag))] += 1
                 rows += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict(
@@ -374,48 +346,27 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int], every: dict[str
 
     got = docs.select("text").mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = got["term"].to_numpy(), got["n"].to_numpy()
-    out = np.zeros(len(terms) + len(every))
+    out = np.zeros(len(terms))
     out[term[term >= 0]] = n[term >= 0]
     return out, int(n[term < 0].sum())
 
 
-def score(docs: DataFrame, model: Model, *, k: int = NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with score (0 to 1) and evidence, the nearest examples (doc_id, cosine, label).
-
-    A text without any term is searched over all words of the examples. One without any of these too, null and empty
-    ones among them, gets the rate of examples without a term.
-    """
+def score(docs: DataFrame, model: Model, *, evidence: int = EVIDENCE, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with score (0 to 1) and evidence, the ``evidence`` nearest examples (doc_id, cosine, label)."""
     near = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]
     )
 
     def start():
-        count, index, cache = _counter(model.terms), model.build(), {}
-        every = model.every.build() if model.every is not None else None
-
-        def voted(found, ids, labels):
-            return (
-                vote(found, labels, model.prior) if found else float(model.prior),
-                [{"doc_id": int(ids[i]), "cosine": c, "label": int(labels[i])} for c, i in found],
-            )
-
-        def one(text):
-            tokens = Counter(words(text))
-            bag = count(tokens)
-            if not bag and every is not None:
-                found = every.nearest(tokens, k)
-                return voted(found, model.every.ids, model.every.labels)
-            key = tuple(sorted(bag.items()))
-            if key not in cache:
-                if len(cache) > 50_000:
-                    cache.clear()
-                found = index.nearest(*vector(bag, model.idf), k) if bag else []
-                cache[key] = voted(found, model.ids, model.labels)
-            return cache[key]
+        count, index = Terms(model.terms), Index(model)
 
         def f(text):
-            got = [one(t) for t in text]
-            return {"score": [g[0] for g in got], "evidence": [g[1] for g in got]}
+            scores, shown = [], []
+            for at in range(0, len(text), BATCH):
+                for found in index.nearest([vector(count(t), model.idf) for t in text[at : at + BATCH]], model.k):
+                    scores.append(model.calibrated(vote(found, model.labels)) if found else model.prior)
+                    shown.append([{"doc_id": int(model.ids[j]), "cosine": c, "label": int(model.labels[j])} for c, j in found[:evidence]])
+            return {"score": scores, "evidence": shown}
 
         return f
 

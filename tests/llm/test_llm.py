@@ -396,19 +396,106 @@ def test_fold_of_events(spark):
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_neighbours_equal_brute_force():
-    rng = random.Random(8)
-    idf = np.array([rng.uniform(1, 4) for _ in range(30)])
-    vec = lambda: toxicity.vector({rng.randrange(30): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}, idf)
-    examples = [vec() for _ in range(300)]
-    m = toxicity.Model({str(i): i for i in range(30)}, idf, np.arange(300), np.array([rng.randint(0, 1) for _ in range(300)], float), examples, 0.1)
-    index = m.build(8)
-    for _ in range(60):
-        ids, w = vec()
+def random_examples(rng, n, terms, most=6):
+    """A model of n random vectors (no two alike need be near each other) and a maker of queries."""
+    idf = np.array([rng.uniform(1, 4) for _ in range(terms)])
+    vec = lambda: toxicity.vector({rng.randrange(terms): rng.randint(1, 4) for _ in range(rng.randint(1, most))}, idf)
+    examples = [vec() for _ in range(n)]
+    flat = sorted((int(t), j, float(w)) for j, e in enumerate(examples) for t, w in zip(*e, strict=True))
+    starts = np.searchsorted([t for t, _, _ in flat], np.arange(terms + 1))
+    labels = np.array([rng.randint(0, 1) for _ in range(n)], float)
+    m = toxicity.Model({str(i): i for i in range(terms)}, idf, np.arange(n)[::-1], labels, starts, np.array([j for _, j, _ in flat]), np.array([w for _, _, w in flat]), 0.1)
+    return m, examples, vec
+
+
+@pytest.mark.parametrize("block,full", [(8, 0.0), (8, 0.2), (8, 1.0), (64, 0.1), (500, 0.1)])
+def test_neighbours_equal_brute_force(block, full):
+    m, examples, vec = random_examples(random.Random(8), 300, 30)
+    index = toxicity.Index(m, block, full)
+    queries = [vec() for _ in range(60)] + [toxicity.vector({}, m.idf)]
+    for (ids, w), got in zip(queries, index.nearest(queries, 15), strict=True):
         q = dict(zip(ids.tolist(), w.tolist(), strict=True))
         cos = [round(sum(q.get(int(t), 0) * x for t, x in zip(*e, strict=True)), 12) for e in examples]
-        want = sorted(((-c, i) for i, c in enumerate(cos) if c > 0))[:15]
-        assert [(-round(c, 12), i) for c, i in index.nearest(ids, w)] == want
+        want = sorted((-c, int(m.ids[j]), j) for j, c in enumerate(cos) if c > 0)[:15]
+        assert [(c, j) for c, j in got] == [(-c, j) for c, _, j in want]
+    assert index.opened <= index.pairs
+
+
+def test_blocks_are_skipped():
+    """Examples of two vocabularies: a query opens the blocks of its own only."""
+    rng = random.Random(3)
+    n, terms = 640, 200
+    idf = np.ones(terms)
+    examples = [toxicity.vector({rng.randrange(100) + 100 * (j >= n // 2): 1 for _ in range(8)}, idf) for j in range(n)]
+    flat = sorted((int(t), j, float(w)) for j, e in enumerate(examples) for t, w in zip(*e, strict=True))
+    starts = np.searchsorted([t for t, _, _ in flat], np.arange(terms + 1))
+    m = toxicity.Model({}, idf, np.arange(n), np.zeros(n), starts, np.array([j for _, j, _ in flat]), np.array([w for _, _, w in flat]), 0.1)
+    index = toxicity.Index(m)
+    index.nearest(examples, 9)
+    assert index.opened <= index.pairs / 2
+
+
+def test_isotonic_is_least_squares():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        x, y, w = rng.integers(0, 9, 30) / 9, rng.integers(0, 2, 30).astype(float), rng.uniform(0.5, 3, 30)
+        ends, rates = toxicity.isotonic(x, y, w)
+        at = sorted(set(x))
+        assert set(ends) <= set(at) and all(np.diff(ends) >= 0) and all(np.diff(rates) >= 0)
+        # The rising fit at a place: the largest over starts of the least mean over ends.
+        mean = lambda lo, hi: np.average(y[(x >= lo) & (x <= hi)], weights=w[(x >= lo) & (x <= hi)])
+        for v in at:
+            want = max(min(mean(lo, hi) for hi in at if hi >= v) for lo in at if lo <= v)
+            assert np.interp(v, ends, rates) == pytest.approx(want)
+
+
+def brute_scores(texts, m):
+    """Score and evidence of each text by plain cosine with every example of the model, from counts made here."""
+    import math
+
+    def bag(t):
+        got = Counter()
+        for w in toxicity.words(t):
+            got.update([w] + [w[:k] + "*" for k in (3, 4) if len(w) > k])
+        return got
+
+    bags = {i: bag(t) for i, t in texts.items()}
+    known = {t for i in m.ids.tolist() for t in bags[i]}
+    df = Counter(t for b in bags.values() for t in b if t in known)
+
+    def unit(b):
+        v = {t: (1 + math.log(c)) * (math.log((len(texts) + 1) / (df[t] + 1)) + 1) for t, c in b.items() if t in known}
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / n for t, x in v.items()}
+
+    label = dict(zip(m.ids.tolist(), m.labels.tolist(), strict=True))
+    examples = {i: unit(bags[i]) for i in label}
+    out = {}
+    for i, b in bags.items():
+        q = unit(b)
+        near = sorted((-round(sum(x * e.get(t, 0.0) for t, x in q.items()), 10), j) for j, e in examples.items())[: m.k]
+        near = [(-c, j) for c, j in near if c < 0]
+        v = sum(c * label[j] for c, j in near) / sum(c for c, _ in near) if near else None
+        out[i] = (m.prior if v is None else float(np.interp(v, m.votes, m.rates)), near)
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The query itself: all terms, all examples, exact cosine, votes and rates."""
+    data = "/root/testdata/sf0.001"
+    docs, lab = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    m = toxicity.fit(docs, lab)
+    label = {r.doc_id: r.toxic for r in lab.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert dict(zip(m.ids.tolist(), m.labels.tolist(), strict=True)) == label
+    assert m.prior == pytest.approx(np.mean(list(label.values())))
+    want = brute_scores({r.doc_id: r.text for r in docs.collect()}, m)
+    got = llm.queries()["op9_toxicity"](spark, data).collect()
+    assert len(got) == len(want)
+    for r in got:
+        value, near = want[r.doc_id]
+        assert r.score == pytest.approx(value, abs=1e-6) and r.predicted == int(r.score >= 0.3)
+        assert [e.cosine for e in r.evidence] == pytest.approx([c for c, _ in near[:5]], abs=1e-9)
+        assert all(e.label == label[e.doc_id] for e in r.evidence)
 
 
 def test_toxicity_held_out(spark):
@@ -421,24 +508,8 @@ def test_toxicity_held_out(spark):
     assert sum(p for p, y in held if y) >= 0.6 * sum(y for _, y in held)
 
 
-def test_word_search_equals_brute_force():
-    rng = np.random.default_rng(3)
-    dense = rng.random((40, 200)) * (rng.random((40, 200)) < np.linspace(0.02, 0.9, 40)[:, None])
-    dense /= np.maximum(np.sqrt((dense**2).sum(axis=0)), 1e-9)
-    at, rows = np.nonzero(dense)
-    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=40))])
-    idf = rng.uniform(1, 4, 40)
-    e = toxicity.Everything({f"w{i}": i for i in range(40)}, idf, np.arange(200), np.zeros(200), starts, rows, dense[at, rows])
-    index = e.build()
-    for _ in range(60):
-        bag = {f"w{i}": int(rng.integers(1, 4)) for i in rng.integers(0, 45, 8)}
-        ids, w = toxicity.vector({int(t[1:]): c for t, c in bag.items() if t in e.terms}, idf)
-        want = sorted((-round(float(c), 12), i) for i, c in enumerate(w @ dense[ids]) if c > 0)[:15]
-        assert [(-c, i) for c, i in index.nearest(bag)] == want
-
-
 def test_toxicity_of_few_labels(spark):
-    """Few examples that share only a word's beginning choose it, and a text without any term is searched all the same."""
+    """Few examples that share only a word's beginning are found by it; a copy of a clean example stays clean."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows = [(i, " ".join(word() for _ in range(20)), 0) for i in range(60)]
@@ -448,8 +519,7 @@ def test_toxicity_of_few_labels(spark):
     docs = spark.createDataFrame([r[:2] for r in rows] + [(500, f"zuqqel{word()} {word()}"), (501, copy + " x")], "doc_id long, text string")
     m = toxicity.fit(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
     got = {r.doc_id: r for r in toxicity.score(docs, m).collect()}
-    assert got[500].score > 0.5 and all(got[i].score >= toxicity.THRESHOLD for i, _, y in rows if y)
-    assert got[501].score < 0.3 and got[501].evidence[0].cosine > 0.9
+    assert got[500].score > 0.5 and got[501].score < 0.3 and got[501].evidence[0].cosine > 0.9
 
 
 def test_toxicity_by_language(spark):
@@ -463,11 +533,24 @@ def test_toxicity_by_language(spark):
 
 
 def test_toxicity_odd(spark):
+    """Odd rows with a real model; labels of unknown, null and repeated ids; no labels; one label only."""
     docs = odd_documents(spark)
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    m = toxicity.fit(docs, none)
-    assert {r.score for r in toxicity.score(docs, m).collect()} == {0.0}
+    labels = [(i, 1, int(i in (4, 5))) for i in range(9)] + [(4, 1, 0), (None, 1, 1), (77, 1, 1), (0, None, None)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = toxicity.fit(docs, lab)
+    assert set(m.labels.tolist()) == {0.0, 1.0}
+    got = toxicity.score(docs, m)
+    assert set(got.columns) == {*docs.columns, "evidence"}
+    rows_ = got.collect()
+    assert len(rows_) == 12 and all(0 <= r.score <= 1 for r in rows_)
+    assert {r.score for r in rows_ if not (r.text or "").strip()} == {m.prior}
+    assert len({r.score for r in rows_ if r.text == "a b c d e f g"}) == 1
     assert toxicity.score(docs.limit(0), m).count() == 0
+    none = toxicity.fit(docs, lab.limit(0))
+    assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
+    assert toxicity.fit(docs.limit(0), lab).terms == {}
+    one = toxicity.fit(docs, lab.where("toxic = 1"))
+    assert {r.score for r in toxicity.score(docs, one).collect()} == {1.0}
 
 
 # 10 -----------------------------------------------------------------------------------------------------------------
