@@ -1,92 +1,122 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
-A paragraph (a line that isn't blank) is hashed to a wide vector: the bits of two 64-bit hashes of each of its units,
-which are the paragraph itself and its word pairs that don't overlap (words 1 and 2, 3 and 4, ...). A document's fingerprint is the sum of its paragraphs'
-vectors: the order of paragraphs doesn't matter, and a paragraph is put in or taken out by adding or subtracting its
-vector. Three 21-bit counters are packed in a long; sums are taken modulo 2**64. As every bit is a fair coin, the
-counters also give an unbiased estimate of what two multisets have in common, hence a likeness.
+A paragraph (a line that isn't blank) is hashed to a wide vector: the sum, over its units, of the bits of two 64-bit
+hashes. Units are the paragraph itself and every two neighbouring words of it. A document's fingerprint is the sum of
+its paragraphs' vectors modulo 2**64 in each of 126 counters: the order of paragraphs doesn't matter, and a paragraph is
+put in or taken out by adding or subtracting its vector (``put_in``, ``take_out``). As every bit is a fair coin, the
+counters also give an unbiased estimate of what two multisets have in common, hence a likeness; its standard error is
+about 0.09 for unlike texts.
+
+While units are summed, three counters share a long, for at most ``CHUNK`` units at a time, so no counter ever runs into
+the next one; the chunks' counters are then added one by one. A counter is at most the number of units, so that no text
+that a string can hold wraps it. A null or empty text has a zero vector. Rows of equal id and text are one with a count;
+repeated ids with unlike texts have a fingerprint each. Very long texts are one task's work but not one sum's. Only
+named columns are read, so extra ones can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pin, table
 
-LANE_BITS, LANES = 21, 3
+LANE_BITS, LANES, HASHES = 21, 3, 2
+LANE = (1 << LANE_BITS) - 1
 MASK = sum(1 << LANE_BITS * j for j in range(LANES))
-HASHES = 2
-WORDS = HASHES * LANE_BITS
+SUMS = HASHES * LANE_BITS
+COUNTERS = SUMS * LANES
+#: Less than a lane holds.
+CHUNK = 1 << 20
 SPLITS = (8, 14, 14, 14)
 
 
 def _units(text: Column) -> Column:
     paragraphs = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
-    pairs = F.lit(r"\S+(?:\s+\S+)?")
-    return F.flatten(F.transform(paragraphs, lambda p: F.concat(F.array(p), F.regexp_extract_all(p, pairs, F.lit(0)))))
+    # A word with what follows is consumed, and the next word seen, so pairs overlap; no position is tried twice.
+    pairs = F.lit(r"(?<!\S)(?=(\S++\s++\S++))\S++\s++")
+    return F.flatten(F.transform(paragraphs, lambda p: F.concat(F.array(p), F.regexp_extract_all(p, pairs, F.lit(1)))))
 
 
-@contextmanager
-def wrapping_sums(spark: SparkSession):
-    """Sums of longs that are built within wrap around, as they do in Spark's mode without ANSI errors."""
-    name = "spark.sql.ansi.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def _zero() -> Column:
+    return F.array_repeat(F.lit(0).cast("long"), COUNTERS)
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", numbers: list[str] = ()) -> DataFrame:
-    """A row for each group of equal rows of ``docs``: the keys, numbers, copies (equal rows), units and vec.
+def put_in(vec: Column, other: Column) -> Column:
+    """The vector with the paragraphs of another one."""
+    return F.zip_with(vec, other, lambda x, y: x + y)
 
-    ``keys`` must decide the text and the numbers (long columns). A null or empty text has a zero vector. Equal rows
-    become one with a count before units are made: sums that wrapped could not be divided by the copies again.
-    """
-    rows = docs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("copies"), F.max(text).alias("text"), *[F.max(n).alias(n) for n in numbers]
-    )
+
+def take_out(vec: Column, other: Column) -> Column:
+    """The vector without the paragraphs of another one."""
+    return F.zip_with(vec, other, lambda x, y: x - y)
+
+
+def _unpacked(sums: Column) -> Column:
+    def lane(j: int) -> Column:
+        return F.transform(sums, lambda x: F.shiftright(x, LANE_BITS * j).bitwiseAND(F.lit(LANE)))
+
+    return F.concat(*[lane(j) for j in range(LANES)])
+
+
+def _summed(rows: DataFrame, keys: list[str], texts: list[str], carried: list[str]) -> DataFrame:
+    """keys, carried and ``sums``, an array of (part, units, sums): for each of ``texts`` (part) its chunks' sums."""
+    cut = rows.select(*keys, *carried, *[_units(F.col(t)).alias(f"u{i}") for i, t in enumerate(texts)])
+    ends, end = [], F.lit(0)
+    for i in range(len(texts)):
+        end = end + F.size(f"u{i}")
+        ends.append(end.alias(f"e{i}"))
     # The null unit at the end keeps a row without units.
-    units = F.array_append(_units(F.coalesce(F.col("text"), F.lit(""))), F.lit(None).cast("string"))
-    u = rows.select(*keys, *numbers, "copies", F.explode(units).alias("unit"))
+    every = F.concat(*[F.col(f"u{i}") for i in range(len(texts))], F.array(F.lit(None).cast("string")))
+    u = cut.select(*keys, *carried, *ends, every.alias("u"))
+    u = u.select(*keys, *carried, *[f"e{i}" for i in range(len(texts))], F.posexplode("u").alias("pos", "unit"))
+    part = F.lit(len(texts) - 1)
+    for i in reversed(range(len(texts) - 1)):
+        part = F.when(F.col("pos") < F.col(f"e{i}"), F.lit(i)).otherwise(part)
+    u = u.withColumns({"part": part, "chunk": F.expr(f"pos div {CHUNK}")})
     hashes = [F.xxhash64("unit"), *[F.xxhash64(F.lit(k), F.col("unit")) for k in range(1, HASHES)]]
     u = u.withColumns({f"h{k}": F.when(F.col("unit").isNotNull(), h).otherwise(F.lit(0)) for k, h in enumerate(hashes)})
-    with wrapping_sums(docs.sparkSession):
-        whole = u.groupBy(*keys).agg(
-            *[F.max(n).alias(n) for n in numbers],
-            F.max("copies").alias("copies"),
-            F.count("unit").alias("units"),
-            *[
-                F.sum(F.shiftright(f"h{k}", i).bitwiseAND(F.lit(MASK))).alias(f"s{k * LANE_BITS + i}")
-                for k in range(HASHES)
-                for i in range(LANE_BITS)
-            ],
-        )
-    vec = F.array(*[F.col(f"s{i}") for i in range(WORDS)])
-    return whole.select(*keys, *numbers, "copies", "units", vec.alias("vec"))
+    chunks = u.groupBy(*keys, "part", "chunk").agg(
+        *[F.max(c).alias(c) for c in carried],
+        F.count("unit").alias("units"),
+        *[
+            F.sum(F.shiftright(f"h{k}", i).bitwiseAND(F.lit(MASK))).alias(f"s{k * LANE_BITS + i}")
+            for k in range(HASHES)
+            for i in range(LANE_BITS)
+        ],
+    )
+    one = F.struct("part", "units", F.array(*[F.col(f"s{i}") for i in range(SUMS)]).alias("s"))
+    return chunks.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], F.collect_list(one).alias("sums"))
+
+
+def _of_parts(parts: tuple[int, ...]) -> tuple[Column, Column]:
+    """Units and vector of the given parts together, from ``sums``."""
+    mine = F.filter("sums", lambda x: x["part"].isin(*parts))
+    units = F.aggregate(mine, F.lit(0).cast("long"), lambda n, x: n + x["units"])
+    return units, F.aggregate(mine, _zero(), lambda v, x: put_in(v, _unpacked(x["s"])))
+
+
+def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """A row for each group of equal rows of ``docs``: the keys, copies (equal rows), units and vec.
+
+    ``keys`` must decide the text.
+    """
+    whole = F.coalesce(F.max(text), F.lit("")).alias("text")
+    rows = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), whole)
+    units, vec = _of_parts((0,))
+    return _summed(rows, keys, ["text"], ["copies"]).select(*keys, "copies", units.alias("units"), vec.alias("vec"))
 
 
 def likeness(a: Column, a_units: Column, b: Column, b_units: Column) -> Column:
     """2 <a, b> / (<a, a> + <b, b>) of the counters as sums of signs, within 0 and 1; two empty ones are alike."""
 
-    def signs(x: Column, n: Column, j: int) -> Column:
-        return (F.shiftright(x, LANE_BITS * j).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) * 2 - n).cast("double")
-
     def both(x: Column, y: Column) -> Column:
-        p, q = [signs(x, a_units, j) for j in range(LANES)], [signs(y, b_units, j) for j in range(LANES)]
-        return F.struct(
-            sum((s * t for s, t in zip(p[1:], q[1:], strict=True)), p[0] * q[0]).alias("ab"),
-            sum((s * s + t * t for s, t in zip(p[1:], q[1:], strict=True)), p[0] * p[0] + q[0] * q[0]).alias("sq"),
-        )
+        s, t = (2 * x - a_units).cast("double"), (2 * y - b_units).cast("double")
+        return F.struct((s * t).alias("ab"), (s * s + t * t).alias("sq"))
 
-    zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("sq"))
     sums = F.aggregate(
         F.zip_with(a, b, both),
-        zero,
+        F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("sq")),
         lambda s, x: F.struct((s["ab"] + x["ab"]).alias("ab"), (s["sq"] + x["sq"]).alias("sq")),
         lambda s: F.when(s["sq"] == 0, F.lit(1.0)).otherwise(2 * s["ab"] / s["sq"]),
     )
@@ -94,7 +124,9 @@ def likeness(a: Column, a_units: Column, b: Column, b_units: Column) -> Column:
 
 
 def as_text(vec: Column, units: Column) -> Column:
-    return F.concat(F.lpad(F.hex(units), 8, "0"), F.array_join(F.transform(vec, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    """Units and counters, eight hex digits each."""
+    digits = F.transform(F.concat(F.array(units), vec), lambda x: F.lpad(F.hex(x), 8, "0"))
+    return F.array_join(digits, "")
 
 
 def successors(keys: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
@@ -115,10 +147,22 @@ def successors(keys: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
 
 
 def _edit(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, start) with n_chars and the edited text."""
-    kept = F.expr("left(text, length(text) - length(text) div 4)")
-    edited = F.concat(kept, F.expr("left(start, cast(length(text) div 4 as int))"))
-    return rows.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    """Rows (doc_id, text, start) with n_chars and the edited text, and the lines before the edit (head), those of the
+    text from it on (tail), and those of the edited text (new_tail)."""
+    n = F.length("text")
+    rows = rows.withColumn("kept", F.expr("left(text, length(text) - length(text) div 4)"))
+    rows = rows.withColumn("begun", F.substring_index("kept", "\n", -1))
+    put = F.coalesce(F.expr("left(start, cast(length(text) div 4 as int))"), F.lit(""))
+    before = F.length("kept") - F.length("begun")
+    return rows.select(
+        "doc_id",
+        "text",
+        n.cast("long").alias("n_chars"),
+        F.concat("kept", put).alias("edited"),
+        F.left("kept", before).alias("head"),
+        F.substr("text", before + 1).alias("tail"),
+        F.concat("begun", put).alias("new_tail"),
+    )
 
 
 def _dealt(docs: DataFrame) -> DataFrame:
@@ -154,7 +198,8 @@ def with_edits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     need, dealt = next_ids(docs), _dealt(docs)
     joined = dealt.join(_starts(dealt, need), F.col("doc_id") == F.col("taker")).select("doc_id", "text", "start")
-    return _edit(joined.unionByName(_nameless(docs))), need.select("doc_id", F.col("next").alias("next_id"))
+    edited = _edit(joined.unionByName(_nameless(docs))).select("doc_id", "text", "n_chars", "edited")
+    return edited, need.select("doc_id", F.col("next").alias("next_id"))
 
 
 def _digest_parts(text: Column) -> dict[str, Column]:
@@ -163,44 +208,62 @@ def _digest_parts(text: Column) -> dict[str, Column]:
     return {f"d{i}": F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)}
 
 
-def _compared(rows: DataFrame, own: DataFrame, after: DataFrame | None) -> DataFrame:
-    """The result for edited rows (doc_id, text, n_chars, edited), the own fingerprints and those of the next ones."""
-    parts = _digest_parts(F.col("edited"))
-    edited = fingerprints(rows.withColumn("t", F.md5("text")).withColumns(parts), ["doc_id", "t"], "edited", ["n_chars", *parts])
-    mine = own.select(F.col("doc_id").alias("o_id"), F.col("t").alias("o_t"), F.col("vec").alias("o_vec"), F.col("units").alias("o_units"))
-    near_next = F.lit(0.0)
-    if after is None:
-        all_ = edited.join(mine, F.col("t") == F.col("o_t"))
-    else:
-        # Equal texts, said as two comparisons: a second join key would deal both sides anew.
-        same = (F.col("doc_id") == F.col("o_id")) & (F.col("t") <= F.col("o_t")) & (F.col("t") >= F.col("o_t"))
-        all_ = edited.join(mine, same).join(after, F.col("doc_id") == F.col("of"))
-        near_next = likeness(F.col("o_vec"), F.col("o_units"), F.col("next_vec"), F.col("next_units"))
-    digest = F.concat(*[F.lower(F.lpad(F.hex(d), 8, "0")) for d in parts])
-    return all_.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+def _prints(rows: DataFrame) -> DataFrame:
+    """For each id and text of edited rows: copies, n_chars, digest, own and edited fingerprint. The lines before the
+    edit are summed once for both."""
+    keys, parts = ["doc_id", "t"], ["head", "tail", "new_tail"]
+    digest = _digest_parts(F.col("edited"))
+    rows = rows.withColumn("t", F.md5("text")).withColumns(digest)
+    numbers = ["n_chars", *digest]
+    one = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in [*numbers, *parts]]
+    )
+    (own_units, own), (edited_units, edited) = _of_parts((0, 1)), _of_parts((0, 2))
+    return _summed(one, keys, parts, ["copies", *numbers]).select(
+        *keys,
+        "copies",
+        "n_chars",
+        F.concat(*[F.lower(F.lpad(F.hex(d), 8, "0")) for d in digest]).alias("edited_sha256"),
+        own_units.alias("units"),
+        # At most the number of units of a string, so an int holds it.
+        own.cast("array<int>").alias("vec"),
+        edited_units.alias("edited_units"),
+        edited.cast("array<int>").alias("edited_vec"),
+    )
+
+
+def _result(prints: DataFrame, near_next: Column) -> DataFrame:
+    vec, edited = F.col("vec").cast("array<long>"), F.col("edited_vec").cast("array<long>")
+    return prints.select(
         "doc_id",
         "n_chars",
-        digest.alias("edited_sha256"),
-        as_text(F.col("o_vec"), F.col("o_units")).alias("fingerprint"),
-        as_text(F.col("vec"), F.col("units")).alias("edited_fingerprint"),
-        likeness(F.col("o_vec"), F.col("o_units"), F.col("vec"), F.col("units")).alias("near_edited"),
+        "edited_sha256",
+        as_text(vec, F.col("units")).alias("fingerprint"),
+        as_text(edited, F.col("edited_units")).alias("edited_fingerprint"),
+        likeness(vec, F.col("units"), edited, F.col("edited_units")).alias("near_edited"),
         near_next.alias("near_next"),
-    )
+        "copies",
+    ).select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copies", "copy")
 
 
-def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def compare_with_next(docs: DataFrame) -> DataFrame:
+    """A row for every row of docs (doc_id, text), as op7 returns them. Rows of equal id have the same next document;
+    of several texts of it, the one of the least digest is compared. A row without id has no next document: its text is
+    cut, and near_next is 0."""
     need, dealt = next_ids(docs), _dealt(docs)
-    # All of this is grouped and joined by doc_id on the texts as dealt: only starts and the next one's counters move.
-    own = fingerprints(dealt.withColumn("t", F.md5("text")), ["doc_id", "t"]).drop("copies")
+    joined = dealt.join(_starts(dealt, need), F.col("doc_id") == F.col("taker")).select("doc_id", "text", "start")
+    prints = pin(_prints(_edit(joined)))
     order = need.select(F.col("doc_id").alias("of"), F.col("next").alias("next_id"))
     after = (
-        own.groupBy("doc_id")
+        prints.groupBy("doc_id")
         .agg(F.min(F.struct("t", "units", "vec")).alias("x"))
         .join(order, F.col("doc_id") == F.col("next_id"))
-        .select("of", F.col("x.vec").alias("next_vec"), F.col("x.units").alias("next_units"))
+        .select("of", F.col("x.vec").cast("array<long>").alias("next_vec"), F.col("x.units").alias("next_units"))
     )
-    joined = dealt.join(_starts(dealt, need), F.col("doc_id") == F.col("taker")).select("doc_id", "text", "start")
-    nameless = _nameless(docs)
-    own_of_nameless = fingerprints(nameless.withColumn("t", F.md5("text")), ["doc_id", "t"]).drop("copies")
-    return _compared(_edit(joined), own, after).unionByName(_compared(_edit(nameless), own_of_nameless, None))
+    near = likeness(F.col("vec").cast("array<long>"), F.col("units"), F.col("next_vec"), F.col("next_units"))
+    named = _result(prints.join(after, F.col("doc_id") == F.col("of")), near)
+    return named.unionByName(_result(_prints(_edit(_nameless(docs))), F.lit(0.0)))
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))

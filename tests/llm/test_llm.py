@@ -301,35 +301,76 @@ def python_vector(text):
     units = []
     for p in text.split("\n"):
         if p.strip(" "):
-            units += [p, *re.findall(r"[ \t\n\x0b\f\r]*?([^ \t\n\x0b\f\r]+(?:[ \t\n\x0b\f\r]+[^ \t\n\x0b\f\r]+)?)", p)]
-    vec = [0] * fingerprint.WORDS
+            parts = re.split(r"([ \t\n\x0b\f\r]+)", p.strip(" \t\n\x0b\f\r"))
+            units += [p, *("".join(parts[i : i + 3]) for i in range(0, len(parts) - 2, 2))]
+    vec = [0] * fingerprint.COUNTERS
     for u in units:
         for k in range(fingerprint.HASHES):
             seed = 42 if k == 0 else xxhash.xxh64_intdigest(struct.pack("<i", k), seed=42)
             h = xxhash.xxh64_intdigest(u.encode(), seed=seed)
-            h = h - (1 << 64) if h >> 63 else h
-            for i in range(fingerprint.LANE_BITS):
-                vec[k * fingerprint.LANE_BITS + i] += (h >> i) & fingerprint.MASK
+            for lane in range(fingerprint.LANES):
+                for i in range(fingerprint.LANE_BITS):
+                    vec[lane * fingerprint.SUMS + k * fingerprint.LANE_BITS + i] += h >> (i + lane * fingerprint.LANE_BITS) & 1
     return len(units), vec
 
 
-def test_fingerprints_equal_brute_force(spark):
-    texts = ["a b c\nd e", "d e\na b c", "a b c", "", None, "one two three four\n\n one", "é ü\nß"]
+def python_likeness(a, b):
+    (n, x), (m, y) = python_vector(a), python_vector(b)
+    p, q = [2 * i - n for i in x], [2 * i - m for i in y]
+    sq = sum(i * i + j * j for i, j in zip(p, q, strict=True))
+    return min(1.0, max(0.0, 2 * sum(i * j for i, j in zip(p, q, strict=True)) / sq)) if sq else 1.0
+
+
+@pytest.mark.parametrize("chunk", [fingerprint.CHUNK, 3])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(fingerprint, "CHUNK", chunk)
+    texts = ["a b c\nd e", "d e\na b c", "a b c", "", None, "one two  three four\n\n one", "é ü\nß", " \t x\ty ", "w" * 5000]
     got = {r.doc_id: r for r in fingerprint.fingerprints(documents(spark, texts), ["doc_id"]).collect()}
     for i, t in enumerate(texts):
         assert (got[i].units, list(got[i].vec)) == python_vector(t or "")
     assert got[0].vec == got[1].vec != got[2].vec
-    _, add = python_vector("d e")
-    assert [a + b for a, b in zip(got[2].vec, add, strict=True)] == list(got[0].vec)
+
+
+def test_paragraphs_in_and_out(spark):
+    """Whatever is put in and taken out, the vector is that of the text that is left."""
+    texts = ["a b c\nd e", "f g h", "d e\nf g h\na b c", "a b c"]
+    a, b, both, rest = (F.array(*map(F.lit, python_vector(t)[1])) for t in texts)
+    d = F.array(*map(F.lit, python_vector("d e")[1]))
+    r = spark.range(1).select(fingerprint.put_in(a, b).alias("x"), both.alias("both"), fingerprint.take_out(a, d).alias("y"), rest.alias("rest")).first()
+    assert r.x == r.both and r.y == r.rest
 
 
 def test_fingerprints_of_many_equal_rows(spark):
-    """So many that the sum over all copies would pass bit 63."""
+    """So many that a sum over all copies would pass bit 63."""
     text = " ".join(f"w{i}" for i in range(200))
-    docs = spark.range(60_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    long = " ".join(f"v{i % 700}" for i in range(4001))
+    docs = spark.range(63_000).select(F.when(F.col("id") < 60_000, 1).otherwise(2).cast("long").alias("doc_id"), F.when(F.col("id") < 60_000, text).otherwise(F.lit(long)).alias("text"))
     got = fingerprint.fingerprints(docs.unionByName(documents(spark, [text]).select("doc_id", "text")), ["doc_id"]).collect()
-    assert sorted((r.doc_id, r.copies) for r in got) == [(0, 1), (1, 60_000)]
-    assert all((r.units, list(r.vec)) == python_vector(text) for r in got)
+    assert sorted((r.doc_id, r.copies) for r in got) == [(0, 1), (1, 60_000), (2, 3_000)]
+    assert all((r.units, list(r.vec)) == python_vector(long if r.doc_id == 2 else text) for r in got)
+
+
+def test_likeness_of_very_long_texts(spark):
+    """More units than a lane of a packed sum can count: none carries into the next."""
+    texts = ["a b " * 1_100_000, "c d " * 1_100_000, "a b " * 1_099_990 + "e f"]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(documents(spark, texts), ["doc_id"]).collect()}
+    assert all(r.units > 1 << 21 for r in got.values())
+    pairs = spark.createDataFrame([(got[i].vec, got[i].units, got[j].vec, got[j].units) for i, j in ((0, 1), (0, 2))], "a array<long>, n long, b array<long>, m long")
+    unlike, like = (r.x for r in pairs.select(fingerprint.likeness(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("x")).collect())
+    assert unlike < 0.05 and like > 0.99
+
+
+def test_near_copies_are_like(spark):
+    """A word put in early does not shift what follows it."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(300)]
+    texts = [" ".join(base), " ".join([*base[:3], "new", *base[3:]]), " ".join(f"u{rng.randrange(900)}" for _ in range(300))]
+    got = {r.doc_id: r for r in fingerprint.compare_with_next(documents(spark, texts)).collect()}
+    assert got[0].near_next > 0.95 and got[1].near_next < 0.3
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % 3]
+        k = len(t) // 4
+        assert got[i].near_next == pytest.approx(python_likeness(t, after)) and got[i].near_edited == pytest.approx(python_likeness(t, t[: len(t) - k] + after[:k]))
 
 
 def test_edits(spark, data):
@@ -342,6 +383,10 @@ def test_edits(spark, data):
         t, k = d[i], len(d[i]) // 4
         edited = t[: len(t) - k] + d[after][:k]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        if i % 25 == 0:
+            for value, x in ((got[i].fingerprint, t), (got[i].edited_fingerprint, edited)):
+                n, vec = python_vector(x)
+                assert value == "".join(f"{z:08X}" for z in [n, *vec])
         near += got[i].near_edited > got[i].near_next
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
         far += 1
@@ -355,6 +400,10 @@ def test_fingerprint_odd(spark):
     got, order = fingerprint.with_edits(odd_documents(spark))
     assert got.count() == 12 and order.count() == 9
     assert fingerprint.with_edits(odd_documents(spark).limit(0))[0].count() == 0
+    assert fingerprint.compare_with_next(odd_documents(spark).limit(0)).count() == 0
+    whole = fingerprint.compare_with_next(odd_documents(spark)).collect()
+    assert len(whole) == 12 and len({r.fingerprint for r in whole if r.n_chars == 0}) == 1
+    assert {r.near_next for r in whole if r.doc_id is None} == {0.0}
     one = fingerprint.with_edits(documents(spark, ["abcdefgh"]))[0].first()
     assert one.edited == "abcdefab"
     sparse = spark.createDataFrame([(x, x) for x in (-(1 << 62), -5, 0, 3, 1 << 20, 1 << 40, (1 << 62) + 1)], "key long, first long")
