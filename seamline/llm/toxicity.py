@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine with a block-max inverted index.
 
 The terms of a text are all its words and the first three and four letters of longer ones; none is chosen or left out.
-At most ``max_examples`` labelled documents of each label are the examples, unit vectors of (1 + ln tf) idf, with
+At most ``max_examples`` labelled documents, half of each label where there are as many, are the examples, unit vectors of (1 + ln tf) idf, with
 document frequencies counted over all documents. Alike examples share a block. For every term the index holds the
 largest weight in each block, and its postings grouped by block. A query's upper bounds by block are summed first; the
 two best blocks give the k-th cosine to beat, and only blocks whose bound reaches it are opened, so the neighbours are
@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, pieces, table
+from .common import map_rows, one_thread, pieces, table
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_EXAMPLES = 2_500
+MAX_EXAMPLES = 3_000
 BEGINNINGS = (3, 4)
 #: Numbers of neighbours to choose from.
 NEIGHBOURS = (9, 15, 31, 63)
@@ -54,33 +54,59 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in BEGINNINGS if k < len(word))]
 
 
+class Words(dict):
+    """Numbers of the words met so far, and the known terms of each as ranges of one list."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known, self.terms, self.ends = known, [], [0]
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.terms += [i for x in features(word) if (i := self.known.get(x)) is not None]
+        self.ends.append(len(self.terms))
+        return n
+
+
 class Terms:
-    """Counts of known terms in a text."""
+    """Counts of known terms in texts."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.of = known, {}
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        got: dict[int, int] = {}
-        for w, c in Counter(words(text)).items():
-            hit = self.of.get(w)
-            if hit is None:
-                if len(self.of) > WORDS_KNOWN:
-                    self.of.clear()
-                hit = self.of[w] = tuple(i for x in features(w) if (i := self.known.get(x)) is not None)
-            for t in hit:
-                got[t] = got.get(t, 0) + c
-        return got
-
-
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vector, (1 + ln tf) idf, as sorted term numbers and weights."""
-    ids = np.fromiter(counts, dtype=np.int64, count=len(counts))
-    tf = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-    at = np.argsort(ids)
-    ids, w = ids[at], (1 + np.log(tf[at])) * idf[ids[at]]
-    n = math.sqrt(float(w @ w))
-    return ids, w / n if n else w
+        self.known, self.words = known, Words(known)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count), sorted by text and term."""
+        if len(self.words) > WORDS_KNOWN:
+            self.words = Words(self.known)
+        number = self.words.__getitem__
+        split = [np.fromiter(map(number, words(t)), dtype=np.int64) for t in texts]
+        many = np.concatenate([x + (i << 40) for i, x in enumerate(split)]) if split else np.zeros(0, np.int64)
+        key, n = np.unique(many, return_counts=True)
+        word = key & ((1 << 40) - 1)
+        ends, terms = np.array(self.words.ends), np.array(self.words.terms, dtype=np.int64)
+        at, of = spread(ends[word], ends[word + 1])
+        key, back = np.unique(terms[at] + (key >> 40 << 40)[of], return_inverse=True)
+        return key >> 40, key & ((1 << 40) - 1), np.bincount(back, n[of], len(key))
+
+
+def unit_vectors(text: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Weights (1 + ln tf) idf, of length 1 for each of the n texts."""
+    w = (1 + np.log(tf)) * idf[term]
+    return w / np.sqrt(np.bincount(text, w * w, n))[text]
+
+
+@dataclass
+class Queries:
+    """n unit vectors as (query, term, weight), sorted by query and term."""
+
+    n: int
+    q: np.ndarray
+    t: np.ndarray
+    w: np.ndarray
+
+
+def as_queries(count: Terms, texts: list[str | None], idf: np.ndarray) -> Queries:
+    q, t, tf = count(texts)
+    return Queries(len(texts), q, t, unit_vectors(q, t, tf, idf, len(texts)))
 
 
 @dataclass
@@ -136,12 +162,10 @@ class Index:
         #: Pairs of a query and a block, and how many of them were opened.
         self.pairs = self.opened = 0
 
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """For each unit vector, (cosine, row) of the k nearest with a cosine above 0, nearest first, ties by id."""
-        nq, b = len(queries), self.blocks
-        q = np.repeat(np.arange(nq), [len(t) for t, _ in queries])
-        t = np.concatenate([t for t, _ in queries]) if nq else np.zeros(0, np.int64)
-        w = np.concatenate([w for _, w in queries]) if nq else np.zeros(0)
+    def nearest(self, queries: Queries, k: int) -> list[list[tuple[float, int]]]:
+        """For each query, (cosine, row) of the k nearest with a cosine above 0, nearest first, ties by id."""
+        nq, b = queries.n, self.blocks
+        q, t, w = queries.q, queries.t, queries.w
         dense = np.zeros((nq, len(self.full_max)))
         often = self.place[t] >= 0
         dense[q[often], self.place[t[often]]] = w[often]
@@ -225,7 +249,8 @@ def learnable(doc_id: Column) -> Column:
 def fit(
     docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, neighbours: tuple[int, ...] = NEIGHBOURS
 ) -> Model:
-    """Learn from at most ``max_examples`` labelled rows of each label, chosen by a hash of the id.
+    """Learn from at most ``max_examples`` labelled rows, chosen by a hash of the id: half of them of each label, or more
+    of one where the other has fewer.
 
     Labels of repeated ids: toxic if any is. Where ``docs`` repeats an id, the row with the least hash of its text is
     the example. Rows without id or label teach nothing.
@@ -238,8 +263,9 @@ def fit(
     )
     total = {r.toxic: r.n for r in given.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = total.get(1, 0) / max(1, sum(total.values()))
-    # At most 2 max_examples ids, so they may be broadcast.
-    some = [given.where(F.col("toxic") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(max_examples) for y in (0, 1)]
+    up = min(total.get(1, 0), max(max_examples // 2, max_examples - total.get(0, 0)))
+    # At most max_examples ids, so they may be broadcast.
+    some = [given.where(F.col("toxic") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(n) for y, n in ((0, max_examples - up), (1, up))]
     sample = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), F.col("doc_id") == F.col("l_id"))
 
     def start():
@@ -267,10 +293,9 @@ def fit(
         return none
     lists = got["terms"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    term, tf = coded.indices.to_numpy().astype(np.int64), got["tfs"].combine_chunks().flatten().to_numpy()
-    row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+    term, tf = coded.indices.to_numpy().copy(), got["tfs"].combine_chunks().flatten().to_numpy().copy()
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
-    tf = 1 + np.log(tf)
     del got, lists, coded
     pa.default_memory_pool().release_unused()
     if not terms:
@@ -278,44 +303,59 @@ def fit(
 
     df, n = document_frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)) + 1
-    w = tf * idf[term]
-    w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
+    w = unit_vectors(row, term, tf, idf, len(ids))
     often = np.bincount(term, minlength=len(terms)) > FULL_ROW_SHARE * len(ids)
     dense = np.zeros((len(ids), int(often.sum())))
     mine = often[term]
     dense[row[mine], (np.cumsum(often) - 1)[term[mine]]] = w[mine]
     order = _in_blocks(dense)
-    row = np.argsort(order)[row]
+    del dense, tf
+    row = np.argsort(order).astype(np.int32)[row]
     at = np.lexsort((row, term))
     starts = np.searchsorted(term[at], np.arange(len(terms) + 1))
     m = Model(terms, idf, ids[order], label[order], starts, row[at], w[at], prior)
-    calibrate(m, neighbours, {y: total.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)})
+    del term, row, w, at
+    calibrate(m, votes(docs.sparkSession, m, neighbours), {y: total.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)})
     return m
 
 
-def calibrate(m: Model, neighbours: tuple[int, ...], weight: dict[int, float]) -> None:
-    """Sets the number of neighbours and the rates of label 1 that votes stand for, from the examples' own votes."""
-    index, most = Index(m), max(neighbours)
-    row = np.argsort(m.rows, kind="stable")
-    term = np.repeat(np.arange(len(m.idf)), np.diff(m.starts))[row]
-    bounds = np.searchsorted(m.rows[row], np.arange(len(m.ids) + 1))
-    near: list[list[tuple[float, int]]] = []
-    for at in range(0, len(m.ids), BATCH):
-        mine = range(at, min(at + BATCH, len(m.ids)))
-        found = index.nearest([(term[bounds[i] : bounds[i + 1]], m.weights[row[bounds[i] : bounds[i + 1]]]) for i in mine], most + 1)
-        near += [[(c, j) for c, j in f if j != i] for i, f in zip(mine, found, strict=True)]
-    have = np.array([i for i, f in enumerate(near) if f], dtype=np.int64)
-    if not len(have):
+def votes(spark: SparkSession, m: Model, neighbours: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """For each number of neighbours, the votes on the examples by the others (not a number: no neighbours). At most
+    half of the examples of the rarer label are asked, but for the least number."""
+    rarer = min((m.labels == 1).sum(), (m.labels == 0).sum())
+    ks = [k for k in sorted(neighbours) if 2 * k <= rarer or k == min(neighbours)]
+
+    def run(batches):
+        one_thread()
+        index = Index(m)
+        row = np.argsort(m.rows, kind="stable")
+        term = np.repeat(np.arange(len(m.idf)), np.diff(m.starts))[row]
+        bounds = np.searchsorted(m.rows[row], np.arange(len(m.ids) + 1))
+        for b in batches:
+            for first in b.column(0).to_pylist():
+                mine = np.arange(first, min(first + BATCH, len(m.ids)))
+                at, q = spread(bounds[mine], bounds[mine + 1])
+                found = index.nearest(Queries(len(mine), q, term[at], m.weights[row[at]]), ks[-1] + 1)
+                near = [[(c, j) for c, j in f if j != i] for i, f in zip(mine.tolist(), found, strict=True)]
+                got = [pa.array([vote(f[:k], m.labels) if f else math.nan for f in near]) for k in ks]
+                yield pa.RecordBatch.from_arrays([pa.array(mine), *got], names=["row", *(f"v{k}" for k in ks)])
+
+    kind = T.StructType([T.StructField("row", T.LongType()), *(T.StructField(f"v{k}", T.DoubleType()) for k in ks)])
+    got = spark.range(0, len(m.ids), BATCH).repartition("id").mapInArrow(run, kind).toArrow().sort_by("row")
+    return {k: got[f"v{k}"].to_numpy() for k in ks}
+
+
+def calibrate(m: Model, found: dict[int, np.ndarray], weight: dict[int, float]) -> None:
+    """Sets the number of neighbours and the rates of label 1 that votes stand for."""
+    have = ~np.isnan(next(iter(found.values())))
+    if not have.any():
         return
     y = m.labels[have]
     w = np.where(y == 1, weight[1], weight[0])
     odd = np.argsort(np.argsort(m.ids[have])) % 2 == 1
-    best, rarer = math.inf, min((m.labels == 1).sum(), (m.labels == 0).sum())
-    for k in neighbours:
-        if 2 * k > rarer and k > min(neighbours):
-            continue
-        x = np.array([vote(near[i][:k], m.labels) for i in have])
-        loss = 0.0
+    best = math.inf
+    for k, x in found.items():
+        x, loss = x[have], 0.0
         for part in (odd, ~odd):
             if part.any() and not part.all():
                 guess = np.interp(x[~part], *isotonic(x[part], y[part], w[part]))
@@ -335,10 +375,9 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nda
         seen = np.zeros(len(terms), dtype=np.int64)
         rows = 0
         for b in pieces(batches):
-            for t in b.column(0):
-                bag = count(t.as_py())
-                seen[np.fromiter(bag, dtype=np.int64, count=len(bag))] += 1
-                rows += 1
+            for at in range(0, b.num_rows, BATCH):
+                seen += np.bincount(count(b.column(0).slice(at, BATCH).to_pylist())[1], minlength=len(terms))
+            rows += b.num_rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict(
             {"term": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([rows, *seen[at].tolist()], pa.int64())}
@@ -358,12 +397,13 @@ def score(docs: DataFrame, model: Model, *, evidence: int = EVIDENCE, keep: list
     )
 
     def start():
+        one_thread()
         count, index = Terms(model.terms), Index(model)
 
         def f(text):
             scores, shown = [], []
             for at in range(0, len(text), BATCH):
-                for found in index.nearest([vector(count(t), model.idf) for t in text[at : at + BATCH]], model.k):
+                for found in index.nearest(as_queries(count, text[at : at + BATCH], model.idf), model.k):
                     scores.append(model.calibrated(vote(found, model.labels)) if found else model.prior)
                     shown.append([{"doc_id": int(model.ids[j]), "cosine": c, "label": int(model.labels[j])} for c, j in found[:evidence]])
             return {"score": scores, "evidence": shown}

@@ -445,45 +445,61 @@ def test_fold_of_events(spark):
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
-def random_examples(rng, n, terms, most=6):
-    """A model of n random vectors (no two alike need be near each other) and a maker of queries."""
-    idf = np.array([rng.uniform(1, 4) for _ in range(terms)])
-    vec = lambda: toxicity.vector({rng.randrange(terms): rng.randint(1, 4) for _ in range(rng.randint(1, most))}, idf)
-    examples = [vec() for _ in range(n)]
+def random_vector(rng, terms, idf, most=6):
+    """Term numbers and weights of a unit vector."""
+    counts = {rng.randrange(terms): rng.randint(1, 4) for _ in range(rng.randint(1, most))}
+    t, c = np.array(sorted(counts)), np.array([counts[i] for i in sorted(counts)], float)
+    return t, toxicity.unit_vectors(np.zeros(len(t), int), t, c, idf, 1)
+
+
+def queries_of(vectors):
+    n = [len(t) for t, _ in vectors]
+    return toxicity.Queries(len(n), np.repeat(np.arange(len(n)), n), np.concatenate([t for t, _ in vectors]).astype(int), np.concatenate([w for _, w in vectors]))
+
+
+def model_of(examples, idf, ids, labels):
     flat = sorted((int(t), j, float(w)) for j, e in enumerate(examples) for t, w in zip(*e, strict=True))
-    starts = np.searchsorted([t for t, _, _ in flat], np.arange(terms + 1))
-    labels = np.array([rng.randint(0, 1) for _ in range(n)], float)
-    m = toxicity.Model({str(i): i for i in range(terms)}, idf, np.arange(n)[::-1], labels, starts, np.array([j for _, j, _ in flat]), np.array([w for _, _, w in flat]), 0.1)
-    return m, examples, vec
+    starts = np.searchsorted([t for t, _, _ in flat], np.arange(len(idf) + 1))
+    return toxicity.Model({}, idf, ids, labels, starts, np.array([j for _, j, _ in flat]), np.array([w for _, _, w in flat]), 0.1)
 
 
 @pytest.mark.parametrize("block,full", [(8, 0.0), (8, 0.2), (8, 1.0), (64, 0.1), (500, 0.1)])
 def test_neighbours_equal_brute_force(block, full):
-    m, examples, vec = random_examples(random.Random(8), 300, 30)
+    rng = random.Random(8)
+    idf = np.array([rng.uniform(1, 4) for _ in range(30)])
+    examples = [random_vector(rng, 30, idf) for _ in range(300)]
+    m = model_of(examples, idf, np.arange(300)[::-1], np.zeros(300))
     index = toxicity.Index(m, block, full)
-    queries = [vec() for _ in range(60)] + [toxicity.vector({}, m.idf)]
-    for (ids, w), got in zip(queries, index.nearest(queries, 15), strict=True):
+    queries = [random_vector(rng, 30, idf) for _ in range(60)] + [(np.zeros(0), np.zeros(0))]
+    for (ids, w), got in zip(queries, index.nearest(queries_of(queries), 15), strict=True):
         q = dict(zip(ids.tolist(), w.tolist(), strict=True))
         cos = [round(sum(q.get(int(t), 0) * x for t, x in zip(*e, strict=True)), 12) for e in examples]
         want = sorted((-c, int(m.ids[j]), j) for j, c in enumerate(cos) if c > 0)[:15]
-        assert [(c, j) for c, j in got] == [(-c, j) for c, _, j in want]
+        assert got == [(-c, j) for c, _, j in want]
     assert index.opened <= index.pairs
 
 
 def test_blocks_are_skipped():
     """Examples of two vocabularies: a query opens the blocks of its own only."""
     rng = random.Random(3)
-    n, terms = 640, 200
-    idf = np.ones(terms)
-    examples = [toxicity.vector({rng.randrange(100) + 100 * (j >= n // 2): 1 for _ in range(8)}, idf) for j in range(n)]
-    flat = sorted((int(t), j, float(w)) for j, e in enumerate(examples) for t, w in zip(*e, strict=True))
-    starts = np.searchsorted([t for t, _, _ in flat], np.arange(terms + 1))
-    m = toxicity.Model({}, idf, np.arange(n), np.zeros(n), starts, np.array([j for _, j, _ in flat]), np.array([w for _, _, w in flat]), 0.1)
-    index = toxicity.Index(m)
-    index.nearest(examples, 9)
+    n, idf = 640, np.ones(200)
+    examples = [(t + 100 * (j >= n // 2), w) for j in range(n) for t, w in [random_vector(rng, 100, idf, 12)]]
+    index = toxicity.Index(model_of(examples, idf, np.arange(n), np.zeros(n)))
+    index.nearest(queries_of(examples), 9)
     assert index.opened <= index.pairs / 2
 
 
+def test_terms_of_texts():
+    known = {t: i for i, t in enumerate(["a", "abc*", "abcd*", "abcde", "abc", "zz"])}
+    count = toxicity.Terms(known)
+    for texts in (["A abc abcde", None, "", "zz q abcdx zz"], ["abcde abcde"], [], [None]):
+        want = []
+        for i, t in enumerate(texts):
+            bag = Counter(x for w in toxicity.words(t) for x in toxicity.features(w))
+            want += sorted((i, known[x], c) for x, c in bag.items() if x in known)
+        assert [tuple(map(int, r)) for r in zip(*count(texts), strict=True)] == want
+
+
 def test_isotonic_is_least_squares():
     rng = np.random.default_rng(6)
     for _ in range(20):
