@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, one_thread, pieces, table
+from .common import map_rows, one_thread, pieces, shared_folder, table
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_EXAMPLES = 3_000
@@ -42,7 +44,7 @@ FULL_ROW_SHARE = 1 / 20
 THRESHOLD = 0.3
 BATCH = 64
 #: Words whose terms a task remembers; beyond it the memory is emptied, which changes no result.
-WORDS_KNOWN = 200_000
+WORDS_KNOWN = 300_000
 
 
 def words(text: str | None) -> list[str]:
@@ -58,12 +60,20 @@ class Words(dict):
     """Numbers of the words met so far, and the known terms of each as ranges of one list."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.terms, self.ends = known, [], [0]
+        self.known, self.terms, self.ends = known, array("q"), array("q", [0])
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
-        self.terms += [i for x in features(word) if (i := self.known.get(x)) is not None]
-        self.ends.append(len(self.terms))
+        get, terms = self.known.get, self.terms
+        i = get(word)
+        if i is not None:
+            terms.append(i)
+        for k in BEGINNINGS:
+            if k < len(word):
+                i = get(word[:k] + "*")
+                if i is not None:
+                    terms.append(i)
+        self.ends.append(len(terms))
         return n
 
 
@@ -77,15 +87,22 @@ class Terms:
         """(text, term, count), sorted by text and term."""
         if len(self.words) > WORDS_KNOWN:
             self.words = Words(self.known)
+        bags = [Counter(words(t)) for t in texts]
         number = self.words.__getitem__
-        split = [np.fromiter(map(number, words(t)), dtype=np.int64) for t in texts]
-        many = np.concatenate([x + (i << 40) for i, x in enumerate(split)]) if split else np.zeros(0, np.int64)
-        key, n = np.unique(many, return_counts=True)
-        word = key & ((1 << 40) - 1)
-        ends, terms = np.array(self.words.ends), np.array(self.words.terms, dtype=np.int64)
+        word = np.fromiter((i for b in bags for i in map(number, b)), dtype=np.int64)
+        n = np.fromiter((c for b in bags for c in b.values()), dtype=np.int64, count=len(word))
+        text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        ends = np.frombuffer(self.words.ends, dtype=np.int64)
         at, of = spread(ends[word], ends[word + 1])
-        key, back = np.unique(terms[at] + (key >> 40 << 40)[of], return_inverse=True)
-        return key >> 40, key & ((1 << 40) - 1), np.bincount(back, n[of], len(key))
+        del ends
+        terms = np.frombuffer(self.words.terms, dtype=np.int64)[at] if len(at) else at
+        key = terms + (text[of] << 40)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        total = np.add.reduceat(n[of][order], first) if len(first) else first
+        key = key[first]
+        return key >> 40, key & ((1 << 40) - 1), total
 
 
 def unit_vectors(text: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
@@ -104,11 +121,6 @@ class Queries:
     w: np.ndarray
 
 
-def as_queries(count: Terms, texts: list[str | None], idf: np.ndarray) -> Queries:
-    q, t, tf = count(texts)
-    return Queries(len(texts), q, t, unit_vectors(q, t, tf, idf, len(texts)))
-
-
 @dataclass
 class Model:
     """Terms with idf; postings of the examples by term (starts, rows, weights), rows in the order of blocks."""
@@ -246,11 +258,24 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, neighbours: tuple[int, ...] = NEIGHBOURS
-) -> Model:
-    """Learn from at most ``max_examples`` labelled rows, chosen by a hash of the id: half of them of each label, or more
-    of one where the other has fewer.
+@dataclass
+class Examples:
+    """The labelled examples: rate of label 1, ids, labels, (row, term, count), the terms, and the labelled rows that an
+    example of each label stands for. Without terms nothing can be learnt."""
+
+    prior: float
+    ids: np.ndarray | None = None
+    label: np.ndarray | None = None
+    row: np.ndarray | None = None
+    term: np.ndarray | None = None
+    tf: np.ndarray | None = None
+    terms: dict[str, int] = field(default_factory=dict)
+    weight: dict[int, float] | None = None
+
+
+def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Examples:
+    """At most ``max_examples`` labelled rows, chosen by a hash of the id: half of them of each label, or more of one
+    where the other has fewer.
 
     Labels of repeated ids: toxic if any is. Where ``docs`` repeats an id, the row with the least hash of its text is
     the example. Rows without id or label teach nothing.
@@ -288,9 +313,8 @@ def fit(
     _, first = np.unique(got["doc_id"].to_numpy()[order], return_index=True)
     got = got.take(order[first]).combine_chunks()
     ids, label = got["doc_id"].to_numpy().astype(np.int64), got["toxic"].to_numpy().astype(np.float64)
-    none = Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), prior)
     if not 0 < label.sum() < len(label):
-        return none
+        return Examples(prior)
     lists = got["terms"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
     term, tf = coded.indices.to_numpy().copy(), got["tfs"].combine_chunks().flatten().to_numpy().copy()
@@ -298,27 +322,74 @@ def fit(
     terms = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
     del got, lists, coded
     pa.default_memory_pool().release_unused()
-    if not terms:
-        return none
+    weight = {y: total.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)}
+    return Examples(prior, ids, label, row, term, tf, terms, weight)
+
+
+def encoded(docs: DataFrame, terms: dict[str, int], keep: list[str]) -> tuple[DataFrame, tuple[str, str]]:
+    """``keep`` of docs with two columns under free names: numbers of the known terms of each text, and their counts."""
+    at = ("terms", "counts")
+    while set(at) & set(keep):
+        at = (at[0] + "_", at[1] + "_")
+
+    def start():
+        count = Terms(terms)
+
+        def f(text):
+            ids, counts = [], []
+            for i in range(0, len(text), BATCH):
+                part = text[i : i + BATCH]
+                q, t, tf = count(part)
+                ends = np.searchsorted(q, np.arange(len(part) + 1)).tolist()
+                t, tf = t.astype("<i4"), tf.astype("<i4")
+                ids += [t[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+                counts += [tf[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            return {at[0]: ids, at[1]: counts}
+
+        return f
 
-    df, n = document_frequencies(docs, terms)
+    kinds = {at[0]: T.BinaryType(), at[1]: T.BinaryType()}
+    return map_rows(docs, {"text": F.col("text")}, kinds, start, keep), at
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, read again."""
+    at = f"{shared_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def finish(encoded: DataFrame, at: tuple[str, str], e: Examples, neighbours: tuple[int, ...] = NEIGHBOURS) -> Model:
+    """The model of the examples, with document frequencies of all encoded rows."""
+    if not e.terms:
+        return Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), e.prior)
+    ids, label, row, term, terms = e.ids, e.label, e.row, e.term, e.terms
+    df, n = document_frequencies(encoded, at, len(terms))
     idf = np.log((n + 1) / (df + 1)) + 1
-    w = unit_vectors(row, term, tf, idf, len(ids))
+    w = unit_vectors(row, term, e.tf, idf, len(ids))
     often = np.bincount(term, minlength=len(terms)) > FULL_ROW_SHARE * len(ids)
     dense = np.zeros((len(ids), int(often.sum())))
     mine = often[term]
     dense[row[mine], (np.cumsum(often) - 1)[term[mine]]] = w[mine]
     order = _in_blocks(dense)
-    del dense, tf
+    del dense
     row = np.argsort(order).astype(np.int32)[row]
-    at = np.lexsort((row, term))
-    starts = np.searchsorted(term[at], np.arange(len(terms) + 1))
-    m = Model(terms, idf, ids[order], label[order], starts, row[at], w[at], prior)
-    del term, row, w, at
-    calibrate(m, votes(docs.sparkSession, m, neighbours), {y: total.get(y, 0) / max(1, int((label == y).sum())) for y in (0, 1)})
+    by = np.lexsort((row, term))
+    starts = np.searchsorted(term[by], np.arange(len(terms) + 1))
+    m = Model(terms, idf, ids[order], label[order], starts, row[by], w[by], e.prior)
+    del term, row, w, by
+    calibrate(m, votes(encoded.sparkSession, m, neighbours), e.weight)
     return m
 
 
+def fit(
+    docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, neighbours: tuple[int, ...] = NEIGHBOURS
+) -> Model:
+    """Learn from docs (doc_id, text) and labels (doc_id, toxic)."""
+    e = examples(docs, labels, max_examples)
+    return finish(*encoded(docs, e.terms, []), e, neighbours)
+
+
 def votes(spark: SparkSession, m: Model, neighbours: tuple[int, ...]) -> dict[int, np.ndarray]:
     """For each number of neighbours, the votes on the examples by the others (not a number: no neighbours). At most
     half of the examples of the rarer label are asked, but for the least number."""
@@ -365,58 +436,75 @@ def calibrate(m: Model, found: dict[int, np.ndarray], weight: dict[int, float])
             m.votes, m.rates = isotonic(x, y, w)
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each of ``terms`` occurs, and how many documents there are; a row for each term
-    and task is summed."""
+def document_frequencies(encoded: DataFrame, at: tuple[str, str], n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many rows each of the terms occurs, and how many rows there are; a row for each term and task is summed."""
     kind = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        count = Terms(terms)
-        seen = np.zeros(len(terms), dtype=np.int64)
+        seen = np.zeros(n_terms, dtype=np.int64)
         rows = 0
         for b in pieces(batches):
-            for at in range(0, b.num_rows, BATCH):
-                seen += np.bincount(count(b.column(0).slice(at, BATCH).to_pylist())[1], minlength=len(terms))
+            seen += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=n_terms)
             rows += b.num_rows
-        at = np.flatnonzero(seen)
+        some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict(
-            {"term": pa.array([-1, *at.tolist()], pa.int32()), "n": pa.array([rows, *seen[at].tolist()], pa.int64())}
+            {"term": pa.array([-1, *some.tolist()], pa.int32()), "n": pa.array([rows, *seen[some].tolist()], pa.int64())}
         )
 
-    got = docs.select("text").mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = encoded.select(at[0]).mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = got["term"].to_numpy(), got["n"].to_numpy()
-    out = np.zeros(len(terms))
+    out = np.zeros(n_terms)
     out[term[term >= 0]] = n[term >= 0]
     return out, int(n[term < 0].sum())
 
 
-def score(docs: DataFrame, model: Model, *, evidence: int = EVIDENCE, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with score (0 to 1) and evidence, the ``evidence`` nearest examples (doc_id, cosine, label)."""
+def score_encoded(rows: DataFrame, at: tuple[str, str], model: Model, evidence: int, keep: list[str]) -> DataFrame:
+    """``keep`` of encoded rows with score and evidence."""
     near = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]
     )
 
     def start():
         one_thread()
-        count, index = Terms(model.terms), Index(model)
+        index = Index(model)
 
-        def f(text):
+        def f(terms, counts):
             scores, shown = [], []
-            for at in range(0, len(text), BATCH):
-                for found in index.nearest(as_queries(count, text[at : at + BATCH], model.idf), model.k):
+            for i in range(0, len(terms), BATCH):
+                part = terms[i : i + BATCH]
+                t = np.frombuffer(b"".join(part), "<i4").astype(np.int64)
+                tf = np.frombuffer(b"".join(counts[i : i + BATCH]), "<i4")
+                q = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part])
+                queries = Queries(len(part), q, t, unit_vectors(q, t, tf, model.idf, len(part)))
+                for found in index.nearest(queries, model.k):
                     scores.append(model.calibrated(vote(found, model.labels)) if found else model.prior)
                     shown.append([{"doc_id": int(model.ids[j]), "cosine": c, "label": int(model.labels[j])} for c, j in found[:evidence]])
             return {"score": scores, "evidence": shown}
 
         return f
 
-    return map_rows(docs, {"text": F.col("text")}, {"score": T.DoubleType(), "evidence": T.ArrayType(near)}, start, keep)
+    args = {"terms": F.col(at[0]), "counts": F.col(at[1])}
+    return map_rows(rows, args, {"score": T.DoubleType(), "evidence": T.ArrayType(near)}, start, keep)
+
+
+def score(docs: DataFrame, model: Model, *, evidence: int = EVIDENCE, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with score (0 to 1) and evidence, the ``evidence`` nearest examples (doc_id, cosine, label)."""
+    keep = docs.columns if keep is None else keep
+    return score_encoded(*encoded(docs, model.terms, keep), model, evidence, keep)
+
+
+def learn_and_score(docs: DataFrame, labels: DataFrame, *, evidence: int = EVIDENCE, keep: list[str] | None = None) -> DataFrame:
+    """As ``score`` with a model of these rows and labels; texts are cut into terms once, for frequencies and search."""
+    keep = docs.columns if keep is None else keep
+    e = examples(docs, labels)
+    rows, at = encoded(docs, e.terms, keep)
+    rows = written(rows)
+    return score_encoded(rows, at, finish(rows, at, e), evidence, keep)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, keep=["doc_id"]).select(
+    return learn_and_score(docs, table(spark, sf_dir, "labels"), keep=["doc_id"]).select(
         "doc_id",
         (~learnable(F.col("doc_id"))).alias("held_out"),
         "score",
