@@ -31,7 +31,11 @@ BLOCK = 1024
 PIVOTS = 4
 BLOCK_WORDS = 60_000
 MAX_WORDS_KNOWN = 1_000_000
+#: Up to so many links are joined by one task; a parameter of ``near_duplicates``.
 TASK_EDGES = 500_000
+#: At most so many bands count as hot, and only they are broadcast.
+HOT_BANDS = 8192
+FILTER_BITS = 24
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEED = np.random.RandomState(20240229)
@@ -101,6 +105,12 @@ def signatures(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), packed.view(np.int64)
 
 
+def digests(items: np.ndarray) -> tuple[int, int]:
+    """Two numbers that tell sets apart, as signed longs."""
+    d1, d2 = np.add.reduce(items), np.add.reduce(_mix(items ^ _P))
+    return int(d1.view(np.int64)), int(d2.view(np.int64))
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, d1, d2, sig, bands); d1 and d2 tell sets apart; empty sets have null arrays."""
     out = {
@@ -123,8 +133,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                     continue
                 keys, sig = signatures(minima([s for _, s in part]))
                 for (t, s), k, g in zip(part, keys, sig, strict=True):
-                    d1, d2 = np.add.reduce(s), np.add.reduce(_mix(s ^ _P))
-                    done[t] = (len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), g, k)
+                    done[t] = (len(s), *digests(s), g, k)
             none = (0, 0, 0, None, None)
             got = [done.get(t, none) for t in text]
             return {name: [g[i] for g in got] for i, name in enumerate(out)}
@@ -159,16 +168,41 @@ def may_link(na: Column, nb: Column) -> Column:
     return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
 
 
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for every hash of the ids (i): 2**FILTER_BITS bits, whatever the number of ids."""
+    h = F.xxhash64("i").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = ids.select(F.shiftright(h, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out
+
+
 def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, items) with the sorted shingle hashes of the documents whose id is in ``ids`` (i)."""
-    texts = docs.join(ids, docs.doc_id == ids.i, "left_semi").select("doc_id", "text")
+    """(doc_id, items) with the sorted shingle hashes of the documents whose id is in ``ids`` (i).
+
+    Texts are passed through a filter of bounded size first, so that only few others' sets are shuffled for the exact
+    join. Where rows repeat an id, the set of the least digest is taken.
+    """
+    bits = _filter_of(ids)
 
     def start():
         shingles = Shingler()
-        return lambda text: {"items": [shingles(t).view(np.int64) for t in text]}
 
-    args, out = {"text": F.col("text").cast("binary")}, {"items": T.ArrayType(T.LongType())}
-    return map_rows(texts, args, out, start, ["doc_id"]).dropDuplicates(["doc_id"])
+        def f(text, h):
+            h = np.array(h, dtype=np.int64) & ((1 << FILTER_BITS) - 1)
+            may = bits[h >> 6] >> (h & 63) & 1
+            sets = [shingles(t) if m else None for t, m in zip(text, may.tolist(), strict=True)]
+            digest = [digests(x) if x is not None else (None, None) for x in sets]
+            return {"items": [None if x is None else x.view(np.int64) for x in sets], "d1": [d for d, _ in digest], "d2": [d for _, d in digest]}
+
+        return f
+
+    args = {"text": F.col("text").cast("binary"), "h": F.xxhash64("doc_id")}
+    out = {"items": T.ArrayType(T.LongType()), "d1": T.LongType(), "d2": T.LongType()}
+    some = map_rows(docs, args, out, start, ["doc_id"]).where("items is not null")
+    kept = some.join(ids, F.col("doc_id") == F.col("i"), "left_semi")
+    return kept.groupBy("doc_id").agg(F.min_by("items", F.struct("d1", "d2")).alias("items"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,11 +244,32 @@ def _components_of_few(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, component long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+class Bands:
+    """Joins on ``band`` in which no band makes one task large.
+
+    Of all rows (band, id), hot bands hold more than one in HOT_BANDS, so there are fewer than HOT_BANDS of them: their
+    few facts are broadcast, and the rows stay where they are. All other bands are shuffled as usual.
+    """
+
+    def __init__(self, sizes: DataFrame, rows: int):
+        self.hot = sizes.where(F.col("n") > rows / HOT_BANDS).select(F.col("band").alias("hot"))
+
+    def _split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        few = F.broadcast(self.hot)
+        return df.join(few, F.col("band") == F.col("hot"), "left_anti"), df.join(few, F.col("band") == F.col("hot"), "left_semi")
+
+    def join(self, rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """``rows`` with the ``facts`` of their bands, one row a band."""
+        rest, hot = self._split(rows)
+        facts_rest, facts_hot = self._split(facts)
+        return rest.join(facts_rest, "band").unionByName(hot.join(F.broadcast(facts_hot), "band"))
+
+
+def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """(node, component) with the least node of each connected component, for undirected edges (a, b).
 
     Large-star and small-star steps in turn (Kiveris et al., 2014) until nothing changes; each round is checkpointed.
-    Up to TASK_EDGES edges, counted first, are joined by one executor's task instead, with the same result.
+    Up to ``task_edges`` edges (TASK_EDGES), counted first, are joined by one executor's task, with the same result.
     """
 
     def both_ways(e):
@@ -233,7 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
         return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
     e = pin(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.count() <= TASK_EDGES:
+    if e.count() <= (TASK_EDGES if task_edges is None else task_edges):
         return _components_of_few(e)
     last = None
     while True:
@@ -311,38 +366,38 @@ def _blocked_links(many: DataFrame, sig: DataFrame, sets: DataFrame) -> DataFram
     return placed.groupBy("cluster", "p", "q").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, task_edges: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
-    Rows that repeat a doc_id stand or fall together and should repeat its text. A text without words, null or empty,
-    has an empty set and is linked with nothing. A row without doc_id can't stand for others: it gets the component of
-    its exact copies, if any.
+    Rows that repeat a doc_id stand or fall together; where their texts differ, the one of the least digest is compared.
+    A text without words, null or empty, has an empty set and is linked with nothing. A row without doc_id can't stand
+    for others: it gets the component of its exact copies, if any. Very long texts are read whole. Extra columns are not
+    read. An empty table gives an empty result. ``task_edges`` is that of ``components``.
     """
     docs = docs.select("doc_id", "text")
     sets = pin(set_table(docs))
     some = sets.where("n_shingles > 0")
     classes = pin(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     ids = classes.select(F.col("rep").alias("r"))
-    reps = pin(
-        some.join(ids, F.col("doc_id") == F.col("r"), "left_semi")
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sig", "bands")
-        .dropDuplicates(["id"])
-    )
+    one = F.min_by(F.struct(F.col("n_shingles").alias("size"), "sig", "bands"), F.struct("d1", "d2")).alias("x")
+    chosen = some.join(ids, F.col("doc_id") == F.col("r"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(one)
+    reps = pin(chosen.select("id", "x.size", "x.sig", "x.bands"))
     sig = reps.select("id", "size", "sig")
     bands = reps.select("id", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = pin(bands.join(shared, "band").select("band", "id", "least", "n"))
+    shared = pin(bands.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    on_band = Bands(shared, reps.count() * BANDS)
+    crowded = pin(on_band.join(bands, shared).select("band", "id", "least", "n"))
     star = crowded.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     # The full sets of all classes that share a bucket, for every comparison to come.
     full = pin(full_sets(crowded.select(F.col("id").alias("i")).distinct(), docs))
     links = pin(confirm(_sieved(star, sig), full))
-    found = pin(components(links))
-    left = pin(_open(crowded, found))
+    found = pin(components(links, task_edges))
+    left = pin(_open(crowded, found, on_band))
     if not left.isEmpty():
         # What is left over tries the pivots of its buckets that look most alike.
         pivot = left.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", "band").alias("h"), "id", "comp")).alias("p"))
         tries = (
-            left.join(pivot, "band")
+            on_band.join(left, pivot)
             .where("comp != p.comp")
             .select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), F.col("id").alias("x"))
             .distinct()
@@ -350,8 +405,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         best = Window.partitionBy("x").orderBy("differ", "a", "b")
         alike = _sieved(tries, sig).withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS)
         links = pin(links.union(confirm(alike.select("a", "b").distinct(), full)))
-        found = pin(components(links))
-        left = pin(_open(left.select("band", "id"), found))
+        found = pin(components(links, task_edges))
+        left = pin(_open(left.select("band", "id"), found, on_band))
     few = left.where(F.col("n") <= SMALL_BUCKET)
     x = few.select("band", F.col("id").alias("a"), F.col("comp").alias("ca"))
     y = few.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"))
@@ -363,7 +418,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         late = late.union(_blocked_links(many, sig, full))
     late = pin(late.distinct())
     if not late.isEmpty():
-        found = components(links.union(late))
+        found = components(links.union(late), task_edges)
     known = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("d1").alias("c1"),
         F.col("d2").alias("c2"),
@@ -381,7 +436,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _open(crowded: DataFrame, found: DataFrame) -> DataFrame:
+def _open(crowded: DataFrame, found: DataFrame, on_band: Bands) -> DataFrame:
     """(band, id, comp, n) of the buckets of ``crowded`` (band, id) in which more than one component is left."""
     comp = F.coalesce("component", "id")
     marked = crowded.join(found, F.col("id") == F.col("node"), "left").select("band", "id", comp.alias("comp"))
@@ -391,7 +446,7 @@ def _open(crowded: DataFrame, found: DataFrame) -> DataFrame:
         .where("lo < hi")
         .select("band", "n")
     )
-    return marked.join(several, "band")
+    return on_band.join(marked, several)
 
 
 def _sieved(pairs: DataFrame, sig: DataFrame) -> DataFrame:

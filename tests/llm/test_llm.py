@@ -676,6 +676,34 @@ def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
     assert got == brute_components(dict(enumerate(texts)))
 
 
+def test_hot_bands_change_nothing(spark, monkeypatch):
+    """Whether a band counts as hot or not, the links are the same."""
+    texts = near_copies(3, 6, 12) + [" ".join(f"s{i}" for i in range(50)) + f" x{k} y{k}" for k in range(40)]
+    want = brute_components(dict(enumerate(texts)))
+    for most in (1, 10**9):
+        monkeypatch.setattr(minhash, "HOT_BANDS", most)
+        monkeypatch.setattr(minhash, "FILTER_BITS", 6 if most == 1 else 24)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+        assert got == want
+
+
+def test_recall_just_above_the_limit(spark):
+    """2,000 pairs of a similarity from 0.75 to 0.8, no two pairs alike: every link is found."""
+    rng = random.Random(29)
+    texts, want = [], 0
+    while want < 2000:
+        base = [f"w{rng.randrange(100_000)}" for _ in range(rng.randint(60, 120))]
+        other = list(base)
+        for _ in range(rng.randint(1, 4)):
+            other[rng.randrange(len(other))] = f"n{rng.randrange(100_000)}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, other))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.8:
+            texts += [" ".join(base), " ".join(other)]
+            want += 1
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert sum(got[i] == got[i + 1] == i for i in range(0, len(texts), 2)) == want
+
+
 def test_estimate_is_close():
     rng = np.random.RandomState(1)
     pool = rng.randint(0, 1 << 62, 4000).astype(np.uint64)
@@ -698,6 +726,17 @@ def test_components(spark, monkeypatch, most):
     assert got == {i: 0 for i in range(41)} | {50: 50, 60: 50, 100: 50}
 
 
+def test_repeated_ids_with_unlike_texts(spark):
+    """One of the texts is compared, the same in every run, and all rows of the id share its component."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows_ = [(1, base), (1, "quite another text of some words"), (2, base + " more"), (1, base)]
+    results = set()
+    for n in (1, 3, 7):
+        d = spark.createDataFrame(rows_[n % 4 :] + rows_[: n % 4], "doc_id long, text string").repartition(n)
+        results.add(str(rows(minhash.near_duplicates(d))))
+    assert len(results) == 1
+
+
 def test_near_duplicates_odd(spark):
     got = minhash.near_duplicates(odd_documents(spark)).collect()
     assert len(got) == 12
