@@ -1,10 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is split by document: every task stores, for a block of training rows, the sorted positions of each test
-term (its postings) and answers all test windows on that block, so no posting is shuffled and no term or document can
-make one task large. A window's postings are taken from the rarest of its terms in the block on; each list is shifted
-by the term's offset and intersected with what is left. The test set goes to the tasks in blocks of bounded size; with
-more than one, spans and items are merged row by row.
+The index is split by document and stored: for a block of the test set, a table holds the postings of every training
+text (its test terms, how often each occurs, and the positions by term), written to the shared folder. A task reads the
+postings of a block of documents and answers all test windows on it, so no posting is shuffled and no term or document
+can make one task large. A window's postings are taken from the rarest of its terms on; each list is shifted by the
+term's offset and intersected with what is left. Proximity matches allow other words between, in the same order.
+
+The test set goes to the tasks in blocks of bounded size. One block is held by the driver at a time: its matches are
+written before the next one is read, and they are merged by row in the end.
+
+A null or empty text has no words. Items of equal id count once, an item without words matches nothing, a null item_id
+is reported as an empty string. An empty test set leaves every row without spans; an empty table gives an empty result.
+Repeated rows get equal results; very long texts are one row of the index; columns of docs named like a result are
+replaced by it.
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, chunks, map_rows, table
+from .common import LOWER, UPPER, chunks, map_rows, table, written
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -49,24 +57,29 @@ class Windows:
             self.by_length[k] = (np.array(at), np.array([self.grams[i] for i in at], dtype=np.int64))
 
 
+def postings_of(text: bytes | None, vocab: dict[bytes, int]) -> tuple[int, bytes, bytes, bytes]:
+    """Words of a text, and its postings: sorted test terms, how often each occurs, and positions by term."""
+    split = words(text)
+    get = vocab.get
+    ids = np.fromiter((get(w, -1) for w in split), dtype=np.int32, count=len(split))
+    at = np.flatnonzero(ids >= 0)
+    at = at[np.argsort(ids[at], kind="stable")]
+    terms, counts = np.unique(ids[at], return_counts=True)
+    return len(split), terms.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), at.astype("<i4").tobytes()
+
+
 class Postings:
-    """Positional postings of one block of texts. A gap after each text keeps windows within it."""
-
-    def __init__(self, texts: list[list[bytes]], vocab: dict[bytes, int], gap: int = 1):
-        get = vocab.get
-        ids, self.starts = [], []
-        at = 0
-        for t in texts:
-            self.starts.append(at)
-            ids.append(np.fromiter((get(w, -1) for w in t), dtype=np.int32, count=len(t)))
-            ids.append(np.full(gap, -1, dtype=np.int32))
-            at += len(t) + gap
-        self.starts = np.array(self.starts, dtype=np.int64)
-        self.size = at
-        ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
-        pos = np.flatnonzero(ids >= 0)
-        term = ids[pos]
-        self.counts = np.bincount(term, minlength=len(vocab))
+    """Positional postings of one block of documents. A gap after each keeps windows within it."""
+
+    def __init__(self, n_words: list[int], terms: list[bytes], counts: list[bytes], positions: list[bytes], n_terms: int):
+        sizes = np.array(n_words, dtype=np.int64) + 1
+        self.starts = np.cumsum(sizes) - sizes
+        self.size = int(sizes.sum())
+        join = lambda parts: np.frombuffer(b"".join(parts), "<i4").astype(np.int64)
+        term = np.repeat(join(terms), join(counts))
+        pos = join(positions) + np.repeat(self.starts, [len(p) // 4 for p in positions])
+        self.counts = np.bincount(term, minlength=n_terms)
+        # Documents come in order, so positions stay sorted within a term.
         self.positions = pos[np.argsort(term, kind="stable")]
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
 
@@ -119,11 +132,10 @@ class Postings:
                     yield i, s, e
 
 
-def _block(texts: list[list[bytes]], w: Windows, slop: int):
-    """For each text: hit spans [start, end) and the items found."""
-    index = Postings(texts, w.vocab)
+def _block(index: Postings, w: Windows, slop: int):
+    """For each document: hit spans [start, end) and the items found."""
     edge = np.zeros(index.size + 1, dtype=np.int32)
-    items: list[set] = [set() for _ in texts]
+    items: list[set] = [set() for _ in index.starts]
     for i, s, e in index.search(w, slop):
         np.add.at(edge, s, 1)
         np.add.at(edge, e, -1)
@@ -132,7 +144,7 @@ def _block(texts: list[list[bytes]], w: Windows, slop: int):
     hit = np.cumsum(edge[:-1]) > 0
     turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     begin, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in index.starts]
     for d, a, b in zip(np.searchsorted(index.starts, begin, side="right") - 1, begin, end, strict=True):
         spans[d].append((int(a - index.starts[d]), int(b - index.starts[d])))
     return spans, items
@@ -149,13 +161,61 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str, most: int):
-    """The test items in lists of about ``most`` bytes; the sizes are summed first, so each collect is bounded."""
+    """How many blocks of about ``most`` bytes the test set has, and a function that collects one of them."""
     items = benchmark.select(F.col(item).alias("item"), F.col(text).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    total = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64)).first()[0] or 0
     n = int(total // most) + 1
-    for b in range(n):
+
+    def block(b: int) -> list[tuple[str, bytes | None]]:
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield [(r.item, bytes(r.text) if r.text is not None else None) for r in part.collect()]
+        return [("" if r.item is None else str(r.item), bytes(r.text) if r.text is not None else None) for r in part.collect()]
+
+    return n, block
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+ITEMS = T.ArrayType(T.StringType())
+
+
+def _as_spans(spans: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+def store_postings(docs: DataFrame, vocab: dict[bytes, int], text: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """The postings of every text as a written table with the columns ``keep``, and the names of its own columns."""
+    mark = ""
+    while {f"{c}{mark}" for c in ("words", "terms", "counts", "positions")} & set(keep):
+        mark += "_"
+    names = [f"{c}{mark}" for c in ("words", "terms", "counts", "positions")]
+
+    def start():
+        def f(text):
+            return dict(zip(names, map(list, zip(*(postings_of(t, vocab) for t in text), strict=True)), strict=True))
+
+        return f
+
+    kinds = dict(zip(names, [T.LongType(), T.BinaryType(), T.BinaryType(), T.BinaryType()], strict=True))
+    return written(map_rows(docs, {"text": F.col(text).cast("binary")}, kinds, start, keep)), names
+
+
+def search_postings(index: DataFrame, names: list[str], w: Windows, slop: int, keep: list[str]) -> DataFrame:
+    """``keep`` of the stored rows with n_words, spans and items."""
+    out = {"n_words": T.LongType(), "spans": SPANS, "items": ITEMS}
+
+    def start():
+        def f(words, terms, counts, positions):
+            got = {k: [] for k in out} | {"n_words": words}
+            for i, j in chunks(words, BLOCK_WORDS):
+                block = Postings(words[i:j], terms[i:j], counts[i:j], positions[i:j], len(w.vocab))
+                spans, items = _block(block, w, slop)
+                got["spans"] += map(_as_spans, spans)
+                got["items"] += map(sorted, items)
+            return got
+
+        return f
+
+    args = dict(zip(("words", "terms", "counts", "positions"), map(F.col, names), strict=True))
+    return map_rows(index, args, out, start, keep, piece_bytes=PIECE_BYTES)
 
 
 def find_items(
@@ -168,49 +228,45 @@ def find_items(
     item: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BENCHMARK_BLOCK_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with n_words, spans (word ranges inside a window, merged) and items (sorted as strings).
-
-    ``slop`` 0 finds exact phrases, more also windows whose words stand in order with up to so many others between.
-    A null or empty text has no words. Items of equal id count once, an item without words matches nothing, a null
-    item_id is reported as an empty string. An empty test set leaves every row without spans.
-    """
-    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    out = {"n_words": T.LongType(), "spans": span, "items": T.ArrayType(T.StringType())}
-    first = True
-    for block in benchmark_blocks(benchmark, item, item_text, block_bytes):
-        w = Windows([("" if i is None else str(i), t) for i, t in block], window)
-
-        def start(w=w, first=first):
-            def f(text, spans=None, items=None):
-                n, got_spans, got_items = [], [], []
-                for i, j in chunks([len(t or b"") // 5 for t in text], BLOCK_WORDS):
-                    split = [words(t) for t in text[i:j]]
-                    n += [len(s) for s in split]
-                    s, t = _block(split, w, slop)
-                    got_spans += s
-                    got_items += t
-                if not first:
-                    got_spans = [
-                        _merged([(x["start"], x["end"]) for x in old] + new)
-                        for old, new in zip(spans, got_spans, strict=True)
-                    ]
-                    got_items = [new | set(old) for old, new in zip(items, got_items, strict=True)]
-                rows = [[{"start": a, "end": b} for a, b in x] for x in got_spans]
-                return {"n_words": n, "spans": rows, "items": [sorted(x) for x in got_items]}
-
-            return f
-
-        args = {"text": F.col(text).cast("binary")} | ({} if first else {"spans": F.col("spans"), "items": F.col("items")})
-        docs = map_rows(docs, args, out, start, piece_bytes=PIECE_BYTES)
-        first = False
-    return docs
+    """``docs`` (or ``keep`` of it) with n_words, spans (word ranges inside a window, merged) and items (sorted as strings).
+
+    ``slop`` 0 finds exact phrases, more also windows whose words stand in order with up to so many others between.    """
+    own = ["n_words", "spans", "items"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    n, block = benchmark_blocks(benchmark, item, item_text, block_bytes)
+    if n == 1:
+        w = Windows(block(0), window)
+        index, names = store_postings(docs, w.vocab, text, keep)
+        return search_postings(index, names, w, slop, keep)
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    base = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for b in range(n):
+        w = Windows(block(b), window)
+        index, names = store_postings(base, w.vocab, text, [row])
+        part = search_postings(index, names, w, slop, [row])
+        # A text's words are counted by every block; its matches come from those that have any.
+        part = written(part if b == 0 else part.where(F.size("items") > 0))
+        found = part if found is None else found.unionByName(part)
+        del w
+
+    def start():
+        return lambda spans: {"spans": [_as_spans(_merged([(x["start"], x["end"]) for x in s])) for s in spans]}
+
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    rows = found.groupBy(row).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), items)
+    merged = map_rows(rows, {"spans": F.col("spans")}, {"spans": SPANS}, start)
+    return base.select(*keep, row).join(merged, row).select(*keep, *own)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_items(
-        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    )
+    # The text is not kept beside its postings.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_items(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
     return found.select(
         "doc_id",

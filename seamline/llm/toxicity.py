@@ -6,7 +6,7 @@ document frequencies counted over all documents. Alike examples share a block. F
 largest weight in each block, and its postings grouped by block. A query's upper bounds by block are summed first; the
 two best blocks give the k-th cosine to beat, and only blocks whose bound reaches it are opened, so the neighbours are
 exact. Terms that many examples have are kept as full rows in place of postings, which changes no result. Neighbours
-vote by cosine; the vote is made a probability by isotonic regression on the examples' own votes, each left out in turn
+vote by cosine over distance; the vote is made a probability by isotonic regression on the examples' own votes, each left out in turn
 and weighted for the rows that its label has in all. Of a few numbers of neighbours, up to half
 of the examples of the rarer label, that one is taken whose probabilities are best on examples that the regression has
 not seen.
@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from array import array
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, one_thread, pieces, shared_folder, table
+from .common import map_rows, one_thread, pieces, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_EXAMPLES = 3_000
@@ -39,6 +39,8 @@ BEGINNINGS = (3, 4)
 #: Numbers of neighbours to choose from.
 NEIGHBOURS = (9, 15, 31, 63)
 EVIDENCE = 5
+#: Added to a distance before it divides.
+NEAREST = 0.05
 BLOCK = 64
 FULL_ROW_SHARE = 1 / 20
 THRESHOLD = 0.3
@@ -89,8 +91,8 @@ class Terms:
             self.words = Words(self.known)
         bags = [Counter(words(t)) for t in texts]
         number = self.words.__getitem__
-        word = np.fromiter((i for b in bags for i in map(number, b)), dtype=np.int64)
-        n = np.fromiter((c for b in bags for c in b.values()), dtype=np.int64, count=len(word))
+        word = np.fromiter(chain.from_iterable(map(number, b) for b in bags), dtype=np.int64)
+        n = np.fromiter(chain.from_iterable(b.values() for b in bags), dtype=np.int64, count=len(word))
         text = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
         ends = np.frombuffer(self.words.ends, dtype=np.int64)
         at, of = spread(ends[word], ends[word + 1])
@@ -174,8 +176,8 @@ class Index:
         #: Pairs of a query and a block, and how many of them were opened.
         self.pairs = self.opened = 0
 
-    def nearest(self, queries: Queries, k: int) -> list[list[tuple[float, int]]]:
-        """For each query, (cosine, row) of the k nearest with a cosine above 0, nearest first, ties by id."""
+    def nearest(self, queries: Queries, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query, cosines and rows of the k nearest with a cosine above 0, nearest first, ties by id."""
         nq, b = queries.n, self.blocks
         q, t, w = queries.q, queries.t, queries.w
         dense = np.zeros((nq, len(self.full_max)))
@@ -206,18 +208,21 @@ class Index:
         least = np.maximum(np.partition(score, -k, axis=1)[:, -k] - 1e-9, 0) if k < score.shape[1] else np.zeros(nq)
         take((bound > 0) & (bound >= least[:, None]) & ~two)
         self.pairs += nq * b
+        score = score[:, : self.n]
+        least = np.maximum(np.partition(score, -k, axis=1)[:, -k] - 1e-9, 0) if k < self.n else np.zeros(nq)
         out = []
-        for s in score[:, : self.n]:
-            cut = max(np.partition(s, -k)[-k] - 1e-9, 0) if k < len(s) else 0
+        for s, cut in zip(score, least, strict=True):
             rows = np.flatnonzero((s > 0) & (s >= cut))
-            best = sorted((-round(float(s[j]), 12), int(self.m.ids[j]), int(j)) for j in rows)[:k]
-            out.append([(-c, j) for c, _, j in best])
+            c = np.round(s[rows], 12)
+            best = np.lexsort((self.m.ids[rows], -c))[:k]
+            out.append((c[best], rows[best]))
         return out
 
 
-def vote(found: list[tuple[float, int]], labels: np.ndarray) -> float:
-    """Share of label 1 among the neighbours, weighted by cosine."""
-    return float(sum(c * labels[j] for c, j in found) / sum(c for c, _ in found))
+def vote(cosines: np.ndarray, labels: np.ndarray) -> float:
+    """Share of label 1 among the neighbours, weighted by cosine over distance, so that a copy decides."""
+    w = cosines / (1 - cosines + NEAREST)
+    return float(w @ labels / w.sum())
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,13 +357,6 @@ def encoded(docs: DataFrame, terms: dict[str, int], keep: list[str]) -> tuple[Da
     return map_rows(docs, {"text": F.col("text")}, kinds, start, keep), at
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, read again."""
-    at = f"{shared_folder(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def finish(encoded: DataFrame, at: tuple[str, str], e: Examples, neighbours: tuple[int, ...] = NEIGHBOURS) -> Model:
     """The model of the examples, with document frequencies of all encoded rows."""
     if not e.terms:
@@ -407,8 +405,8 @@ def votes(spark: SparkSession, m: Model, neighbours: tuple[int, ...]) -> dict[in
                 mine = np.arange(first, min(first + BATCH, len(m.ids)))
                 at, q = spread(bounds[mine], bounds[mine + 1])
                 found = index.nearest(Queries(len(mine), q, term[at], m.weights[row[at]]), ks[-1] + 1)
-                near = [[(c, j) for c, j in f if j != i] for i, f in zip(mine.tolist(), found, strict=True)]
-                got = [pa.array([vote(f[:k], m.labels) if f else math.nan for f in near]) for k in ks]
+                near = [(c[j != i], m.labels[j[j != i]]) for i, (c, j) in zip(mine.tolist(), found, strict=True)]
+                got = [pa.array([vote(c[:k], y[:k]) if len(c) else math.nan for c, y in near]) for k in ks]
                 yield pa.RecordBatch.from_arrays([pa.array(mine), *got], names=["row", *(f"v{k}" for k in ks)])
 
     kind = T.StructType([T.StructField("row", T.LongType()), *(T.StructField(f"v{k}", T.DoubleType()) for k in ks)])
@@ -476,9 +474,10 @@ def score_encoded(rows: DataFrame, at: tuple[str, str], model: Model, evidence:
                 tf = np.frombuffer(b"".join(counts[i : i + BATCH]), "<i4")
                 q = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part])
                 queries = Queries(len(part), q, t, unit_vectors(q, t, tf, model.idf, len(part)))
-                for found in index.nearest(queries, model.k):
-                    scores.append(model.calibrated(vote(found, model.labels)) if found else model.prior)
-                    shown.append([{"doc_id": int(model.ids[j]), "cosine": c, "label": int(model.labels[j])} for c, j in found[:evidence]])
+                for c, j in index.nearest(queries, model.k):
+                    scores.append(model.calibrated(vote(c, model.labels[j])) if len(c) else model.prior)
+                    best = zip(model.ids[j[:evidence]].tolist(), c[:evidence].tolist(), model.labels[j[:evidence]].tolist(), strict=True)
+                    shown.append([{"doc_id": i, "cosine": x, "label": int(y)} for i, x, y in best])
             return {"score": scores, "evidence": shown}
 
         return f

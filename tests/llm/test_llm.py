@@ -475,7 +475,7 @@ def test_neighbours_equal_brute_force(block, full):
         q = dict(zip(ids.tolist(), w.tolist(), strict=True))
         cos = [round(sum(q.get(int(t), 0) * x for t, x in zip(*e, strict=True)), 12) for e in examples]
         want = sorted((-c, int(m.ids[j]), j) for j, c in enumerate(cos) if c > 0)[:15]
-        assert got == [(-c, j) for c, _, j in want]
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == [(-c, j) for c, _, j in want]
     assert index.opened <= index.pairs
 
 
@@ -540,7 +540,8 @@ def brute_scores(texts, m):
         q = unit(b)
         near = sorted((-round(sum(x * e.get(t, 0.0) for t, x in q.items()), 10), j) for j, e in examples.items())[: m.k]
         near = [(-c, j) for c, j in near if c < 0]
-        v = sum(c * label[j] for c, j in near) / sum(c for c, _ in near) if near else None
+        weight = [c / (1 - c + toxicity.NEAREST) for c, _ in near]
+        v = sum(x * label[j] for x, (_, j) in zip(weight, near, strict=True)) / sum(weight) if near else None
         out[i] = (m.prior if v is None else float(np.interp(v, m.votes, m.rates)), near)
     return out
 
