@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from . import chat, decontaminate, fingerprint, html_extract, minhash, mixing, sharding, token_counts, toxicity, url_filter
 
+import corpus_pipeline  # noqa: E402, I001  it needs the modules above
 
-def queries() -> dict:
-    import corpus_pipeline
 
+def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
         "op1_token_counts": token_counts.op1_token_counts,

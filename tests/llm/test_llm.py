@@ -774,5 +774,24 @@ def test_pipeline_stages(spark, data):
         df.unpersist()
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeated rows, copies without id, extra columns and an empty table go through every stage."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(i, 1, int(i == 4)) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some words of a test that nobody has"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = odd_documents(spark)
+    odd = odd.unionByName(odd.where("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    for docs in (odd, odd.limit(0)):
+        for _, stage in p.STAGES:
+            before, docs = docs, stage(spark, docs, str(tmp_path)).persist()
+            assert docs.count() <= 2 * before.count()
+        assert {r.shard for r in docs.collect()} <= set(range(8))
+    near = p.near_duplicate_stage(spark, odd, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.text) for r in near if (r.text or "").startswith("a b")) == [(0, "a b c d e f g")]
+    # The two rows of x with an id are copies; the one without goes with them.
+    assert [r.doc_id for r in near if r.text == "x"] == [6]
+
+
 def test_pipeline_runs_whole(spark, data):
     assert llm.queries()["pipeline"](spark, data).count() > 0
