@@ -4,6 +4,10 @@ A forgiving parser builds the tree of block elements. Every node is described by
 and punctuation, by the tokens of its attributes and those of its ancestors, by depth, and by its siblings. Boosted
 trees, trained here on generated pages, give each node's chance of being main text. Decoding is hierarchical: the kept
 nodes form a tree from the root, chosen to maximise the joint likelihood, so nothing is kept inside what is dropped.
+
+A null or empty page has an empty text, and so has one without any text. Broken markup is read as far as it goes;
+very long pages are read whole. Repeated rows get equal results; columns named like a result are replaced by it. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +29,20 @@ from .common import map_rows, table
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(r"[a-z]+")
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "select", "button", "object"}
+#: Elements whose content is no markup, or is never shown: scripts, styles, form fields, the page's title, frames.
+RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "template"}
+_CLOSE = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
     "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+    "button", "select", "noscript", "object", "math", "svg",
+    "mi", "mo", "mn", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "msub", "msup", "msubsup",
+    "mover", "munder", "munderover", "mtable", "mtr", "mtd", "mfenced", "semantics", "annotation",
+    "g", "path", "rect", "circle", "ellipse", "line", "polyline", "polygon", "text", "tspan", "use", "defs", "symbol", "desc",
 }
+#: Elements within a block that the trees judge by themselves.
+OWN_NODE = {"button", "select", "noscript", "object", "math", "svg"}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _P_BARRIER = {"td", "th", "table", "body", "html"}
@@ -56,6 +68,7 @@ TAGS = (
     {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset"}, {"article", "main"}, {"section"}, {"div"}, {"p"},
     {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"table", "tbody", "tr", "thead"},
     {"td", "th"}, {"blockquote", "pre"}, {"figure", "figcaption"}, {"dialog", "details", "summary"},
+    {"button", "select"}, {"noscript", "object"}, {"math"}, {"svg"},
 )
 _TAG_OF = {t: i for i, ts in enumerate(TAGS) for t in ts}
 
@@ -91,7 +104,6 @@ class Page:
         stack: list[tuple[str, int]] = [("root", 0)]  # open elements with the node that their text belongs to
         block = links = 0
         at, n = 0, len(s)
-        low = None
         while at < n:
             i = s.find("<", at)
             if i < 0:
@@ -129,10 +141,8 @@ class Page:
                     block += 1
                 continue
             if tag in RAW:
-                if low is None:
-                    low = s.lower() if len(s.lower()) == n else s
-                j = low.find(f"</{tag}", at)
-                k = s.find(">", j) if j >= 0 else -1
+                end = _CLOSE[tag].search(s, at)
+                k = s.find(">", end.end()) if end else -1
                 at = n if k < 0 else k + 1
                 continue
             if tag in VOID:
@@ -144,7 +154,8 @@ class Page:
             if tag in INLINE:
                 if tag == "a":
                     links += 1
-                node = self._node(stack[-1][1], tag, attrs) if attrs and ("class" in attrs or "id" in attrs or "hidden" in attrs or "style" in attrs) else stack[-1][1]
+                marked = tag in OWN_NODE or attrs and ("class" in attrs or "id" in attrs or "hidden" in attrs or "style" in attrs)
+                node = self._node(stack[-1][1], tag, attrs) if marked else stack[-1][1]
                 stack.append((tag, node))
                 continue
             ends, scope = _ENDS.get(tag), _SCOPE.get(tag, ())
@@ -392,6 +403,19 @@ def training_page(rng: random.Random) -> str:
             body = prose(1, 9) if rng.random() < 0.85 else sentence(1, 3)
             if rng.random() < 0.15:
                 body = f"<b>{body}<br>" if rng.random() < 0.4 else f"{body} <a href=/x>{word()}</a> {sentence()}"
+            r = rng.random()
+            if r < 0.03:
+                body += f" <math><mi>{word()}</mi><mo>=</mo><mrow><mn>{rng.randint(1, 99)}</mn></mrow></math> {sentence()}"
+            elif r < 0.06:
+                body += f" <button data-x>{word()}</button>"
+            elif r < 0.08:
+                body += f" <select data-x>{''.join(f'<option>{word()}</option>' for _ in range(3))}</select>"
+            elif r < 0.1:
+                body += f" <svg data-x><g><text>{word()}</text></g></svg>"
+            elif r < 0.12:
+                return f"<noscript><p>{body}</p></noscript>"
+            elif r < 0.14:
+                return f"<object data=x><p>{body}</p></object>" if rng.random() < 0.5 else f"<p>{sentence()} <object data=x>{sentence()}</object></p>"
             return f"<p>{body}</p>" if rng.random() < 0.85 else f"<p>{body}"
         if r < 0.82:
             return f"<h{(k := rng.choice([2, 2, 3, 4]))}>{sentence(1, 7)}</h{k}>"
@@ -406,6 +430,8 @@ def training_page(rng: random.Random) -> str:
     kinds = ["menu", "header", "footer", "side", "advert", "notice", "remark", "form"]
     before = [junk(k) for k in kinds if k not in ("footer", "remark") and rng.random() < 0.5]
     after = [junk(k) for k in kinds if k not in ("header",) and rng.random() < 0.5]
+    if rng.random() < 0.2:
+        before.append(rng.choice([f"<noscript data-x>{sentence()}</noscript>", f"<svg data-x><text>{word()}</text></svg>", f"<select data-x><option>{word()}</option></select>"]))
     rng.shuffle(before)
     rng.shuffle(after)
     blocks = [block() for _ in range(rng.randint(1, 14))]

@@ -163,6 +163,35 @@ def test_main_text():
     assert html_extract.main_text(PAGE, html_extract.model()) == "Big news & more\nFirst bold line.\nSecond <one>.\nitem one\nitem two"
 
 
+@pytest.mark.parametrize("element", ["<math><mi>x</mi><mo>=</mo><mn>3</mn></math>", "<object data=a>kept words of it</object>", "<noscript>kept words of it</noscript>"])
+def test_elements_within_an_article(element):
+    page = PAGE.replace("Second &lt;one&gt;.", f"Second &lt;one&gt; {element} and more of this sentence, as it goes on.")
+    inner = html_extract.main_text(page, html_extract.model())
+    assert ("x=3" if "math" in element else "kept words of it") in inner and "and more of this sentence" in inner
+
+
+def test_form_elements_within_an_article():
+    page = PAGE.replace("Second &lt;one&gt;.", "Second one. <button>Press me</button> <select><option>pick</option></select> It goes on.")
+    got = html_extract.main_text(page, html_extract.model())
+    assert "Second one. It goes on." in " ".join(got.split()) and "Press" not in got and "pick" not in got
+
+
+def test_raw_ends_in_capitals_after_long_letters():
+    page = "<article><p>İstanbul has a page with some words, and they go on.</p><SCRIPT>var a;</SCRIPT><p>What follows is kept as well, of course.</p></article>"
+    assert html_extract.main_text(page, html_extract.model()).endswith("What follows is kept as well, of course.")
+
+
+def test_extract_odd(spark):
+    long = "<article>" + "<p>Some words of a very long page, again and again.</p>" * 40_000 + "</article>"
+    rows_ = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "", ""), (None, "u", long)]
+    pages = spark.createDataFrame(rows_, "page_id long, url string, html string").withColumns({"text": F.lit("x"), "n_chars": F.lit(1), "k0": F.lit(2)})
+    got = html_extract.extract(pages).collect()
+    assert len(got) == 5 and {r.text for r in got if r.page_id in (2, 3)} == {""}
+    assert len({r.text for r in got if r.page_id == 1}) == 1
+    assert next(r.text for r in got if r.page_id is None).count("\n") == 39_999
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("source", [None, "", "plain", "<", "<p", "<p>a<b", "</", "<!--", "<script>x", "<p a='", "<div>" * 3000, "<a " * 2000, "&#x110000; &nosuch; <p>a&amp"])
 def test_broken_pages(source):
     assert isinstance(html_extract.main_text(source, html_extract.model()), str)
