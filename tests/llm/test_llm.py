@@ -252,6 +252,91 @@ def test_mined_rules(spark):
         assert verdict[x.page_id] == ("block" if any(set(r.tokens) <= set(x.tokens) for r in got) else "allow")
 
 
+def brute_rules(parts, label, min_support, min_confidence, min_pages):
+    """Rules of plain counting over (tokens, label) of labelled pages, by every combination that a page has."""
+    import itertools
+
+    pages = [(i, frozenset(t), y) for i, t, y in ((i, t, label[i]) for i, t in parts) if t]
+    learnt = [p for p in pages if zlib.crc32(str(p[0]).encode()) % 4 != 3]
+    checked = [p for p in pages if zlib.crc32(str(p[0]).encode()) % 4 == 3]
+    least = max(min_pages, int(np.ceil(len(learnt) * min_support)))
+    n = Counter(t for _, ts, _ in learnt for t in ts)
+    place = {t: frozenset(j for j, (_, ts, _) in enumerate(learnt) if t in ts) for t in n if n[t] >= least}
+    same = {}
+    for t in sorted(place):
+        same.setdefault(place[t], []).append(t)
+    groups = [frozenset(g) for g in same.values()]
+    sets = set()
+    for _, ts, y in learnt:
+        mine = [g for g in groups if g <= ts]
+        if y:
+            sets |= {frozenset().union(*c) for k in range(1, len(mine) + 1) for c in itertools.combinations(mine, k)}
+
+    def count(pages, s):
+        hit = [y for _, ts, y in pages if s <= ts]
+        return len(hit), sum(hit)
+
+    rules = {}
+    for s in sets:
+        a, bad = count(learnt, s)
+        c, d = count(checked, s)
+        e, f = count(pages, s)
+        if bad >= least and bad >= min_confidence * a and c and d >= min_confidence * c and f >= max(min_pages, min_support * len(pages)) and f >= min_confidence * e:
+            rules[s] = f / e
+    return {s: c for s, c in rules.items() if not any(r < s and rules[r] >= c for r in rules)}
+
+
+@pytest.mark.parametrize("settings", [{}, {"min_support": 0.003, "min_confidence": 0.3}])
+def test_url_filter_equals_brute_force(spark, settings):
+    """The query itself, with its own settings, on its whole table; and looser ones, by which there are many rules."""
+    data = "/root/testdata/sf0.1"
+    parts = url_filter.with_parts(spark.read.parquet(f"{data}/pages.parquet")).collect()
+    lab = {r.doc_id: int(r.quality == 0 or r.toxic == 1) for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    import re
+
+    known = [(int(m[0]), r.tokens) for r in parts if (m := re.search("[0-9]+", r.path)) and int(m[0]) in lab]
+    used = {"min_support": url_filter.MIN_SUPPORT, "min_confidence": url_filter.MIN_CONFIDENCE} | settings
+    rules = brute_rules(known, lab, used["min_support"], used["min_confidence"], url_filter.MIN_PAGES)
+    assert bool(rules) == bool(settings)
+    pages, labels = spark.read.parquet(f"{data}/pages.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    found = url_filter.judge(pages, labels, **settings) if settings else llm.queries()["op4_url_filter"](spark, data)
+    got = {r.page_id: r for r in found.collect()}
+    given = {r.page_id: r for r in url_filter.judge(pages, labels.limit(0)).collect()}
+    for r in parts:
+        hit = [s for s in rules if s <= set(r.tokens)]
+        assert (got[r.page_id].evidence is not None) == bool(hit)
+        if given[r.page_id].rule is None:
+            assert got[r.page_id].verdict == ("block" if hit else "allow")
+        else:
+            assert got[r.page_id].verdict == given[r.page_id].verdict
+
+
+def test_one_page_makes_no_rule(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/only{'abcdefghij'[i]}/{i}") for i in range(10)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(10)], "doc_id long, quality int, toxic int")
+    rules = url_filter.mine_rules(url_filter.with_parts(pages), labels, 0.01, 0.5).collect()
+    assert not any(any(t.startswith(("h:h", "p:only")) for t in r.tokens) for r in rules)
+
+
+def test_fixed_paths_are_one_item(spark):
+    """A site's twenty words that always come together are one item, not a million combinations."""
+    path = "/".join("abcdefghijklmnopqrst")
+    pages = spark.createDataFrame([(i, f"http://x.net/{path}/{i}") for i in range(60)] + [(i, f"http://y.net/z/{i}") for i in range(60, 120)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    rules = url_filter.mine_rules(url_filter.with_parts(pages), labels).collect()
+    assert len(rules) == 1 and len(rules[0].tokens) == 21 and rules[0].confidence == 1.0
+
+
+def test_url_filter_odd(spark):
+    long = "http://a.net/" + "w/" * 50_000 + "1"
+    rows_ = [(1, long), (1, long), (None, "http://b.net/2"), (3, None), (4, "")]
+    pages = spark.createDataFrame(rows_, "page_id long, url string").withColumns({"host": F.lit("x"), "tokens": F.lit(1), "verdict": F.lit(2)})
+    labels = spark.createDataFrame([(i, 0, None) for i in range(5)] + [(None, None, 1)], "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages, labels).collect()
+    assert len(got) == 5 and {r.verdict for r in got if not r.host} == {"allow"}
+    assert url_filter.judge(pages.limit(0), labels).count() == 0
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
