@@ -57,35 +57,59 @@ def pieces(batches, most: int = PIECE_BYTES):
             yield b.slice(at, step)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system, as workers are used again by other tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_rows(
     df: DataFrame,
-    args: dict[str, Column],
+    args: dict[str, Column | str],
     out: dict[str, T.DataType],
     start: Callable[[], Callable[..., dict]],
     keep: list[str] | None = None,
     piece_bytes: int = PIECE_BYTES,
+    as_bytes: bool = False,
 ) -> DataFrame:
     """Add the columns of ``out`` to every row, computed in pieces of Arrow batches of about ``piece_bytes``.
 
     ``start()`` runs once a task and returns ``f(**lists)``, which gets one list for each of ``args`` and returns one
     list for each of ``out``. Kept columns pass through as Arrow data under private names, so no name can clash; a
-    kept column named like one of ``out`` is replaced by it.
+    kept column named like one of ``out`` is replaced by it. An argument given by a column's name is not sent twice if
+    it is kept; ``as_bytes`` reads such texts as their UTF-8 bytes.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in out]
+    place = {k: keep.index(v) for k, v in args.items() if isinstance(v, str) and v in keep}
+    sent = {k: df[f"`{v}`"] if isinstance(v, str) else v for k, v in args.items() if k not in place}
+    place |= {k: len(keep) + i for i, k in enumerate(sent)}
     inner = df.select(
-        *[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)], *[v.alias(f"a_{k}") for k, v in args.items()]
+        *[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)], *[v.alias(f"a_{k}") for k, v in sent.items()]
     )
     held = list(inner.schema.fields[: len(keep)])
     schema = T.StructType(held + [T.StructField(f"o_{k}", v) for k, v in out.items()])
     kinds = {k: to_arrow_type(v) for k, v in out.items()}
-    names, n_keep, given = schema.names, len(keep), list(args)
+    names, n_keep = schema.names, len(keep)
+
+    def listed(b, i):
+        c = b.column(i)
+        return (c.cast(pa.binary()) if as_bytes and pa.types.is_string(c.type) else c).to_pylist()
 
     def run(batches):
         f = start()
         for b in pieces(batches, piece_bytes):
-            got = f(**{k: b.column(n_keep + i).to_pylist() for i, k in enumerate(given)})
-            new = [pa.array(got[k], type=kind) for k, kind in kinds.items()]
+            got = f(**{k: listed(b, i) for k, i in place.items()})
+            new = [pa.array(got.pop(k), type=kind) for k, kind in kinds.items()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n_keep], *new], names=names)
+        del f
+        release()
 
     done = inner.mapInArrow(run, schema)
     return done.select(

@@ -195,7 +195,7 @@ def store_postings(docs: DataFrame, vocab: dict[bytes, int], text: str, keep: li
         return f
 
     kinds = dict(zip(names, [T.LongType(), T.BinaryType(), T.BinaryType(), T.BinaryType()], strict=True))
-    return written(map_rows(docs, {"text": F.col(text).cast("binary")}, kinds, start, keep)), names
+    return written(map_rows(docs, {"text": text}, kinds, start, keep, as_bytes=True)), names
 
 
 def search_postings(index: DataFrame, names: list[str], w: Windows, slop: int, keep: list[str]) -> DataFrame:

@@ -506,7 +506,7 @@ def extract(pages: DataFrame, trees: Trees | None = None, html: str = "html", ke
     def start():
         return lambda html: {"text": texts(html, trees)}
 
-    return map_rows(pages, {"html": F.col(html)}, {"text": T.StringType()}, start, keep)
+    return map_rows(pages, {"html": html}, {"text": T.StringType()}, start, keep)
 
 
 def texts(sources: list[str | None], trees: Trees, most: int = 4_000_000) -> list[str]:

@@ -140,7 +140,7 @@ def set_table(docs: DataFrame) -> DataFrame:
 
         return f
 
-    return map_rows(docs, {"text": F.col("text").cast("binary")}, out, start, ["doc_id"])
+    return map_rows(docs, {"text": "text"}, out, start, ["doc_id"], as_bytes=True)
 
 
 def _differing_bits(a: str, b: str) -> Column:
@@ -198,9 +198,9 @@ def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
         return f
 
-    args = {"text": F.col("text").cast("binary"), "h": F.xxhash64("doc_id")}
+    args = {"text": "text", "h": F.xxhash64("doc_id")}
     out = {"items": T.ArrayType(T.LongType()), "d1": T.LongType(), "d2": T.LongType()}
-    some = map_rows(docs, args, out, start, ["doc_id"]).where("items is not null")
+    some = map_rows(docs, args, out, start, ["doc_id"], as_bytes=True).where("items is not null")
     kept = some.join(ids, F.col("doc_id") == F.col("i"), "left_semi")
     return kept.groupBy("doc_id").agg(F.min_by("items", F.struct("d1", "d2")).alias("items"))
 

@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, pieces: list[str], text: str = "text") -> Data
 
         return f
 
-    return map_rows(docs, {"text": F.col(text)}, {"n_pretokens": T.LongType(), "n_tokens": T.LongType()}, start)
+    return map_rows(docs, {"text": text}, {"n_pretokens": T.LongType(), "n_tokens": T.LongType()}, start)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:

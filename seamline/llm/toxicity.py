@@ -22,7 +22,7 @@ import math
 import re
 from array import array
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -44,7 +44,7 @@ NEAREST = 0.05
 BLOCK = 64
 FULL_ROW_SHARE = 1 / 20
 THRESHOLD = 0.3
-BATCH = 64
+BATCH = 32
 #: Words whose terms a task remembers; beyond it the memory is emptied, which changes no result.
 WORDS_KNOWN = 300_000
 
@@ -159,12 +159,11 @@ class Index:
         often = np.flatnonzero(np.diff(m.starts) > full * self.n)
         self.place = np.full(len(m.idf), -1)
         self.place[often] = np.arange(len(often))
-        rows = np.zeros((len(often), b * block))
+        self.full = np.zeros((b, len(often), block))
         at, of = spread(m.starts[often], m.starts[often + 1])
-        rows[of, m.rows[at]] = m.weights[at]
+        self.full[m.rows[at] // block, of, m.rows[at] % block] = m.weights[at]
         # Rounded up, so that a bound is never below what it bounds.
-        self.full_max = rows.reshape(-1, b, block).max(2) * (1 + 1e-12)
-        self.full = np.ascontiguousarray(rows.reshape(-1, b, block).transpose(1, 0, 2))
+        self.full_max = np.ascontiguousarray(self.full.max(2).T) * (1 + 1e-12)
         # Other terms: groups of postings by term and block, each with its largest weight.
         term = np.repeat(np.arange(len(m.idf)), np.diff(m.starts))
         key = term * b + m.rows // block
@@ -354,7 +353,7 @@ def encoded(docs: DataFrame, terms: dict[str, int], keep: list[str]) -> tuple[Da
         return f
 
     kinds = {at[0]: T.BinaryType(), at[1]: T.BinaryType()}
-    return map_rows(docs, {"text": F.col("text")}, kinds, start, keep), at
+    return map_rows(docs, {"text": "text"}, kinds, start, keep), at
 
 
 def finish(encoded: DataFrame, at: tuple[str, str], e: Examples, neighbours: tuple[int, ...] = NEIGHBOURS) -> Model:
@@ -462,6 +461,8 @@ def score_encoded(rows: DataFrame, at: tuple[str, str], model: Model, evidence:
         [T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]
     )
 
+    model = replace(model, terms={})
+
     def start():
         one_thread()
         index = Index(model)
