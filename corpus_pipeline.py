@@ -24,8 +24,10 @@ REJECT = 0.5
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.learn_and_score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") < REJECT).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    # Texts are read twice here, rather than stored a second time beside their terms.
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < REJECT).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import math
 import re
 from array import array
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import chain
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, one_thread, pieces, table, written
+from .common import map_rows, one_thread, pieces, release, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_EXAMPLES = 3_000
@@ -330,6 +331,16 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     return Examples(prior, ids, label, row, term, tf, terms, weight)
 
 
+def _terms_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) of encoded texts."""
+    d = np.frombuffer(b"".join(parts), "<i4").astype(np.int64)
+    sizes = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+    text = np.repeat(np.arange(len(parts)), sizes)
+    total = np.cumsum(d)
+    before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+    return text, total - before[text]
+
+
 def encoded(docs: DataFrame, terms: dict[str, int], keep: list[str]) -> tuple[DataFrame, tuple[str, str]]:
     """``keep`` of docs with two columns under free names: numbers of the known terms of each text, and their counts."""
     at = ("terms", "counts")
@@ -345,8 +356,11 @@ def encoded(docs: DataFrame, terms: dict[str, int], keep: list[str]) -> tuple[Da
                 part = text[i : i + BATCH]
                 q, t, tf = count(part)
                 ends = np.searchsorted(q, np.arange(len(part) + 1)).tolist()
-                t, tf = t.astype("<i4"), tf.astype("<i4")
-                ids += [t[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+                first = np.flatnonzero(np.diff(q, prepend=-1))
+                # Differences from term to term are small numbers, which compress well.
+                step, tf = np.diff(t, prepend=0).astype("<i4"), tf.astype("<i4")
+                step[first] = t[first]
+                ids += [step[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
                 counts += [tf[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             return {at[0]: ids, at[1]: counts}
 
@@ -356,12 +370,12 @@ def encoded(docs: DataFrame, terms: dict[str, int], keep: list[str]) -> tuple[Da
     return map_rows(docs, {"text": "text"}, kinds, start, keep), at
 
 
-def finish(encoded: DataFrame, at: tuple[str, str], e: Examples, neighbours: tuple[int, ...] = NEIGHBOURS) -> Model:
-    """The model of the examples, with document frequencies of all encoded rows."""
+def finish(spark: SparkSession, e: Examples, frequencies: Callable[[], tuple[np.ndarray, int]], neighbours: tuple[int, ...] = NEIGHBOURS) -> Model:
+    """The model of the examples; ``frequencies`` counts its terms in all rows."""
     if not e.terms:
         return Model({}, np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), e.prior)
     ids, label, row, term, terms = e.ids, e.label, e.row, e.term, e.terms
-    df, n = document_frequencies(encoded, at, len(terms))
+    df, n = frequencies()
     idf = np.log((n + 1) / (df + 1)) + 1
     w = unit_vectors(row, term, e.tf, idf, len(ids))
     often = np.bincount(term, minlength=len(terms)) > FULL_ROW_SHARE * len(ids)
@@ -375,7 +389,7 @@ def finish(encoded: DataFrame, at: tuple[str, str], e: Examples, neighbours: tup
     starts = np.searchsorted(term[by], np.arange(len(terms) + 1))
     m = Model(terms, idf, ids[order], label[order], starts, row[by], w[by], e.prior)
     del term, row, w, by
-    calibrate(m, votes(encoded.sparkSession, m, neighbours), e.weight)
+    calibrate(m, votes(spark, m, neighbours), e.weight)
     return m
 
 
@@ -384,7 +398,13 @@ def fit(
 ) -> Model:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic)."""
     e = examples(docs, labels, max_examples)
-    return finish(*encoded(docs, e.terms, []), e, neighbours)
+    terms = e.terms
+
+    def terms_of():
+        count = Terms(terms)
+        return lambda texts: count(texts)[1]
+
+    return finish(docs.sparkSession, e, lambda: document_frequencies(docs.select("text"), terms_of, len(terms)), neighbours)
 
 
 def votes(spark: SparkSession, m: Model, neighbours: tuple[int, ...]) -> dict[int, np.ndarray]:
@@ -433,73 +453,107 @@ def calibrate(m: Model, found: dict[int, np.ndarray], weight: dict[int, float])
             m.votes, m.rates = isotonic(x, y, w)
 
 
-def document_frequencies(encoded: DataFrame, at: tuple[str, str], n_terms: int) -> tuple[np.ndarray, int]:
-    """In how many rows each of the terms occurs, and how many rows there are; a row for each term and task is summed."""
+def document_frequencies(rows: DataFrame, terms_of: Callable[[], Callable[[list], np.ndarray]], n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many rows each of the terms occurs, and how many rows there are; a row for each term and task is summed.
+
+    ``rows`` have one column; ``terms_of()`` makes a function of a list of it that gives the terms of each, in any order.
+    """
     kind = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def run(batches):
-        seen = np.zeros(n_terms, dtype=np.int64)
-        rows = 0
+        seen, n, terms = np.zeros(n_terms, dtype=np.int64), 0, terms_of()
         for b in pieces(batches):
-            seen += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=n_terms)
-            rows += b.num_rows
+            for at in range(0, b.num_rows, BATCH):
+                seen += np.bincount(terms(b.column(0).slice(at, BATCH).to_pylist()), minlength=n_terms)
+            n += b.num_rows
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict(
-            {"term": pa.array([-1, *some.tolist()], pa.int32()), "n": pa.array([rows, *seen[some].tolist()], pa.int64())}
+            {"term": pa.array([-1, *some.tolist()], pa.int32()), "n": pa.array([n, *seen[some].tolist()], pa.int64())}
         )
+        del terms
+        release()
 
-    got = encoded.select(at[0]).mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(run, kind).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = got["term"].to_numpy(), got["n"].to_numpy()
     out = np.zeros(n_terms)
     out[term[term >= 0]] = n[term >= 0]
     return out, int(n[term < 0].sum())
 
 
-def score_encoded(rows: DataFrame, at: tuple[str, str], model: Model, evidence: int, keep: list[str]) -> DataFrame:
-    """``keep`` of encoded rows with score and evidence."""
+def _judged(model: Model, evidence: int) -> Callable[[Queries], tuple[list, list]]:
+    """A function of queries that gives scores and the nearest examples."""
+    one_thread()
+    index = Index(model)
+
+    def f(queries: Queries) -> tuple[list, list]:
+        scores, shown = [], []
+        for c, j in index.nearest(queries, model.k):
+            scores.append(model.calibrated(vote(c, model.labels[j])) if len(c) else model.prior)
+            best = zip(model.ids[j[:evidence]].tolist(), c[:evidence].tolist(), model.labels[j[:evidence]].tolist(), strict=True)
+            shown.append([{"doc_id": i, "cosine": x, "label": int(y)} for i, x, y in best])
+        return scores, shown
+
+    return f
+
+
+def _scored(rows: DataFrame, args: dict, queries_of: Callable, model: Model, evidence: int, keep: list[str]) -> DataFrame:
     near = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]
     )
-
-    model = replace(model, terms={})
+    bare = replace(model, terms={})
 
     def start():
-        one_thread()
-        index = Index(model)
+        judge, queries = _judged(bare, evidence), queries_of()
 
-        def f(terms, counts):
-            scores, shown = [], []
-            for i in range(0, len(terms), BATCH):
-                part = terms[i : i + BATCH]
-                t = np.frombuffer(b"".join(part), "<i4").astype(np.int64)
-                tf = np.frombuffer(b"".join(counts[i : i + BATCH]), "<i4")
-                q = np.repeat(np.arange(len(part)), [len(x) // 4 for x in part])
-                queries = Queries(len(part), q, t, unit_vectors(q, t, tf, model.idf, len(part)))
-                for c, j in index.nearest(queries, model.k):
-                    scores.append(model.calibrated(vote(c, model.labels[j])) if len(c) else model.prior)
-                    best = zip(model.ids[j[:evidence]].tolist(), c[:evidence].tolist(), model.labels[j[:evidence]].tolist(), strict=True)
-                    shown.append([{"doc_id": i, "cosine": x, "label": int(y)} for i, x, y in best])
-            return {"score": scores, "evidence": shown}
+        def f(**given):
+            n = len(next(iter(given.values())))
+            out = {"score": [], "evidence": []}
+            for i in range(0, n, BATCH):
+                scores, shown = judge(queries(**{k: v[i : i + BATCH] for k, v in given.items()}))
+                out["score"] += scores
+                out["evidence"] += shown
+            return out
 
         return f
 
-    args = {"terms": F.col(at[0]), "counts": F.col(at[1])}
     return map_rows(rows, args, {"score": T.DoubleType(), "evidence": T.ArrayType(near)}, start, keep)
 
 
 def score(docs: DataFrame, model: Model, *, evidence: int = EVIDENCE, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with score (0 to 1) and evidence, the ``evidence`` nearest examples (doc_id, cosine, label)."""
-    keep = docs.columns if keep is None else keep
-    return score_encoded(*encoded(docs, model.terms, keep), model, evidence, keep)
+    terms, idf = model.terms, model.idf
+
+    def queries_of():
+        count = Terms(terms)
+
+        def f(text):
+            q, t, tf = count(text)
+            return Queries(len(text), q, t, unit_vectors(q, t, tf, idf, len(text)))
+
+        return f
+
+    return _scored(docs, {"text": "text"}, queries_of, model, evidence, docs.columns if keep is None else keep)
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, *, evidence: int = EVIDENCE, keep: list[str] | None = None) -> DataFrame:
-    """As ``score`` with a model of these rows and labels; texts are cut into terms once, for frequencies and search."""
+    """As ``score`` with a model of these rows and labels. Texts are cut into terms once, for frequencies and search: a
+    table of the terms is written, beside the columns ``keep``."""
     keep = docs.columns if keep is None else keep
     e = examples(docs, labels)
     rows, at = encoded(docs, e.terms, keep)
     rows = written(rows)
-    return score_encoded(rows, at, finish(rows, at, e), evidence, keep)
+    n = len(e.terms)
+    model = finish(docs.sparkSession, e, lambda: document_frequencies(rows.select(at[0]), lambda: lambda parts: _terms_of(parts)[1], n))
+    idf = model.idf
+
+    def queries_of():
+        def f(terms, counts):
+            q, t = _terms_of(terms)
+            return Queries(len(terms), q, t, unit_vectors(q, t, np.frombuffer(b"".join(counts), "<i4"), idf, len(terms)))
+
+        return f
+
+    return _scored(rows, {"terms": F.col(at[0]), "counts": F.col(at[1])}, queries_of, model, evidence, keep)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
