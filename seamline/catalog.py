@@ -282,9 +282,27 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.posexplode(page_sources.links(F.col("html"))).alias("pos", "href"))
 
 
-@query()
+#: Markup put before each page (# stands for the page's id), with the reference that it makes.
+HEAD = (
+    ('<base href="/b#/">', "/b#/", "base"),
+    ('<link rel="Stylesheet" href="s#.css"><link rel="next" href="n#">', "s#.css", "link"),
+    ('<img src="i#.png" srcset="a#.png 1x, c#.png 2x">', "i#.png", "src"),
+    ("", "a#.png", "srcset"),
+    ("", "c#.png", "srcset"),
+    ('<p style="background: url(d#.png)">', "d#.png", "style"),
+    ("<!-- <img src=x> --><style>/* url(y) */ q { background: url('e#.png') }</style>", "e#.png", "style"),
+)
+
+
+@query(
+    "SELECT page_id, pos, replace(raw, '#', page_id::VARCHAR) AS raw, kind FROM pages, (VALUES "
+    + ", ".join(f"({i}, '{raw}', '{kind}')" for i, (_, raw, kind) in enumerate(HEAD))
+    + ") AS t(pos, raw, kind)"
+)
 def page_references(spark, d):
-    return page_sources.references(table(spark, d, "pages"))
+    """References of every page, with a head of its own before it, as the pages themselves hold nothing but links."""
+    head = F.replace(F.lit("".join(x for x, _, _ in HEAD)), F.lit("#"), F.col("page_id").cast("string"))
+    return page_sources.references(table(spark, d, "pages").select("page_id", F.concat(head, "html").alias("html")))
 
 
 @query("SELECT doc_id, regexp_replace(text, '[0-9a-f]{40}', '<redacted>', 'g') AS text FROM documents WHERE regexp_matches(text, '[0-9a-f]{40}')")
@@ -401,12 +419,33 @@ def recall_audit(spark, d):
     return search.recall_audit(table(spark, d, "labels").select("doc_id").distinct(), stages)
 
 
-SHAPES = ["fn handle(x)", "ERROR 2024-01-02 10:11:12 failed", "src/main.rs", "camelCase", "how does paging work here", "foo.*bar", "two words"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{router.classify(q)}', {router.WEIGHTS[router.classify(q)][0]}::DOUBLE)" for q in SHAPES) + ") AS t(query, shape, lexical)")
+#: Queries with the shape and lexical weight that they must have, written by hand.
+SHAPES = (
+    ("fn handle(x)", "code_literal", 0.9),
+    ("return value;", "code_literal", 0.9),
+    ("a,b", "code_literal", 0.9),
+    ('"exact words here"', "code_literal", 0.9),
+    ("ERROR 2024-01-02 10:11:12 failed", "log_excerpt", 0.9),
+    ("warn pool is exhausted", "log_excerpt", 0.9),
+    ("src/main.rs", "path", 0.9),
+    ("packages/plugin/src/tools/semantic.ts", "path", 0.9),
+    ("camelCase", "identifier", 0.8),
+    ("subagent_type", "identifier", 0.8),
+    ("getCurrentWorkingDirectory", "identifier", 0.8),
+    ("how does paging work here", "natural_language", 0.4),
+    ("attach the client, then the socket closes", "natural_language", 0.4),
+    ("explain the authentication middleware flow", "natural_language", 0.4),
+    ("foo.*bar", "regex", 1.0),
+    ("^export", "regex", 1.0),
+    ("[a-z]+", "regex", 1.0),
+    ("two words", "short", 0.8),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{shape}', {w}::DOUBLE)" for q, shape, w in SHAPES) + ") AS t(query, shape, lexical)")
 def query_shapes(spark, d):
-    return spark.createDataFrame([(q, router.classify(q), router.WEIGHTS[router.classify(q)][0]) for q in SHAPES], "query string, shape string, lexical double")
+    found = [(q, router.classify(q)) for q, _, _ in SHAPES]
+    return spark.createDataFrame([(q, s, router.WEIGHTS[s][0]) for q, s in found], "query string, shape string, lexical double")
 
 
 @query(
@@ -415,7 +454,7 @@ def query_shapes(spark, d):
 )
 def retrieval_quality(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
-    r = docs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "doc_id")))
+    r = relational.global_rank(docs, "n", "doc_id")
     j = r.join(table(spark, d, "labels").where("toxic = 1"), "doc_id")
     return j.agg(F.round(F.avg((F.col("rank") <= 100).cast("double")), 9).alias("recall"), F.round(F.avg(1.0 / F.col("rank")), 12).alias("mrr"), F.count(F.lit(1)).alias("n"))
 
@@ -788,7 +827,6 @@ def repeated_calls(spark, d):
 @query()
 def stream_line_watch(spark, d):
     """The watcher over conversations as byte streams, run as a stream to its end; results from a memory sink."""
-    import tempfile
     import uuid
 
     conv = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit("\n")).cast("binary").alias("data"))
@@ -798,8 +836,7 @@ def stream_line_watch(spark, d):
     chunks = conv.select(
         F.col("conv_id").cast("string").alias("stream"), (end - size).alias("offset"), "data", (F.col("turn") * 1000).alias("at_ms"), F.lead("turn").over(w).isNull().alias("last")
     )
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="watch-")
-    at = f"{shared.rstrip('/')}/watch-{uuid.uuid4().hex}"
+    at = f"{tables.shared_folder(spark).rstrip('/')}/watch-{uuid.uuid4().hex}"
     chunks.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(chunks.schema).parquet(f"{at}/in")
     run = (

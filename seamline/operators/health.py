@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,10 +51,11 @@ def duplicate_lines(docs: DataFrame, least: int = 20, key: str = "doc_id") -> Da
 
 
 def per_category(rows: DataFrame, k: int = 5, order: list[Column] | None = None) -> DataFrame:
-    """The first k rows of each category, with its exact total."""
-    w = Window.partitionBy("category")
-    out = rows.withColumn("rank", F.row_number().over(w.orderBy(*(order or [F.col("item")])))).withColumn("total", F.count(F.lit(1)).over(w))
-    return out.where(F.col("rank") <= k)
+    """The first k rows of each category, with its exact total. Rows are cut to k before they are shuffled."""
+    w = Window.partitionBy("category").orderBy(*(order or [F.col("item")]))
+    first = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    total = rows.groupBy(F.col("category").alias("c")).agg(F.count(F.lit(1)).alias("total"))
+    return first.join(total, F.col("category").eqNullSafe(F.col("c"))).drop("c")
 
 
 def skipped(all_: DataFrame, done: DataFrame, reason: Column, key: str = "doc_id") -> DataFrame:
@@ -79,14 +81,16 @@ def unchanged(fields: list[str], checked_ns: str = "checked_ns", changed_ns: str
     return same & (F.col(checked_ns) - F.col(changed_ns) >= 2_000_000_000)
 
 
-def digest(counts: dict[str, DataFrame | None]) -> DataFrame:
-    """One row with a count of each category that was verified; state PARTIAL if one wasn't."""
+def digest(counts: dict[str, DataFrame | None], interrupted: bool = False, failed: bool = False) -> DataFrame:
+    """One row with a count of each category that was verified, in one job. state: PHASE-FAILED or INTERRUPTED if the
+    run says so, else PARTIAL if a category wasn't verified, else FRESH."""
     known = {k: v for k, v in counts.items() if v is not None}
-    out = None
-    for name, rows in known.items():
-        one = rows.agg(F.count(F.lit(1)).alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out.withColumn("state", F.lit("FRESH" if len(known) == len(counts) else "PARTIAL"))
+    state = "PHASE-FAILED" if failed else "INTERRUPTED" if interrupted else "FRESH" if len(known) == len(counts) else "PARTIAL"
+    if not known:
+        raise ValueError("no category was verified")
+    every = reduce(DataFrame.unionByName, [v.select(F.lit(k).alias("category")) for k, v in known.items()])
+    named = [F.count_if(F.col("category") == k).alias(k) for k in known]
+    return every.agg(*named).withColumn("state", F.lit(state))
 
 
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.match_case)

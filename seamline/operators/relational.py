@@ -91,13 +91,36 @@ def keyset_batch(rows: DataFrame, key: str, after, most: int, where: Column | No
 
 
 def class_caps(rows: DataFrame, kind: str, order: list[Column], caps: dict[str, int], default: int) -> DataFrame:
-    """Rows within their class's cap, with how many of the class were dropped."""
+    """Rows within their class's cap, with how many of the class were dropped.
+
+    Classes are counted apart, so that the numbered rows are cut to the largest cap before they are shuffled.
+    """
     cap = F.lit(default)
     for k, n in caps.items():
         cap = F.when(F.col(kind) == k, F.lit(n)).otherwise(cap)
-    w = Window.partitionBy(kind)
-    out = rows.withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("cap", cap)
-    return out.where("rn <= cap").withColumn("dropped", F.greatest(F.col("n") - F.col("cap"), F.lit(0))).drop("n", "cap", "rn")
+    most = max([default, *caps.values()])
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("rn") <= most)
+    n = rows.groupBy(F.col(kind).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    out = first.withColumn("cap", cap).where("rn <= cap").join(n, F.col(kind).eqNullSafe(F.col("class")))
+    return out.withColumn("dropped", F.greatest(F.col("n") - F.col("cap"), F.lit(0))).drop("n", "cap", "rn", "class")
+
+
+def global_rank(rows: DataFrame, value: str, key: str, bits: int = 10) -> DataFrame:
+    """``rows`` with rank, from 1 for the greatest value (a whole number; among equals the least key first).
+
+    The rows above a value are summed from counts of values, in ranges of 2**bits values, so no task sees all rows.
+    """
+    counts = rows.groupBy(F.col(value).cast("long").alias("of_value")).agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("high", F.shiftright("of_value", bits))
+    ranges = counts.groupBy("high").agg(F.sum("c").alias("s"))
+    above = Window.orderBy(F.desc("high")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("high").alias("h"), F.coalesce(F.sum("s").over(above), F.lit(0)).alias("base"))
+    within = Window.partitionBy("high").orderBy(F.desc("of_value")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("in_range", F.coalesce(F.sum("c").over(within), F.lit(0))).join(ranges, F.col("high") == F.col("h"))
+    starts = starts.select("of_value", (F.col("base") + F.col("in_range")).alias("before"))
+    among = F.row_number().over(Window.partitionBy(value).orderBy(key))
+    placed = rows.withColumn("among", among).join(starts, F.col(value) == F.col("of_value"))
+    return placed.withColumn("rank", F.col("before") + F.col("among")).drop("of_value", "before", "among")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -21,7 +21,9 @@ LEAST_PROSE_TOKENS = 4
 _STAMP = re.compile(r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|\b\d{2}:\d{2}:\d{2}\b|\[\d{2,7}\]|\bpid[=: ]\d+", re.I)
 _REGEX = re.compile(r"\\[bBdDsSwW]|\.\*|\.\+|\[[^\]]+\][*+?]|\(\?:|^\^|[^\\]\$$|\w\|\w")
 _PATH = re.compile(r"^[\w.@-]*(/[\w.@-]+)+/?$|^[\w-]+\.(ts|tsx|js|py|rs|go|java|c|h|cpp|md|json|toml|yaml|yml)$")
-_CODE = re.compile(r"[(){};]|=>|->|==|!=|&&|\|\||:=")
+_LEVEL = re.compile(r"(?<!\S)(INFO|WARN|ERROR|DEBUG|TRACE|PANICKED)(?!\S)", re.I)
+_CODE = re.compile(r"[(){}\[\]<>=!|&]|[,;](?!\s)|\\.", re.S)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'|`[^`]*`")
 _IDENTIFIER = re.compile(r"^(\w+(::|\.)\w+((::|\.)\w+)*|[A-Za-z]\w*_\w+|_\w+|[a-z]+[A-Z]\w*|[A-Z][a-z0-9]+[A-Z]\w*)$")
 _KEBAB = re.compile(r"^[A-Za-z0-9]+(-[A-Za-z0-9]+)+$")
 
@@ -41,11 +43,12 @@ def classify(query: str) -> str:
     ts = tokens(query)
     if _REGEX.search(query):
         return "regex"
-    if _STAMP.search(query):
+    if len(ts) >= 3 and (_STAMP.search(query) or _LEVEL.search(query)):
         return "log_excerpt"
     if len(ts) == 1 and _PATH.match(ts[0]):
         return "path"
-    if _CODE.search(query) or len(ts) == 1 and query[:1] in "\"'":
+    quoted = _QUOTED.search(query)
+    if quoted and (len(ts) <= 3 or quoted[0] == query) or _CODE.search(_QUOTED.sub("", query)) and (not quoted or len(ts) <= 3):
         return "code_literal"
     if len(ts) == 1 and is_identifier(ts[0]):
         return "identifier"

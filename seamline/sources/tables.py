@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode; on a cluster that is
+    an error, as executors could not read it."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return at or tempfile.mkdtemp(prefix="shared-")
+
+
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, size, modified, text) of the files under a root; undecodable bytes become replacement characters."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
@@ -22,9 +32,15 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def glob_pattern(glob: str) -> str:
-    """A glob with ** as a regular expression without lookaround."""
-    out = ""
-    for part in re.findall(r"\*\*/|\*\*|\*|\?|\[[^\]]*\]|[^*?\[]+|.", glob):
+    """A glob with ** and {a,b} as a regular expression without lookaround."""
+    out, depth = "", 0
+    for part in re.findall(r"\*\*/|\*\*|\*|\?|\[[^\]]*\]|[{},]|[^*?\[{},]+|.", glob):
+        if part == "{" and "}" in glob:
+            out, depth = out + "(?:", depth + 1
+            continue
+        if depth and part in "},":
+            out, depth = out + {"}": ")", ",": "|"}[part], depth - (part == "}")
+            continue
         out += {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (
             part.replace("[!", "[^") if part[0] == "[" and len(part) > 1 else re.escape(part).replace("\\-", "-")
         )

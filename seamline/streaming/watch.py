@@ -43,18 +43,16 @@ class Batch:
             self.first_dropped = offset
 
     def merge(self, other: Batch) -> None:
-        """Append a later batch under the same cap."""
+        """Append a later batch under the same cap; of a folded row, as many lines as there is room for stay."""
         for offset, end, text, n in other.lines:
-            if self.taken + n > BATCH_LINES:
-                self.drop(n, offset)
-                continue
-            self.taken += n
-            last = self.lines[-1] if self.lines else None
-            if last and last[1] == offset and last[2] == text:
-                last[1], last[3] = end, last[3] + n
-            else:
-                self.lines.append([offset, end, text, n])
-        self.drop(other.dropped, other.first_dropped)
+            keep = min(n, BATCH_LINES - self.taken)
+            self.drop(n - keep, offset + keep * (end - offset) // n)
+            if keep:
+                self.taken += keep
+                self.lines.append([offset, offset + keep * (end - offset) // n, text, keep])
+        self.dropped += other.dropped
+        if self.first_dropped is None:
+            self.first_dropped = other.first_dropped
 
 
 class Watcher:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from seamline.functions import secrets, urls
 from seamline.functions import text as X
 from seamline.operators import compress, envelope, graph, grep, health, relational, search, vector
-from seamline.sources import pages
+from seamline.sources import pages, tables
 
 
 def got(df):
@@ -100,6 +100,84 @@ def test_graph(spark):
     assert rows.count() == 3 and totals.first().total_affected == 3 and totals.first().reason is None
 
 
+def test_graph_of_many_levels(spark):
+    """No walk stops before there is nothing new to reach."""
+    e = spark.range(0, 130).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    n = spark.range(0, 133).withColumnRenamed("id", "node")
+    assert got(graph.dead_nodes(n, e, n.where("node = 0"))) == [(131,), (132,)]
+
+
+def test_cycles_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(17)
+    for size, many in ((9, 13), (14, 22)):
+        pairs = [(rng.randrange(size), rng.randrange(size)) for _ in range(many)]
+        far = {i: {i} for i in range(size)}
+        for _ in range(size):
+            for a, b in pairs:
+                for i in far:
+                    if a in far[i]:
+                        far[i] |= {b}
+        want = []
+        for i in range(size):
+            same = [j for j in range(size) if j in far[i] and i in far[j]]
+            if len(same) > 1 or (i, i) in pairs:
+                want.append((i, min(same), len(same)))
+        want.sort(key=str)
+        assert got(graph.cycles(spark.createDataFrame(pairs, "src int, dst int"))) == want
+    ring = [(i, (i + 1) % 8) for i in range(8)]
+    assert got(graph.cycles(spark.createDataFrame(ring, "src int, dst int"))) == sorted(((i, 0, 8) for i in range(8)), key=str)
+
+
+def test_import_cycles(spark):
+    rows = [("self", "self", "static"), ("d", "d", "dynamic"), ("a", "b", "static"), ("b", "a", "static"), ("t", "t", "type"), ("x", "y", "static"), ("y", "x", "dynamic")]
+    found = graph.import_cycles(spark.createDataFrame(rows, "src string, dst string, kind string"))
+    assert got(found) == [
+        ("a", "a", 2, "static"), ("b", "a", 2, "static"), ("d", "d", 1, "dynamic-only"), ("self", "self", 1, "static"), ("x", "x", 2, "dynamic-only"), ("y", "x", 2, "dynamic-only"),
+    ]
+
+
+def test_call_sites(spark):
+    calls = spark.createDataFrame(
+        [("b", "a", "f1", 3, "a(1)", False), ("b", "a", "f1", 9, "a(2)", False), ("c", "b", "f2", 1, "b()", False), ("t", "a", "f3", 1, "a()", True), ("d", "c", "f4", 2, "c()", False)],
+        "src string, dst string, file string, line int, expression string, is_test boolean",
+    )
+    sites, totals = graph.call_sites(calls, "a", 2)
+    assert [(r[0], r[3], r[5], r[6]) for r in got(sites)] == [("b", 3, 1, "direct"), ("b", 9, 1, "direct"), ("c", 1, 2, "transitive")]
+    assert got(totals) == [(2, 2, 3, 1)]
+    assert got(graph.call_sites(calls, "a", 5, include_tests=True)[1]) == [(4, 4, 5, 0)]
+    base = spark.createDataFrame([("x", "lib", "go"), ("y", "lib", "go"), ("z", "lib", "stop")], "file string, target_file string, target_name string")
+    own = spark.createDataFrame([("y", "lib", "stop"), ("w", "lib", "go")], base.schema)
+    assert got(graph.caller_files(base, own, "lib", "go")) == [("w",), ("x",)]
+    names = spark.createDataFrame([("x", "go", "symbol"), ("y", "go", "reference"), ("y", "go", "reference")], "file string, name string, kind string")
+    assert got(graph.files_with_name(names, "go")) == [("x",), ("y",)] and got(graph.files_with_name(names, "go", "reference")) == [("y",)]
+
+
+def test_data_flow(spark):
+    flows = [("a", "b", "assign"), ("b", "f.p", "call"), ("f.p", "f.q", "assign"), ("f.q", "g.p", "call"), ("a", "h.p", "unknown"), ("h.p", "f.q", "assign"), ("g.p", "a", "call")]
+    start = spark.createDataFrame([("a", "a")], "origin string, node string")
+    found = graph.data_flow(spark.createDataFrame(flows, "src string, dst string, kind string"), start, 2)
+    assert got(found) == [
+        ("a", "a", 0, False), ("a", "b", 0, False), ("a", "f.p", 1, False), ("a", "f.q", 1, False), ("a", "g.p", 2, False), ("a", "h.p", 1, True),
+    ]
+
+
+def test_braces_in_globs():
+    import re
+
+    assert re.match(tables.glob_pattern("app/**/{page,layout}.{ts,tsx}"), "app/x/y/page.tsx")
+    assert not re.match(tables.glob_pattern("app/**/{page,layout}.{ts,tsx}"), "app/x/other.ts")
+    assert re.match(tables.glob_pattern("a,b"), "a,b") and re.match(tables.glob_pattern("{x"), "{x")
+
+
+def test_ranks_equal_sort(spark):
+    rows = [(i, (i * 37) % 11 + (5000 if i % 3 else 0)) for i in range(50)]
+    want = {k: n + 1 for n, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    found = relational.global_rank(spark.createDataFrame(rows, "k int, v long"), "v", "k", 3)
+    assert {r.k: r["rank"] for r in found.collect()} == want
+
+
 def test_initialisers(spark):
     inits = spark.createDataFrame([("p", "i"), ("p", "j")], "package string, init string")
     calls = spark.createDataFrame([("p", "i"), ("p", "m")], "package string, caller string")
@@ -238,8 +316,15 @@ def test_dispatch_and_reuse(spark):
     assert got(graph.invalidated(spark.createDataFrame([("l",)], "key string"), rec)) == [("i",)]
     est = spark.createDataFrame([("a", 1, 8), ("a", 2, 4)], "k string, o int, v int")
     assert got(graph.running_estimate(est, "k", "o", "v")) == [("a", 3)]
-    n = spark.createDataFrame([("h", ["app.route"]), ("p", ["property"])], "node string, decorators array<string>")
-    assert got(graph.framework_roots(n)) == [("h", "web")]
+    none = []
+    n = spark.createDataFrame(
+        [
+            ("g", "src/x.py", False, [("route", "app")]), ("h", "app/shop/[id]/page.tsx", True, none), ("i", "src/c.ts", False, [("Get", "@nestjs/common")]),
+            ("j", "src/c.ts", False, [("Get", "other")]), ("k", "app/shop/page.css", True, none), ("l", "app/page.tsx", False, none),
+        ],
+        "node string, path string, exported boolean, decorators array<struct<name string, module string>>",
+    )
+    assert got(graph.framework_roots(n, ["next"])) == [("g", "decorator"), ("h", "route"), ("i", "decorator")]
 
 
 def test_redirects_and_audit(spark):

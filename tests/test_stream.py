@@ -78,7 +78,10 @@ def test_state_survives():
 def test_batches_merge():
     a, b = fed([(0, b"ERROR\n" * 30)]).pending, fed([(180, b"ERROR\n" * 30)]).pending
     a.merge(b)
-    assert a.taken == 30 and a.dropped == 30 and a.first_dropped == 180
+    assert (a.taken, a.dropped, a.first_dropped) == (50, 10, 300)
+    assert [x[3] for x in a.lines] == [30, 20]
+    a.merge(fed([(360, b"ERROR\n")]).pending)
+    assert (a.taken, a.dropped, a.first_dropped) == (50, 11, 300)
 
 
 def test_repeats(spark):
