@@ -99,7 +99,7 @@ def trigram_postings(spark, d):
 
 @query(f"WITH {WORDS}, {GRAMS} SELECT trigram, count(DISTINCT doc_id) AS n_docs FROM g GROUP BY trigram")
 def trigram_df(spark, d):
-    return grep.frequencies(_postings(spark, d))
+    return grep.frequencies(table(spark, d, "documents"))
 
 
 @query(f"WITH {WORDS}, {GRAMS} SELECT doc_id FROM g WHERE trigram IN ('wor', 'ort', 'thl', 'les') GROUP BY doc_id HAVING count(DISTINCT trigram) = 4")
@@ -107,6 +107,25 @@ def trigram_candidates(spark, d):
     return grep.candidates(_postings(spark, d), ["wor", "ort", "thl", "les"])
 
 
+@query(f"WITH {LINES} SELECT doc_id, line_no, line FROM l WHERE contains(line, 'The worthless') OR contains(line, 'the worthless')")
+def grep_by_index(spark, d):
+    """A pattern with a blank, by the postings of a published index, rarest first."""
+    docs = table(spark, d, "documents")
+    return grep.indexed_grep(docs, "[Tt]he worthless", index=grep.publish_index(docs)).select("doc_id", "line_no", "line")
+
+
+@query(
+    "WITH c AS (SELECT doc_id, unnest(string_split(translate(text, " + FOLD + "), chr(10))) AS line FROM documents), "
+    "g AS (SELECT doc_id, substr(line, i, 3) AS trigram, substr(line, i + 3, 1) AS nxt FROM c, unnest(range(1, greatest(length(line) - 1, 1))) AS t(i)) "
+    "SELECT trigram, count(DISTINCT doc_id) AS n_docs, count(DISTINCT CASE WHEN nxt != '' AND (ascii(nxt) * 31) % 8 = (ascii('s') * 31) % 8 THEN doc_id END) AS n_before FROM g WHERE trigram IN ('e w', '. t', 'les', 'th ') GROUP BY trigram"
+)
+def index_postings(spark, d):
+    """Postings of some trigrams of the published index, blanks and signs among them, and a bit of their masks."""
+    index = grep.publish_index(table(spark, d, "documents")).where(F.col("trigram").isin("e w", ". t", "les", "th "))
+    before = F.col("mask").bitwiseAND(X.next_bit(F.lit("s"))) != 0
+    return index.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(before).alias("n_before"))
+
+
 LEX = sorted(trigram.of_string("worthless").grams())
 LEX_SQL = ", ".join(f"'{g}'" for g in LEX)
 
@@ -116,7 +135,7 @@ LEX_SQL = ", ".join(f"'{g}'" for g in LEX)
     "SELECT doc_id, round(hits / (1 + ln(k)), 9) AS score FROM n WHERE hits > 0 ORDER BY hits / (1 + ln(k)) DESC, doc_id LIMIT 20"
 )
 def lexical_score_topk(spark, d):
-    s = grep.lexical_scores(_postings(spark, d), LEX).orderBy(F.desc("score"), "doc_id").limit(20)
+    s = grep.lexical_scores(table(spark, d, "documents"), LEX).orderBy(F.desc("score"), "doc_id").limit(20)
     return s.select("doc_id", F.round("score", 9).alias("score"))
 
 

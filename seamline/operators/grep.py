@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import trigram
+from ..sources.tables import shared_folder
 
 
 def matcher(line: Column, pattern: str, *, literal: bool = False, ignore_case: bool = False) -> Column:
@@ -49,8 +52,16 @@ def word_postings(docs: DataFrame, key: str = "doc_id", word: str = "[A-Za-z]+")
     return grams.groupBy(key, F.col("g.trigram").alias("trigram")).agg(F.bit_or(X.next_bit(F.col("g.next"))).alias("mask"))
 
 
-def frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_docs"))
+def word_trigrams(text: Column, word: str = "[A-Za-z]+") -> Column:
+    """The distinct trigrams of a text's words, made within the row."""
+    words = F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(words, X.trigrams)))
+
+
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(trigram, n_docs) over texts: each row's distinct trigrams are counted, so only counts are shuffled."""
+    grams = docs.select(F.explode(word_trigrams(F.col(text))).alias("trigram"))
+    return grams.groupBy("trigram").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def candidates(postings: DataFrame, grams: list[str], key: str = "doc_id") -> DataFrame:
@@ -61,15 +72,87 @@ def candidates(postings: DataFrame, grams: list[str], key: str = "doc_id") -> Da
     return found.where(F.col("n") == len(set(grams))).select(key)
 
 
-def indexed_grep(docs: DataFrame, pattern: str, *, key: str = "doc_id", ignore_case: bool = False) -> DataFrame:
-    """grep by plan: lines whose trigrams satisfy the pattern's query are verified against the pattern."""
-    query = trigram.plan(pattern)
-    rows = X.lines(docs, key)
+def publish_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The trigram index of whole lines as a written table (trigram, key, mask), sorted by trigram.
+
+    mask has a bit for every character that follows the trigram somewhere in the text; a line's end sets none. Row
+    groups of other trigrams are skipped by their least and greatest values.
+    """
+    grams = F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), X.positions)))
+    rows = docs.select(key, F.explode(grams).alias("g"))
+    found = rows.groupBy(key, F.col("g.trigram").alias("trigram")).agg(F.bit_or(X.next_bit(F.col("g.next"))).alias("mask"))
+    at = f"{shared_folder(docs.sparkSession).rstrip('/')}/trigrams-{uuid.uuid4().hex}"
+    found.repartitionByRange("trigram", key).sortWithinPartitions("trigram", key).write.parquet(at)
+    return docs.sparkSession.read.schema(found.select("trigram", key, "mask").schema).parquet(at)
+
+
+def _grams_of(q: trigram.Query) -> set[str]:
+    return {q.gram} if q.kind == "gram" else set().union(*map(_grams_of, q.parts)) if q.kind in ("and", "or") else set()
+
+
+def index_candidates(index: DataFrame, q: trigram.Query, key: str = "doc_id", follows: dict[str, str] | None = None) -> DataFrame | None:
+    """(key) of documents whose postings satisfy a plan, None where it can't tell (every document then).
+
+    Of what must all hold, the rarest comes first and the others only narrow it down. ``follows`` says what character
+    comes after a trigram, so that the mask can rule documents out.
+    """
+    grams = _grams_of(q)
+    asked = index.where(F.col("trigram").isin(*grams)) if grams else index.limit(0)
+    n = {r.trigram: r.n for r in asked.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def size(q: trigram.Query) -> float:
+        if q.kind == "gram":
+            return n.get(q.gram, 0)
+        return min(map(size, q.parts)) if q.kind == "and" else sum(map(size, q.parts)) if q.kind == "or" else float("inf")
+
+    def found(q: trigram.Query) -> DataFrame | None:
+        if q.kind == "gram":
+            rows = index.where(F.col("trigram") == q.gram)
+            nxt = (follows or {}).get(q.gram)
+            if nxt:
+                bit = X.next_bit(F.lit(nxt))
+                rows = rows.where(F.col("mask").bitwiseAND(bit) == bit)
+            return rows.select(key)
+        if q.kind == "none":
+            return index.select(key).limit(0)
+        if q.kind not in ("and", "or"):
+            return None
+        parts = [found(p) for p in sorted(q.parts, key=size)]
+        if q.kind == "or":
+            return None if any(p is None for p in parts) else reduce(DataFrame.union, parts).distinct()
+        known = [p for p in parts if p is not None]
+        return reduce(lambda x, y: x.join(y, key, "left_semi"), known) if known else None
+
+    return found(q)
+
+
+def indexed_grep(
+    docs: DataFrame, pattern: str, *, key: str = "doc_id", ignore_case: bool = False, literal: bool = False, index: DataFrame | None = None
+) -> DataFrame:
+    """grep by plan: lines whose trigrams satisfy the pattern's query are verified against the pattern.
+
+    With a published ``index`` only documents that its postings allow are read; without one, the query's trigrams are
+    looked for as substrings, in the whole text first and then line by line.
+    """
+    query = trigram.of_string(fold_pattern(pattern)) if literal else trigram.plan(pattern)
+    rows = docs
+    if index is not None:
+        folded = fold_pattern(pattern)
+        follows = {folded[i : i + 3]: folded[i + 3] for i in range(len(folded) - 3) if folded.count(folded[i : i + 3]) == 1} if literal else None
+        ids = index_candidates(index, query, key, follows)
+        rows = rows if ids is None else rows.join(ids, key, "left_semi")
+    elif query != trigram.ALL:
+        rows = rows.where(_substrings(query, X.ascii_fold(F.col("text"))))
+    rows = X.lines(rows, key)
     if query != trigram.ALL:
         # As substrings, the query's trigrams need no array: each is one scan of the line.
-        folded = X.ascii_fold(F.col("line"))
-        rows = rows.where(_substrings(query, folded))
-    return rows.where(matcher(F.col("line"), pattern, ignore_case=ignore_case))
+        rows = rows.where(_substrings(query, X.ascii_fold(F.col("line"))))
+    return rows.where(matcher(F.col("line"), pattern, ignore_case=ignore_case, literal=literal))
+
+
+def fold_pattern(text: str) -> str:
+    """A-Z to a-z of a pattern on the driver."""
+    return text.translate(str.maketrans(X.UPPER, X.LOWER))
 
 
 def _substrings(q: trigram.Query, c: Column) -> Column:
@@ -83,11 +166,19 @@ def _substrings(q: trigram.Query, c: Column) -> Column:
     return F.lit(q.kind == "all")
 
 
-def lexical_scores(postings: DataFrame, grams: list[str], key: str = "doc_id") -> DataFrame:
-    """(key, score): matched query trigrams over 1 + ln(distinct trigrams of the text), for texts with a match."""
-    asked = F.count_if(F.col("trigram").isin(*set(grams)))
-    n = postings.groupBy(key).agg(asked.alias("hits"), F.count(F.lit(1)).alias("distinct"))
-    return n.where("hits > 0").select(key, (F.col("hits") / (1 + F.log("distinct"))).alias("score"))
+def lexical_scores(docs: DataFrame, grams: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score): matched query trigrams over 1 + ln(distinct trigrams of the text), for texts with a match.
+
+    Only texts that hold one of the trigrams are cut up, each within its row; nothing is shuffled.
+    """
+    folded, any_ = X.ascii_fold(F.col(text)), F.lit(False)
+    for g in grams:
+        any_ = any_ | F.contains(folded, F.lit(g))
+    rows = docs.where(any_).select(key, word_trigrams(F.col(text)).alias("grams"))
+    hits = F.size(F.array_intersect("grams", F.array(*map(F.lit, sorted(set(grams))))))
+    return rows.select(key, hits.alias("hits"), F.size("grams").alias("n")).where("hits > 0").select(
+        key, (F.col("hits") / (1 + F.log("n"))).alias("score")
+    )
 
 
 def conflict_regions(rows: DataFrame, key: str, begin: str = "<<<<<<<", end: str = ">>>>>>>") -> DataFrame:

@@ -23,7 +23,7 @@ def test_lexical_score(spark):
     import math
 
     want = {0: 1 / (1 + math.log(4)), 1: 1 / (1 + math.log(3))}
-    assert {r.doc_id: r.score for r in grep.lexical_scores(p, ["abc"]).collect()} == pytest.approx(want)
+    assert {r.doc_id: r.score for r in grep.lexical_scores(d, ["abc"]).collect()} == pytest.approx(want)
 
 
 def test_indexed_grep_equals_plain(spark):
@@ -86,6 +86,27 @@ def test_vectors(spark):
     assert [round(r.s, 6) for r in boost] == [1.0, 1.1, 0.0, 0.0]
 
 
+@pytest.mark.parametrize("pattern,literal", [("b c", True), ("bcd", True), ("a.*d", False), ("b[cx] |zz+y", False), ("(ab|bc)c", False), ("x", True), ("B C", True), ("abca", True)])
+def test_indexed_grep_equals_grep(spark, pattern, literal):
+    import random
+
+    rng = random.Random(41)
+    d = docs(spark, *("".join(rng.choice("abcdxyzABC \n.") for _ in range(rng.randint(0, 60))) for _ in range(150)), "zzzy b c", "é b c", "")
+    index = grep.publish_index(d)
+    want = got(grep.grep(d, pattern, literal=literal).select("doc_id", "line_no", "line"))
+    for ix in (None, index):
+        assert got(grep.indexed_grep(d, pattern, literal=literal, index=ix).select("doc_id", "line_no", "line")) == want
+
+
+def test_masks_rule_documents_out(spark):
+    """All trigrams are there, but never with the character that must follow."""
+    d = docs(spark, "abc bcd", "abcd")
+    index = grep.publish_index(d)
+    q = grep.trigram.of_string("abcd")
+    assert got(grep.index_candidates(index, q)) == [(0,), (1,)]
+    assert got(grep.index_candidates(index, q, follows={"abc": "d"})) == [(1,)]
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a"), ("d", "d"), ("c", "e")], "src string, dst string")
     assert graph.shortest_path(e, "b", "c").first().path == ["b", "a", "c"]
