@@ -7,6 +7,11 @@ all rows is formatted by many tasks; its text is the concatenation of its segmen
 
 Template: ``<|im_start|>role LF text<|im_end|> LF``. In texts and roles ``\\`` becomes ``\\\\`` and ``<|`` becomes
 ``<\\|``, so that no control string can occur in them; a line feed in a role becomes the control string ``<|lf|>``.
+
+Null texts and roles are empty, null turns come first, null ids are one conversation, repeated rows are turns of their
+own. Very long texts are read whole. Only the named columns are read. An empty table gives an empty result (the query
+adds its own conversation). The query's digests are of whole conversations, so its last step holds one conversation's
+text at a time; folding and formatting don't.
 """
 
 from __future__ import annotations
@@ -63,21 +68,13 @@ def fold(events: DataFrame) -> DataFrame:
     )
     # The newest regeneration before a turn: over earlier blocks of turns, then within the block.
     folded = folded.withColumn("block", F.floor(F.col("turn") / SEGMENT_TURNS))
-    blocks = folded.groupBy("conv_id", "block").agg(F.max("regenerated").alias("r")).where("r is not null")
-    if_any = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = blocks.select(
-        F.col("conv_id").alias("c"),
-        F.col("block").alias("b"),
-        F.max("r").over(if_any).alias("newest"),
-        F.lead("block").over(Window.partitionBy("conv_id").orderBy("block")).alias("until"),
-    )
+    blocks = folded.groupBy("conv_id", "block").agg(F.max(F.when(F.col("block").isNotNull(), F.col("regenerated"))).alias("r"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.max("r").over(before).alias("newest"))
     earlier = Window.partitionBy("conv_id", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    # By conversation and block, so that a long conversation is spread over its blocks.
     seen = folded.withColumn("in_block", F.max("regenerated").over(earlier)).join(
-        upto,
-        F.col("conv_id").eqNullSafe(F.col("c"))
-        & (F.col("block") > F.col("b"))
-        & (F.col("until").isNull() | (F.col("block") <= F.col("until"))),
-        "left",
+        upto, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left"
     )
     newest = F.greatest(F.coalesce("in_block", F.lit(-(1 << 63))), F.coalesce("newest", F.lit(-(1 << 63))))
     return seen.where(~(newest > F.coalesce("last_seq", F.lit(-(1 << 63))))).where(

@@ -78,6 +78,10 @@ def test_token_counts_odd(spark):
     assert got.count() == 12 and {r.n_tokens for r in got.where("text is null or text = ''").collect()} == {0}
 
 
+def test_token_counts_empty(spark):
+    assert token_counts.token_counts(documents(spark, ["a"]).limit(0), ["a"]).count() == 0
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -556,6 +560,25 @@ def test_fold_of_events(spark):
     assert got == [(1, 0, "user", "hey"), (1, 1, "assistant", "new"), (1, 3, "user", "kept")]
 
 
+def test_regenerations_of_long_conversations(spark):
+    """A regeneration drops later turns in its own block of turns and in all that follow, and no earlier ones."""
+    ev = [(c, t, 1, t, "message", "user", f"m{t}") for c in (1, None) for t in range(100)]
+    ev += [(1, 40, 1, 200, "regenerate", "assistant", "again"), (1, 90, 1, 300, "message", "user", "after"), (1, 70, 1, 150, "regenerate", "assistant", "old"), (1, None, 1, 400, "regenerate", "user", "first")]
+    df = spark.createDataFrame(ev, "conv_id long, turn long, part int, seq long, kind string, role string, text string")
+    got = {(r.conv_id, r.turn): r.text for r in chat.fold(df).collect()}
+    assert sorted(t for c, t in got if c is None) == list(range(100))
+    assert sorted(t for c, t in got if c == 1 and t is not None) == [*range(41), 90]
+    assert got[1, 40] == "again" and got[1, 90] == "after" and got[1, None] == "first"
+
+
+def test_chat_odd(spark):
+    rows_ = [(1, 0, "user", "x" * 3_000_000), (1, 1, "assistant", None), (2, None, None, "")]
+    df = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").withColumns({"part": F.lit(7), "kind": F.lit("delete"), "segment": F.lit(1)})
+    read = chat.read_back(chat.render(chat.fold(chat.events_of(df)))).collect()
+    assert sorted((r.conv_id, len(r.turns), sum(len(t.text) for t in r.turns)) for r in read) == [(1, 2, 3_000_000), (2, 1, 0)]
+    assert chat.render(chat.fold(chat.events_of(df.limit(0)))).count() == 0
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
