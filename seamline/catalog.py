@@ -496,7 +496,7 @@ def vector_cosine_topk(spark, d):
 
 @query(f"WITH {QV} SELECT vec_id, round({COS}, 6) AS score FROM e, q ORDER BY {COS} DESC, vec_id LIMIT 10")
 def vector_pruned_topk(spark, d):
-    q = vector.quantise(table(spark, d, "embeddings"))
+    q = vector.publish(vector.quantise(table(spark, d, "embeddings")))
     return vector.pruned_top_k(q, _query_vector(spark, d), 10).select("vec_id", F.round("score", 6).alias("score"))
 
 

@@ -144,8 +144,9 @@ def _quoted(s: str) -> str:
     return re.escape(s).replace("\\ ", " ")
 
 
-def anchored(docs: DataFrame, excerpt: str, *, key: str = "doc_id", most: int = 64) -> DataFrame:
-    """(key, line_no, matched) of lines that hold a log excerpt's literal runs in order, what varies left out."""
+def anchored(docs: DataFrame, excerpt: str, *, key: str = "doc_id", most: int | None = None) -> DataFrame:
+    """(key, line_no, matched) of lines that hold a log excerpt's literal runs in order, what varies left out; all of them,
+    or the first ``most`` of each text."""
     from ..functions.text import lines
 
     runs = literal_runs(excerpt)
@@ -153,8 +154,10 @@ def anchored(docs: DataFrame, excerpt: str, *, key: str = "doc_id", most: int =
         return lines(docs, key).limit(0).select(key, "line_no", F.lit(0).alias("matched"))
     pattern = ".*".join(_quoted(r) for r in runs)
     found = lines(docs.where(F.contains("text", F.lit(max(runs, key=len)))), key).where(F.col("line").rlike(pattern))
-    w = Window.partitionBy(key).orderBy("line_no")
-    return found.withColumn("n", F.row_number().over(w)).where(f"n <= {most}").select(key, "line_no", F.lit(sum(map(len, runs))).alias("matched"))
+    if most is not None:
+        w = Window.partitionBy(key).orderBy("line_no")
+        found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return found.select(key, "line_no", F.lit(sum(map(len, runs))).alias("matched"))
 
 
 def literal_runs(excerpt: str, least: int = 3) -> list[str]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def _doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -68,6 +72,14 @@ def quantise(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding")
     )
 
 
+def publish(quantised: DataFrame) -> DataFrame:
+    """The quantised vectors as a written table, a byte for each code, that queries read."""
+    at = f"{shared_folder(quantised.sparkSession).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    small = quantised.withColumn("codes", F.col("codes").cast("array<tinyint>"))
+    small.write.parquet(at)
+    return quantised.sparkSession.read.schema(small.schema).parquet(at)
+
+
 def bounds(quantised: DataFrame, query: list[float], *, slack: float = 1e-9) -> DataFrame:
     """``quantised`` with lower and upper bounds of the cosine, by Hoelder's and Cauchy's inequalities."""
     q = F.array(*[F.lit(float(x)) for x in query])
