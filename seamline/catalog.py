@@ -438,6 +438,30 @@ def recall_audit(spark, d):
     return search.recall_audit(table(spark, d, "labels").select("doc_id").distinct(), stages)
 
 
+@query(
+    "WITH e AS (SELECT doc_id, starts_with(text, 'The') AS def, CASE WHEN doc_id % 3 = 0 THEN len(string_split(text, 'idiot')) - 1 END AS occ, CASE WHEN doc_id % 5 = 0 THEN length(source) END AS span, CASE WHEN doc_id % 2 = 0 THEN 3 END AS win FROM documents) "
+    "SELECT doc_id, CASE WHEN def THEN 'definition' WHEN occ > 0 THEN 'verbatim' WHEN occ IS NOT NULL THEN NULL WHEN span IS NOT NULL THEN 'anchored' WHEN win IS NOT NULL THEN 'window' END AS kind, "
+    "(CASE WHEN def THEN NULL WHEN occ > 0 THEN occ WHEN occ IS NOT NULL THEN NULL WHEN span IS NOT NULL THEN span ELSE win END)::BIGINT AS value FROM e"
+)
+def evidence_kinds(spark, d):
+    """The descriptor of every document from several kinds of evidence."""
+    i, text = F.col("doc_id"), F.col("text")
+    occurrences = F.when(i % 3 == 0, F.size(F.split(text, "idiot")) - 1)
+    e = search.evidence(F.startswith(text, F.lit("The")), occurrences, F.when(i % 5 == 0, F.length("source")), F.when(i % 2 == 0, F.lit(3)))
+    return table(spark, d, "documents").select("doc_id", e.alias("e")).select("doc_id", "e.kind", "e.value")
+
+
+@query(
+    f"WITH {LINES}, m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name, 1 AS mention FROM l "
+    "UNION ALL SELECT doc_id, line_no, unnest(regexp_extract_all(line, '([A-Za-z_$][A-Za-z0-9_$]*) =', 1)), 0 FROM l), "
+    "f AS (SELECT name, min((mention, doc_id, line_no)) AS x FROM m WHERE length(name) >= 3 GROUP BY name) "
+    "SELECT name, x[1] = 0 AS declared, x[2] AS doc_id, x[3] AS line_no FROM f"
+)
+def identifier_locations(spark, d):
+    """Where each name of all documents is declared (left of an equals sign) or first named."""
+    return search.identifiers(table(spark, d, "documents"), r"([A-Za-z_$][A-Za-z0-9_$]*) =")
+
+
 #: Queries with the shape and lexical weight that they must have, written by hand.
 SHAPES = (
     ("fn handle(x)", "code_literal", 0.9),

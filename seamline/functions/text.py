@@ -147,3 +147,43 @@ def is_data_file(path: Column, text: Column, least_bytes: int = 8192, line_bytes
     manifest = F.regexp_extract(path, "([^/]*)$", 1).isin("package.json", "tsconfig.json", "composer.json", "deno.json")
     big = (F.octet_length(text) >= least_bytes) | F.exists(F.split(text, "\n"), lambda x: F.octet_length(x) >= line_bytes)
     return json & ~manifest & big
+
+
+def html_decoded(c: Column) -> Column:
+    """Character references decoded, in Arrow batches; no built-in function knows their names."""
+    import html
+
+    @F.pandas_udf("string")
+    def decode(texts):
+        return texts.map(html.unescape, na_action="ignore")
+
+    return decode(c)
+
+
+def xxhash32(c: Column, seed: int = 0) -> Column:
+    """xxHash32 of a string's UTF-8 bytes, as a long."""
+
+    @F.pandas_udf("long")
+    def tag(texts):
+        import xxhash
+
+        return texts.map(lambda t: xxhash.xxh32_intdigest(t.encode(), seed=seed), na_action="ignore")
+
+    return tag(c)
+
+
+def bpe_tokens(c: Column, ranks_path: str, pattern: str) -> Column:
+    """Tokens of a byte-pair vocabulary in a file of ``base64 rank`` lines, after a pre-tokeniser pattern."""
+
+    @F.pandas_udf("long")
+    def count(texts):
+        import base64
+
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return texts.map(lambda t: len(encoding.encode_ordinary(t)), na_action="ignore")
+
+    return count(c)

@@ -48,3 +48,14 @@ def registrable(host_: Column, suffixes: Column) -> Column:
     )
     first = F.array_min(F.transform(F.filter(tails, lambda t: F.array_contains(suffixes, t["tail"])), lambda t: t["i"]))
     return F.when(first > 1, F.array_join(F.slice(labels, first - 1, F.size(labels)), "."))
+
+
+def request_target(url: Column) -> Column:
+    """What is asked of a host: path (at least /) and query; null for a url with a fragment, which is refused."""
+    bare = F.regexp_replace(F.regexp_replace(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), "^$|^(?=[?])", "/")
+    return F.when(~F.contains(url, F.lit("#")), bare)
+
+
+def within_limits(scopes: dict[str, list[str]], most_rules: int = 8, most_origins: int = 4) -> bool:
+    """Whether a scope of several origins (origin to its path rules) is small enough to be granted."""
+    return 0 < len(scopes) <= most_origins and all(scopes.values()) and sum(map(len, scopes.values())) <= most_rules

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +135,8 @@ def batch_grants(grants: DataFrame, scopes: DataFrame, agents: DataFrame, roles:
     live = grants.where(F.col("role").isin(*roles) & F.col("ended_at").isNull())
     newest = newest_epoch(scopes, ["owner", "scope_ref"], "epoch")
     return live.join(newest, ["owner", "scope_ref", "epoch"]).join(agents, ["owner", "scope_ref", "epoch"])
+
+
+def exists_in_any(tables: list[DataFrame]) -> bool:
+    """Whether any of several tables has a row; each is asked for one at most."""
+    return not reduce(DataFrame.union, [t.limit(1).select(F.lit(1)) for t in tables]).isEmpty()

@@ -68,6 +68,41 @@ def canonical_order(key: str = "doc_id") -> list[Column]:
     ]
 
 
+def evidence(definition: Column, occurrences: Column, anchored_span: Column, window_lines: Column) -> Column:
+    """(kind, value) of a candidate's exact evidence: a definition, else its verbatim occurrences (none: no evidence at
+    all, whatever follows), else the span of an anchored match, else the lines of a token window; kind null for none."""
+
+    def of(kind: str | None, value: Column) -> Column:
+        return F.struct(F.lit(kind).cast("string").alias("kind"), value.cast("long").alias("value"))
+
+    none = F.lit(None).cast("long")
+    return (
+        F.when(definition, of("definition", none))
+        .when(occurrences > 0, of("verbatim", occurrences))
+        .when(occurrences.isNotNull(), of(None, none))
+        .when(anchored_span.isNotNull(), of("anchored", anchored_span))
+        .when(window_lines.isNotNull(), of("window", window_lines))
+        .otherwise(of(None, none))
+    )
+
+
+def identifiers(docs: DataFrame, declaration: str, *, key: str = "doc_id", least: int = 3) -> DataFrame:
+    """(name, declared, key, line_no) of every identifier of ``least`` characters: where it is declared first, else where
+    it is first named. ``declaration`` is a pattern whose group is the declared name."""
+    from ..functions.text import lines
+
+    rows = lines(docs, key)
+    name = r"[A-Za-z_$][A-Za-z0-9_$]*"
+
+    def found(pattern: str, group: int, declared: bool) -> DataFrame:
+        names = F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(group)))
+        return rows.select(key, "line_no", names.alias("name")).withColumn("declared", F.lit(declared))
+
+    every = found(name, 0, False).unionByName(found(declaration, 1, True)).where(F.length("name") >= least)
+    first = F.min(F.struct((~F.col("declared")).alias("mention"), F.col(key), F.col("line_no"))).alias("x")
+    return every.groupBy("name").agg(first).select("name", (~F.col("x.mention")).alias("declared"), f"x.{key}", "x.line_no")
+
+
 def page(ranked: DataFrame, order: list[Column], offset: int = 0, top_k: int = 10) -> DataFrame:
     if offset < 0 or top_k < 1:
         raise ValueError("offset is at least 0 and top_k at least 1")

@@ -14,6 +14,15 @@ WEIGHTS = {
     "natural_language": (0.4, 0.6),
     "regex": (1.0, 0.0),
 }
+#: Weights (lexical, semantic) of the older kinds, and whether the lexical lane is used at all.
+KIND_WEIGHTS = {
+    "identifier": (0.8, 0.2, True),
+    "path": (0.9, 0.1, True),
+    "error_code": (0.9, 0.1, True),
+    "natural_language": (0.4, 0.6, False),
+    "mixed": (0.6, 0.4, True),
+    "regex": (1.0, 0.0, False),
+}
 RRF_K = 60
 DEPTHS = (200, 400, 800, 1600, 3200)
 LEAST_PROSE_TOKENS = 4
@@ -67,6 +76,21 @@ def lanes(shape: str, *, lexical: bool = True, semantic: bool = True) -> list[tu
     return out
 
 
+def lanes_or_next(shape: str, ready: dict[str, bool]) -> list[tuple[str, float]]:
+    """The lanes of a shape that are ready; if none of those with a weight is, those of the next plainer shape."""
+    walk = [shape, *(s for s in ("natural_language", "short") if s != shape)]
+    for s in walk:
+        got = [(name, w) for name, w in lanes(s) if ready.get(name, False)]
+        if any(w for _, w in got):
+            return got
+    return [(name, w) for name, w in lanes(shape) if ready.get(name, False)]
+
+
+def split_lanes(ready: dict[str, bool]) -> list[str]:
+    """Lanes of a query in two parts, prose and a pattern: no exact lane runs on the prose."""
+    return [name for name in ("lexical", "semantic", "pattern_definition", "pattern_mention") if ready.get(name, False)]
+
+
 def split_words(token: str) -> list[str]:
     token = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", token)
     token = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", token)

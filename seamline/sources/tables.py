@@ -140,3 +140,10 @@ def compact(spark: SparkSession, root: str, generations: list[str], key: str, pa
     return publish(newest.repartitionByRange(parts, key).sortWithinPartitions(key), root)
 
 
+
+
+def write_json_arrays(df: DataFrame, folder: str) -> None:
+    """Rows as JSON arrays of their values, a line each, in column order; nulls are kept."""
+    values = F.transform(F.array(*[F.coalesce(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), F.lit("")) for c in df.columns]), lambda j: F.substring(j, 6, 1 << 30))
+    trimmed = F.transform(values, lambda j: F.left(j, F.length(j) - 1))
+    df.select(F.concat(F.lit("["), F.array_join(trimmed, ","), F.lit("]")).alias("value")).write.text(folder)

@@ -353,3 +353,30 @@ def test_redirects_and_audit(spark):
     assert [r[3] for r in got(secrets.redirect_verdicts(chains, [("a.com", "/x")]))] == [True, False, False]
     rec = spark.createDataFrame([("fine",), ("k0123456789abcdef!",)], "note string")
     assert secrets.audit_lines(rec, "k0123456789abcdef").count() == 1
+
+
+def test_small_operators(spark, tmp_path):
+    import base64
+    import json
+
+    import xxhash
+
+    from seamline.plans import router
+
+    d = docs(spark, "a &amp; b", "\u00e9", None)
+    assert [r.x for r in d.select(X.html_decoded(F.col("text")).alias("x")).collect()] == ["a & b", "\u00e9", None]
+    assert [r.x for r in d.select(X.xxhash32(F.col("text")).alias("x")).collect()] == [xxhash.xxh32_intdigest(b"a &amp; b"), xxhash.xxh32_intdigest("\u00e9".encode()), None]
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257}
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(k) + b" %d" % v for k, v in ranks.items()))
+    t = docs(spark, "abc ab x", "")
+    assert [r.x for r in t.select(X.bpe_tokens(F.col("text"), str(tmp_path / "ranks"), r"\S+|\s+").alias("x")).collect()] == [5, 0]
+    u = spark.createDataFrame([("http://a.com/x?y=1",), ("http://a.com",), ("http://a.com?q",), ("http://a.com/#f",)], "url string")
+    assert [r.x for r in u.select(urls.request_target(F.col("url")).alias("x")).collect()] == ["/x?y=1", "/", "/?q", None]
+    assert urls.within_limits({"a": ["/"]}) and not urls.within_limits({"a": ["/"] * 9}) and not urls.within_limits({str(i): ["/"] for i in range(5)}) and not urls.within_limits({})
+    assert relational.exists_in_any([d.limit(0), d]) and not relational.exists_in_any([d.limit(0), d.limit(0)])
+    rows = spark.createDataFrame([(1, "x,\"y", None), (2, None, [1, 2])], "a int, b string, c array<int>")
+    tables.write_json_arrays(rows.coalesce(1), str(tmp_path / "json"))
+    assert sorted(json.loads(r.value) for r in spark.read.text(str(tmp_path / "json")).collect()) == [[1, 'x,"y', None], [2, None, [1, 2]]]
+    assert router.split_lanes({"lexical": True, "pattern_mention": True}) == ["lexical", "pattern_mention"]
+    assert router.lanes_or_next("regex", {"semantic": True}) == [("semantic", 0.6)]
+    assert router.lanes_or_next("identifier", {"lexical": True, "semantic": True, "exact": True}) == [("exact", 0.0), ("lexical", 0.8), ("semantic", 0.2)]
