@@ -20,6 +20,8 @@ SHARDS = 8
 TOLERANCE = 0.002
 FIRST_BITS, MORE_BITS = 12, 8
 ROWS_PER_PART = 40_000
+#: More offsets than these (a part has one for each of its one or two shards) are joined by a shuffle, with equal results.
+MAX_BROADCAST_OFFSETS = 100_000
 
 
 def byte_size(text: Column) -> Column:
@@ -123,18 +125,17 @@ def shard(
             part, held = part + width[c], 0
     cell = (_cell(F.col("key"), FIRST_BITS) + 1).cast("int")
     within = F.floor(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) * F.element_at(F.lit(width), cell) / F.lit(1 << 32))
-    dealt = (
-        rows.withColumn("shard", number.cast("int"))
-        .withColumn("part", (F.element_at(F.lit(base), cell) + within).cast("int"))
-    )
-    counts = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    place = {"shard": number.cast("int"), "part": (F.element_at(F.lit(base), cell) + within).cast("int")}
+    dealt = rows.withColumns(place)
+    # Counted on the keys that were written, so that the texts are read once more only.
+    counts = keys.withColumns(place).groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col("shard").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     order = Window.partitionBy("part", "shard").orderBy("key", *[f"k_{c}" for c in keep if c == "doc_id"], "size")
     placed = dealt.withColumn("rank", F.row_number().over(order)).join(
-        F.broadcast(offsets) if (part + 1) * 2 + shards < 100_000 else offsets,
+        F.broadcast(offsets) if (part + 1) * 2 + shards < MAX_BROADCAST_OFFSETS else offsets,
         (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s")),
     )
     crc = F.shiftright("key", 32) + F.lit(1 << 31)
