@@ -834,6 +834,96 @@ def in_degrees(spark, d):
     return graph.in_degrees(trade_edges(spark, d))
 
 
+CALLS = "k AS (SELECT src, dst, n_regionkey AS file, src % 5 = 0 AS is_test FROM edges JOIN nation ON n_nationkey = src), g AS (SELECT min(dst) AS target FROM edges)"
+
+
+def _calls(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("file"))
+    e = trade_edges(spark, d)
+    calls = e.join(n, "src").select("src", "dst", "file", F.lit(1).alias("line"), F.lit("call").alias("expression"), (F.col("src") % 5 == 0).alias("is_test"))
+    return calls, _target(e)
+
+
+NEAR = (
+    "r AS (SELECT target AS node, 1 AS depth FROM g UNION SELECT k.src, r.depth + 1 FROM r JOIN k ON k.dst = r.node AND NOT k.is_test WHERE r.depth < 3), "
+    "near AS (SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node), j AS (SELECT k.*, depth FROM k JOIN near ON k.dst = near.node)"
+)
+
+
+@query(f"WITH RECURSIVE {EDGES}, {CALLS}, {NEAR} SELECT src, dst, depth, CASE WHEN dst = (SELECT target FROM g) THEN 'direct' ELSE 'transitive' END AS relation FROM j WHERE NOT is_test")
+def impact_sites(spark, d):
+    return graph.call_sites(*_calls(spark, d), 3)[0].select("src", "dst", "depth", "relation")
+
+
+@query(
+    f"WITH RECURSIVE {EDGES}, {CALLS}, {NEAR} SELECT count(DISTINCT src) FILTER (NOT is_test AND src != (SELECT target FROM g)) AS total_affected, count(DISTINCT file) FILTER (NOT is_test) AS affected_files, "
+    "count(*) FILTER (NOT is_test) AS sites, count(DISTINCT src) FILTER (is_test) AS hidden_tests FROM j"
+)
+def impact_totals(spark, d):
+    return graph.call_sites(*_calls(spark, d), 3)[1]
+
+
+KINDS = "i AS (SELECT src, dst, CASE (src + dst) % 3 WHEN 0 THEN 'type' WHEN 1 THEN 'static' ELSE 'dynamic' END AS kind FROM edges)"
+
+
+@query(
+    f"WITH RECURSIVE {EDGES}, {KINDS}, r AS (SELECT src AS o, dst AS n FROM i WHERE kind != 'type' UNION SELECT r.o, i.dst FROM r JOIN i ON i.src = r.n AND i.kind != 'type'), "
+    "s AS (SELECT src AS o, dst AS n FROM i WHERE kind = 'static' UNION SELECT s.o, i.dst FROM s JOIN i ON i.src = s.n AND i.kind = 'static'), "
+    "c AS (SELECT a.o AS node, least(a.o, min(a.n)) AS component FROM r a JOIN r b ON a.o = b.n AND a.n = b.o GROUP BY a.o), "
+    "t AS (SELECT DISTINCT component FROM c JOIN s ON s.o = c.node AND s.n = c.node) "
+    "SELECT node, component, count(*) OVER (PARTITION BY component) AS size, CASE WHEN component IN (SELECT component FROM t) THEN 'static' ELSE 'dynamic-only' END AS edge_kind FROM c"
+)
+def import_cycle_kinds(spark, d):
+    n = (F.col("src") + F.col("dst")) % 3
+    return graph.import_cycles(trade_edges(spark, d).withColumn("kind", F.when(n == 0, "type").when(n == 1, "static").otherwise("dynamic")))
+
+
+@query(
+    "WITH own AS (SELECT source AS file, lang AS target_file FROM documents WHERE doc_id % 50 = 0), c AS (SELECT source AS file, lang AS target_file FROM documents WHERE source NOT IN (SELECT file FROM own) UNION ALL SELECT * FROM own) "
+    "SELECT DISTINCT file FROM c WHERE target_file = 'de'"
+)
+def callers_with_overlay(spark, d):
+    calls = table(spark, d, "documents").select("doc_id", F.col("source").alias("file"), F.col("lang").alias("target_file"), F.lit("x").alias("target_name"))
+    return graph.caller_files(calls.drop("doc_id"), calls.where("doc_id % 50 = 0").drop("doc_id"), "de", "x")
+
+
+@query("SELECT DISTINCT doc_id AS file FROM documents WHERE list_contains(regexp_extract_all(text, '[A-Za-z]+'), 'idiot')")
+def documents_with_name(spark, d):
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    names = table(spark, d, "documents").select(F.col("doc_id").alias("file"), words.alias("name"), F.lit("reference").alias("kind"))
+    return graph.files_with_name(names, "idiot")
+
+
+@query(
+    f"WITH {LINES}, n AS (SELECT doc_id, line_no, trim(regexp_replace(regexp_replace(translate(regexp_replace(line, '\"[^\"]*\"', '#', 'g'), {FOLD}), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')) AS line FROM l), "
+    "r AS (SELECT doc_id, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run FROM n WHERE line != '' WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) "
+    "SELECT md5(run) AS digest, count(*) AS n, count(DISTINCT doc_id) AS n_docs, bool_or(contains(run, 'licensed')) AS suppressed FROM r WHERE run IS NOT NULL GROUP BY run HAVING count(*) > 1"
+)
+def duplicate_fragments(spark, d):
+    return health.duplicate_fragments(table(spark, d, "documents"))
+
+
+PENDING = (
+    "done AS (SELECT user_id, max(event_id) AS through FROM events WHERE event_type = 'purchase' GROUP BY user_id), live AS (SELECT e.user_id, event_id FROM events e LEFT JOIN done USING (user_id) WHERE through IS NULL OR event_id > through), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM live)"
+)
+
+
+def _notices(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return streaming.deliverable(e.drop("event_type"), e.where("event_type = 'purchase'"), ["user_id"], "event_id", 2)
+
+
+@query(f"WITH {PENDING} SELECT user_id, event_id FROM k WHERE rn <= 2")
+def pending_notices(spark, d):
+    return _notices(spark, d)[0]
+
+
+@query(f"WITH {PENDING} SELECT user_id, count(*) AS evicted, max(event_id) AS evicted_through FROM k WHERE rn > 2 GROUP BY user_id")
+def eviction_gaps(spark, d):
+    return _notices(spark, d)[1]
+
+
 # --- streams as tables ----------------------------------------------------------------------------------------------
 
 

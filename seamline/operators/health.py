@@ -50,6 +50,22 @@ def duplicate_lines(docs: DataFrame, least: int = 20, key: str = "doc_id") -> Da
     return per_doc.groupBy("line_digest").agg(F.sum("c").alias("n_lines"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
 
 
+def duplicate_fragments(docs: DataFrame, size: int = 3, marker: str = "licensed", key: str = "doc_id") -> DataFrame:
+    """(digest, n, n_docs, suppressed) of runs of ``size`` lines that occur more than once.
+
+    Letters are folded, quoted strings and numbers replaced, white space collapsed, blank lines skipped; runs overlap. A
+    fragment with the marker is a known text that repeats by intent: it is reported as suppressed.
+    """
+    line = X.mask_digits(X.ascii_fold(F.regexp_replace("line", '"[^"]*"', "#")))
+    rows = X.lines(docs, key).select(key, "line_no", F.trim(F.regexp_replace(line, r"\s+", " ")).alias("line")).where("line != ''")
+    w = Window.partitionBy(key).orderBy("line_no")
+    parts = [F.lead("line", i).over(w) for i in range(size)]
+    runs = rows.select(key, F.when(parts[-1].isNotNull(), F.concat_ws("\n", *parts)).alias("run")).where("run is not null")
+    per_doc = runs.groupBy(F.md5("run").alias("digest"), key).agg(F.count(F.lit(1)).alias("c"), F.max(F.contains("run", F.lit(marker))).alias("m"))
+    found = per_doc.groupBy("digest").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.max("m").alias("suppressed"))
+    return found.where("n > 1")
+
+
 def per_category(rows: DataFrame, k: int = 5, order: list[Column] | None = None) -> DataFrame:
     """The first k rows of each category, with its exact total. Rows are cut to k before they are shuffled."""
     w = Window.partitionBy("category").orderBy(*(order or [F.col("item")]))

@@ -206,6 +206,24 @@ def deliver(batch: DataFrame, folder: str, epoch: int) -> None:
     batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
 
+def deliverable(pending: DataFrame, acknowledged: DataFrame, keys: list[str], version: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, gaps) to deliver from durable notices (keys, version, ...): those that no acknowledgement (keys, version)
+    covers, the ``most`` newest of each; gaps count what was evicted and say through which version.
+
+    An acknowledgement covers its version and all before, so a notice that is delivered twice is acknowledged once.
+    """
+    from pyspark.sql import Window
+
+    done = acknowledged.groupBy(*[F.col(k).alias(f"a_{k}") for k in keys]).agg(F.max(version).alias("through"))
+    same = [F.col(k) == F.col(f"a_{k}") for k in keys]
+    live = pending.join(done, same, "left").where(F.col("through").isNull() | (F.col(version) > F.col("through"))).select(*pending.columns)
+    newest = live.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))).where(F.col("rn") <= most).drop("rn")
+    kept = newest.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(F.min(version).alias("oldest"))
+    gone = live.join(kept, [F.col(k) == F.col(f"k_{k}") for k in keys]).where(F.col(version) < F.col("oldest"))
+    gaps = gone.groupBy(*keys).agg(F.count(F.lit(1)).alias("evicted"), F.max(version).alias("evicted_through"))
+    return newest, gaps
+
+
 def repeated_calls(calls: DataFrame, key: str = "session") -> DataFrame:
     """Calls (session, seq, tool, args, output) that repeat the one before: same tool, arguments in canonical order, and output."""
     from pyspark.sql import Window
