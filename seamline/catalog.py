@@ -268,12 +268,12 @@ def token_stats(spark, d):
 
 
 @query(
-    "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS name FROM documents WHERE lang = 'en'), "
+    "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS name FROM documents), "
     "s AS (SELECT name, floor((greatest(length(name), 9) - levenshtein(name, 'worthless')) * 1000 / greatest(length(name), 9))::INTEGER AS similarity FROM w WHERE name != 'worthless') "
     "SELECT name, similarity FROM s WHERE similarity >= 500 ORDER BY similarity DESC, name LIMIT 5"
 )
 def nearest_words(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     names = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("name")).withColumn("declared", F.lit(False))
     return search.nearest_names(names, "worthless").select("name", "similarity")
 

@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,15 +102,22 @@ def overlay(base: DataFrame, own: DataFrame, key: str) -> DataFrame:
     return base.join(own.select(key).distinct(), key, "left_anti").unionByName(own)
 
 
-def fan_out(sources: dict, build) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """(rows of all sources with a ``source`` column, gaps): a source that can't be read is a gap, not an error."""
+def fan_out(sources: dict, build, unreadable: tuple[type[Exception], ...] = (PySparkException, Py4JJavaError, OSError)) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+    """(rows of all sources with a ``source`` column, gaps): a source that can't be read is a gap, not an error.
+
+    Each source is read to its end into the shared folder before the next, so that one lost on the way is a gap too and
+    leaves no half of its rows. Errors of other kinds than ``unreadable`` are the program's own, and are raised.
+    """
     rows, gaps = None, []
     for name, source in sources.items():
         try:
             got = build(source).withColumn("source", F.lit(name))
-        except Exception as e:
+            at = f"{shared_folder(got.sparkSession).rstrip('/')}/source-{uuid.uuid4().hex}"
+            got.write.parquet(at)
+        except unreadable as e:
             gaps.append((name, type(e).__name__))
             continue
+        got = got.sparkSession.read.schema(got.schema).parquet(at)
         rows = got if rows is None else rows.unionByName(got)
     return rows, gaps
 

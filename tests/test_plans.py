@@ -108,3 +108,20 @@ def test_fan_out(spark):
 
     rows, gaps = tables.fan_out({"a": 2, "b": -1, "c": 1}, build)
     assert rows.count() == 3 and gaps == [("b", "OSError")]
+
+
+def test_fan_out_of_a_source_lost_on_the_way(spark, tmp_path):
+    import shutil
+
+    for name in ("a", "b"):
+        spark.range(5).write.parquet(str(tmp_path / name))
+    frames = {n: spark.read.parquet(str(tmp_path / n)) for n in ("a", "b")}
+    shutil.rmtree(tmp_path / "b")
+    rows, gaps = tables.fan_out(frames, lambda df: df)
+    assert rows.count() == 5 and [n for n, _ in gaps] == ["b"]
+
+    def broken(_):
+        raise KeyError("a mistake")
+
+    with pytest.raises(KeyError):
+        tables.fan_out({"a": 1}, broken)
