@@ -53,9 +53,14 @@ def word_postings(docs: DataFrame, key: str = "doc_id", word: str = "[A-Za-z]+")
 
 
 def word_trigrams(text: Column, word: str = "[A-Za-z]+") -> Column:
-    """The distinct trigrams of a text's words, made within the row."""
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(word), F.lit(0)))
-    return F.array_distinct(F.flatten(F.transform(words, X.trigrams)))
+    """The distinct trigrams of a text's words, made within the row; the text is folded once, before it is cut."""
+    words = F.array_distinct(F.regexp_extract_all(X.ascii_fold(text), F.lit(word), F.lit(0)))
+    long = F.filter(words, lambda w: F.length(w) >= 3)
+
+    def grams(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))
+
+    return F.array_distinct(F.flatten(F.transform(long, grams)))
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
