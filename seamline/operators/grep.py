@@ -8,8 +8,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.postings import posting_lists
 from ..plans import trigram
 from ..sources.tables import shared_folder
 
@@ -78,17 +80,19 @@ def candidates(postings: DataFrame, grams: list[str], key: str = "doc_id") -> Da
 
 
 def publish_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The trigram index of whole lines as a written table (trigram, key, mask), sorted by trigram.
+    """The trigram index of whole lines as a written table, read as rows (trigram, key, mask).
 
-    mask has a bit for every character that follows the trigram somewhere in the text; a line's end sets none. Row
-    groups of other trigrams are skipped by their least and greatest values.
+    mask has a bit for every character that follows the trigram somewhere in the text; a line's end sets none. It is
+    written as posting lists, one for a trigram and a few MB of texts, sorted by trigram within each file, so nothing is
+    shuffled: row groups and pages of other trigrams are skipped by their least and greatest values. Lists are taken
+    apart for the trigrams that are asked for, and equal keys become one row.
     """
-    grams = F.array_distinct(F.flatten(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), X.positions)))
-    rows = docs.select(key, F.explode(grams).alias("g"))
-    found = rows.groupBy(key, F.col("g.trigram").alias("trigram")).agg(F.bit_or(X.next_bit(F.col("g.next"))).alias("mask"))
+    kind = T.StructType([T.StructField("trigram", T.StringType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)), T.StructField("masks", T.ArrayType(T.IntegerType()))])
+    lists = docs.select(key, text).mapInArrow(posting_lists, kind)
     at = f"{shared_folder(docs.sparkSession).rstrip('/')}/trigrams-{uuid.uuid4().hex}"
-    found.repartitionByRange("trigram", key).sortWithinPartitions("trigram", key).write.parquet(at)
-    return docs.sparkSession.read.schema(found.select("trigram", key, "mask").schema).parquet(at)
+    lists.sortWithinPartitions("trigram").write.options(**{"compression": "zstd", "parquet.page.row.count.limit": 1000}).parquet(at)
+    rows = docs.sparkSession.read.schema(kind).parquet(at).select("trigram", F.inline(F.arrays_zip("keys", "masks")).alias(key, "mask"))
+    return rows.groupBy("trigram", key).agg(F.bit_or("mask").alias("mask"))
 
 
 def _grams_of(q: trigram.Query) -> set[str]:

@@ -98,6 +98,53 @@ def test_indexed_grep_equals_grep(spark, pattern, literal):
         assert got(grep.indexed_grep(d, pattern, literal=literal, index=ix).select("doc_id", "line_no", "line")) == want
 
 
+def test_posting_lists_equal_plain_reading():
+    """In windows of any size: line ends, texts' ends, other planes, nulls, undecodable bytes, repeated keys."""
+    import random
+
+    import pyarrow as pa
+
+    from seamline.functions import postings
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abAB \n.é\U0001f600\0") for _ in range(rng.randint(0, 70))) for _ in range(60)] + ["", None, "\n\n", "ab\n", "abc"]
+    keys = [f"k{i % 50}" for i in range(len(texts))]
+    want = {}
+    for k, t in zip(keys, texts):
+        for line in (t or "").translate(str.maketrans(X.UPPER, X.LOWER)).split("\n"):
+            for i in range(len(line) - 2):
+                bit = 1 << (ord(line[i + 3]) * 31 & 7) if i + 3 < len(line) else 0
+                want[line[i : i + 3], k] = want.get((line[i : i + 3], k), 0) | bit
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 40]), pa.array(texts[a : a + 40])], ["k", "t"]) for a in (0, 40)]
+    for piece, window in ((1 << 22, 1 << 22), (200, 1 << 22), (1 << 22, 7), (300, 1), (1 << 22, 64)):
+        found = {}
+        for b in postings.posting_lists(batches, piece, window):
+            for r in b.to_pylist():
+                for k, m in zip(r["keys"], r["masks"], strict=True):
+                    found[r["trigram"], k] = found.get((r["trigram"], k), 0) | m
+        assert found == want
+    bad = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"abcd\xc3\nwxyz"]).view(pa.string())], ["k", "t"])
+    assert {"abc", "bcd", "wxy", "xyz"} <= {r for b in postings.posting_lists([bad]) for r in b.column(0).to_pylist()}
+    many = [chr(i) for i in range(0x100, 0xD800)] + [chr(i) for i in range(0x10000, 0x40000)]
+    wide = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["".join(many)] + ["abc"] * 999)], ["k", "t"])
+    lists = [(t, n) for b in postings.posting_lists([wide]) for t, n in zip(b.column(0).to_pylist(), b.column(1).value_lengths().to_pylist())]
+    assert {("".join(many[i : i + 3]), 1) for i in range(len(many) - 2)} == {g for g in lists if g[0] != "abc"}
+    assert sum(n for t, n in lists if t == "abc") == 999
+
+
+def test_index_of_a_long_text(spark):
+    """The work grows with the text, not with its square; equal keys are one row."""
+    import time
+
+    long = " ".join(str(i * i) for i in range(40000))
+    d = spark.createDataFrame([(1, long), (1, "abc\nabcz"), (2, "xyz")], "doc_id long, text string")
+    began = time.time()
+    index = grep.publish_index(d)
+    assert got(index.where("trigram = 'abc'")) == [("abc", 1, 1 << (ord("z") * 31 & 7))]
+    assert index.where("doc_id = 1").count() == len({long[i : i + 3] for i in range(len(long) - 2)} | {"abc", "bcz"})
+    assert time.time() - began < 60
+
+
 def test_masks_rule_documents_out(spark):
     """All trigrams are there, but never with the character that must follow."""
     d = docs(spark, "abc bcd", "abcd")
