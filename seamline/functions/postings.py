@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES, WINDOW = 4 << 20, 4 << 20
+PIECE_BYTES, WINDOW = 2 << 20, 2 << 20
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _END, _NONE = 10, 8
 
@@ -30,8 +30,7 @@ def posting_lists(batches, piece_bytes: int = PIECE_BYTES, window: int = WINDOW)
             for start in range(0, len(chars) - 3, window):
                 part = chars[start : start + window + 3]
                 ends = np.cumsum(part[:-3] == _END, dtype=np.int32)
-                # The added line feeds are no line of a row.
-                rows = row_of_line[np.minimum(line + ends, len(row_of_line) - 1)]
+                rows = row_of_line[line + ends]
                 line += int(ends[-1])
                 out = _lists(part, rows, piece.column(0))
                 if out is not None:

@@ -106,7 +106,9 @@ def index_candidates(index: DataFrame, q: trigram.Query, key: str = "doc_id", fo
     comes after a trigram, so that the mask can rule documents out.
     """
     grams = _grams_of(q)
-    asked = index.where(F.col("trigram").isin(*grams)) if grams else index.limit(0)
+    # Spark looks for more than ten values at once by their range alone, which would read most of the index.
+    some = [F.col("trigram").isin(*sorted(grams)[i : i + 10]) for i in range(0, len(grams), 10)]
+    asked = index.where(reduce(Column.__or__, some)) if some else index.limit(0)
     n = {r.trigram: r.n for r in asked.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def size(q: trigram.Query) -> float:
@@ -149,7 +151,11 @@ def indexed_grep(
         folded = fold_pattern(pattern)
         follows = {folded[i : i + 3]: folded[i + 3] for i in range(len(folded) - 3) if folded.count(folded[i : i + 3]) == 1} if literal else None
         ids = index_candidates(index, query, key, follows)
-        rows = rows if ids is None else rows.join(ids, key, "left_semi")
+        if ids is not None:
+            # Written first, so that their size is known: where they are few, no text is shuffled.
+            at = f"{shared_folder(docs.sparkSession).rstrip('/')}/candidates-{uuid.uuid4().hex}"
+            ids.write.parquet(at)
+            rows = rows.join(docs.sparkSession.read.schema(ids.schema).parquet(at), key, "left_semi")
     elif query != trigram.ALL:
         rows = rows.where(_substrings(query, X.ascii_fold(F.col("text"))))
     rows = X.lines(rows, key)

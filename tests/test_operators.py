@@ -145,6 +145,22 @@ def test_index_of_a_long_text(spark):
     assert time.time() - began < 60
 
 
+def test_few_candidates_leave_the_texts_where_they_are(spark):
+    """The candidates' size counts, not that of the index they come from; a text of any length is searched."""
+    long = " ".join(str(i * i) for i in range(40000)) + "\nThe needle"
+    d = docs(spark, *(f"{i * 7919} {i * 104729} {i * i}" for i in range(2000)), long)
+    index = grep.publish_index(d)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        found = grep.indexed_grep(d, "[Tt]he needle", index=index).select("doc_id", "line_no", "line")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert got(found) == [(2000, 2, "The needle")]
+
+
 def test_masks_rule_documents_out(spark):
     """All trigrams are there, but never with the character that must follow."""
     d = docs(spark, "abc bcd", "abcd")
